@@ -29,6 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_chars
 from .common import keyed, small_batches
 
 MAGIC, BLOCK, NULL_ID = b"TPK1", 1 << 16, -(1 << 63)
@@ -106,85 +107,61 @@ class Reader:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-class Recent:
-    """A bounded store: when `size` keys have come, the older generation goes; a key found there stays."""
-
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
-
-    def get(self, key):
-        got = self.new.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
-        return got
-
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.size:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
-
-
-class Words:
-    """Encodes texts with the tokenizers library, each stretch between blanks only once while it is in the store.
+class Words(dict):
+    """Encodes texts with the tokenizers library, each stretch between blanks only once while it is in this store.
 
     The vocabulary's splitter drops white space and no rule looks across it, so the ids of a text are those of its
-    stretches. A stretch of letters with marks like "," behind it is two words to the splitter, encoded apart; words of
-    letters go to the library many at a call, and the token that ends a word parts them. All else goes by itself."""
+    stretches. In Latin-1 texts, which NFC leaves alone, case is folded beforehand, as the vocabulary's rules do anyway,
+    and marks like "," at the end of a stretch, behind a letter, are a word of their own. The store is bounded: when `cached` stretches have come, the older half goes, and what is met again from it stays."""
 
-    TAIL = ".,;:!?"
-
-    def __init__(self, path: str, cached: int = 200_000):
+    def __init__(self, path: str, cached: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        suffix, vocab = getattr(self.tok.model, "end_of_word_suffix", None) or "", self.tok.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
-        self.lower = "Lowercase" in str(self.tok.normalizer)
-        self.stretches, self.words = Recent(cached), Recent(cached)
-
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words of letters only."""
-        out = {w: got for w in words if (got := self.words.get(w)) is not None}
-        new = [w for w in words if w not in out]
-        groups = [new[i : i + 400] for i in range(0, len(new), 400)]
-        for group, flat in zip(groups, self._each([" ".join(g) for g in groups]), strict=True):
-            cut = (np.flatnonzero(self.ends[np.frombuffer(flat, dtype="<u4")]) + 1) * 4
-            # a letter can normalise to more than one word: then the counts differ, and each goes by itself
-            own = [flat[a:b] for a, b in zip([0, *cut.tolist()], cut.tolist(), strict=False)] if len(cut) == len(group) else self._each(group)
-            out.update(zip(group, own, strict=True))
-            for w, x in zip(group, own, strict=True):
-                self.words.put(w, x)
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        known: dict[str, bytes] = {}
-        plain, odd = [], []
-        for c in set().union(*cut):
-            if (got := self.stretches.get(c)) is not None:
-                known[c] = got
-                continue
-            stem = c.rstrip(self.TAIL)
-            if stem.isalpha() and len(stem) < 64:
-                plain.append((c, stem.lower() if self.lower and stem.isascii() else stem, c[len(stem) :]))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.fold = kinds[:1] == ["NFC"] and kinds[-1:] == ["Lowercase"]
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.bytes = byte_chars()
+        self.cached, self.old = cached, {}
+
+    def __missing__(self, c: str) -> bytes:
+        got = self.old.get(c)
+        if got is None:
+            stem = c.rstrip(".,;:!?")
+            if self.fold and stem and len(stem) < len(c) and stem[-1].isalpha():
+                got = self[stem] + self[c[len(stem) :]]
             else:
-                odd.append(c)
-        words = self._letters(list({w for _, w, _ in plain}))
-        tails = list({t for _, _, t in plain})
-        ends = dict(zip(tails, self._each(tails), strict=True))
-        fresh = [*((c, words[w] + ends[t]) for c, w, t in plain), *zip(odd, self._each(odd), strict=True)]
-        known.update(fresh)
-        for c, x in fresh:
-            if len(c) < 64:
-                self.stretches.put(c, x)
-        return [np.frombuffer(b"".join([known[c] for c in words]), dtype="<u4") for words in cut]
+                if self.fold and c.isalpha() and c.islower() and _latin(c):  # one word that no rule changes: to the model
+                    ids = [t.id for t in self.tok.model.tokenize("".join([self.bytes[b] for b in c.encode()]))]
+                else:
+                    ids = self.tok.encode(c, add_special_tokens=False).ids
+                got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(c) < 64:
+            if len(self) >= self.cached:
+                self.old = dict(self)
+                self.clear()
+            self[c] = got
+        return got
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, dtype="<u4")
+        if self.fold and not any(s in text for s in self.special) and "<|" not in text and _latin(text):
+            text = text.lower()
+        return np.frombuffer(b"".join([self[c] for c in text.replace("\n", " ").split(" ")]), dtype="<u4")
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _loaded: dict[str, Words] = {}
@@ -203,7 +180,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, vocab: int, end_id: int |
         words, packer = _loaded[tokenizer], Packer(bits)
         first = None
         for pdf in small_batches(frames):
-            ids = words.encode([t if isinstance(t, str) else None for t in pdf["text"]])
+            ids = [words.encode(t if isinstance(t, str) else None) for t in pdf["text"]]
             if end_id is not None:
                 ids = [np.append(x, np.uint32(end_id)) for x in ids]
             own = [NULL_ID if pd.isna(i) else int(i) for i in pdf["doc_id"]]
