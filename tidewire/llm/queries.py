@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, tokenpack, toxicity, urls
+from . import bpe, decontaminate, gif, quality, tokenpack, toxicity, urls
 from .common import shared_dir, table
 
 TOKENIZER, VOCAB = "word_bpe_49k.json", 49_408
@@ -28,6 +28,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenpack.read(spark, path)
 
 
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.read_back(gif.media(table(spark, sf_dir, "documents")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,7 +44,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_toxicity, op5_token_output, op7_quality, op9_url_filter, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_toxicity, op5_token_output, op6_gif, op7_quality, op9_url_filter, op10_bpe)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
