@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, gif, quality, tokenpack, toxicity, urls
+from . import bpe, decontaminate, gif, quality, repeats, tokenpack, toxicity, urls
 from .common import shared_dir, table
 
 TOKENIZER, VOCAB = "word_bpe_49k.json", 49_408
@@ -36,6 +36,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -44,7 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_toxicity, op5_token_output, op6_gif, op7_quality, op9_url_filter, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_toxicity, op5_token_output, op6_gif, op7_quality, op8_suffix_repeats, op9_url_filter, op10_bpe)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
