@@ -7,17 +7,25 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, gif, quality, repeats, tokenpack, toxicity, urls
+from . import bpe, decontaminate, forest, gif, lines, quality, repeats, tokenpack, toxicity, urls
 from .common import shared_dir, table
 
 TOKENIZER, VOCAB = "word_bpe_49k.json", 49_408
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
 
 
+def op3_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.join(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,11 +56,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_toxicity, op5_token_output, op6_gif, op7_quality, op8_suffix_repeats, op9_url_filter, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_lines, op2_decontaminate, op3_jaccard_forest, op4_toxicity, op5_token_output, op6_gif, op7_quality, op8_suffix_repeats, op9_url_filter, op10_bpe)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op1_lines": r"""
+WITH p AS (SELECT doc_id, i, ps[i] AS piece FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i
+             FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n.!?]+[.!?]*|[\n.!?]+') AS ps FROM documents))),
+u AS (SELECT doc_id, i, piece, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+             lower(trim(regexp_replace(piece, '\s+', ' ', 'g'))) AS norm, regexp_matches(piece, '^[^\n.!?]') AS is_unit FROM p),
+v AS (SELECT *, is_unit AND len(string_split(norm, ' ')) >= 5 AS counts FROM u),
+w AS (SELECT *, counts AND row_number() OVER (PARTITION BY counts, norm ORDER BY doc_id, a) > 1 AS gone FROM v),
+r AS (SELECT doc_id, count(*) FILTER (counts) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(piece)) FILTER (gone), 0) AS chars_removed,
+             coalesce(string_agg(CAST(a AS BIGINT) || '-' || CAST(a + length(piece) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS removed,
+             coalesce(string_agg(piece, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM w GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(chars_removed, 0) AS BIGINT) AS chars_removed,
+       coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_removed, 0) > 0 AS changed
+FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id""",
     "op2_decontaminate": rf"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
