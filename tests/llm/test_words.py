@@ -1,5 +1,6 @@
 """Unit dedup, decontamination, tokens and byte pairs, against brute force."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -19,14 +20,19 @@ from .conftest import cases, key
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-@pytest.fixture(scope="module")
-def tok():
+@functools.cache
+def library():
     t = Tokenizer.from_file(PATH)
     t.no_truncation()
     t.no_padding()
     return t
 
 
+@pytest.fixture(scope="module")
+def tok():
+    return library()
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -112,8 +118,9 @@ def test_bpe(spark, odd, none, tok):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(max_size=60) | st.text(alphabet="aAbß Σς'’0٣ \n\t.,<|>é́endoftxsard", max_size=80))
-def test_bpe_any_text(tok, text):
+@given(st.text(alphabet=st.characters(exclude_categories=("Cs", "Cn")), max_size=60) | st.text(alphabet="aAbß Σς'’0٣ \n\t.,<|>é́endoftxsard", max_size=80))
+def test_bpe_any_text(text):  # no fixture: hypothesis would write out its arguments, the vocabulary with them
+    tok = library()
     text = text.encode("utf-8", "ignore").decode()
     ids = tok.encode(text, add_special_tokens=False).ids
     own = bpe.loaded(PATH)

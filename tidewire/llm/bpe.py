@@ -4,7 +4,7 @@ A short word is a list of part boundaries and, beside it, the list of the ranks
 found by scanning, its right boundary is deleted, and the two neighbouring ranks are looked up anew, until no pair has
 a rank. Words are short, so the scan beats a heap. Each task keeps the encodings of words it has met, up to a bound.
 
-Normalisation and splitting as the vocabulary file says: special tokens are cut out of the raw text first; then NFC,
+Normalisation and splitting as the vocabulary file says (by the Unicode tables of Python): special tokens are cut out of the raw text first; then NFC,
 white space, lower case by single characters, letters / single digits / other runs, and bytes as printable characters.
 
 Defined cases: null and empty texts have no tokens, and decode to the empty text; words of any length are encoded
@@ -85,7 +85,11 @@ class Bpe:
         # str.lower() looks around a capital sigma; the vocabulary's rule is by single characters
         text = "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()
         out: list[int] = []
-        for w in self.words.findall(text):
+        seen = text
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
+            # the pattern's library may know newer letters than the tokenizers library: none of them counts as one
+            seen = "".join(["\ue000" if unicodedata.category(c) == "Cn" else c for c in text])
+        for w in [text[m.start() : m.end()] for m in self.words.finditer(seen)] if seen is not text else self.words.findall(text):
             ids = self.known.get(w)
             if ids is None:
                 ids = self.word(w)
