@@ -73,10 +73,8 @@ def _sums() -> list[Column]:
 
 def usage_totals(usage: DataFrame, now: str) -> DataFrame:
     """Calls, tokens and cost of today, 7 days, 30 days and all time, in one scan."""
-    since = F.array(
-        F.struct(F.lit("today").alias("span"), F.date_trunc("day", _ts(now)).cast("timestamp_ntz").alias("since")),
-        F.struct(F.lit("7d"), _ago(now, days=7)), F.struct(F.lit("30d"), _ago(now, days=30)), F.struct(F.lit("all"), F.lit("1970-01-01").cast("timestamp_ntz")),
-    )
+    starts = (("today", F.date_trunc("day", _ts(now)).cast("timestamp_ntz")), ("7d", _ago(now, days=7)), ("30d", _ago(now, days=30)), ("all", _ts("1970-01-01 00:00:00")))
+    since = F.array(*[F.struct(F.lit(name).alias("span"), start.alias("since")) for name, start in starts])
     rows = usage.withColumn("s", F.explode(since)).where("created_at >= s.since").groupBy(F.col("s.span").alias("span")).agg(*_sums())
     spans = usage.sparkSession.createDataFrame([("today",), ("7d",), ("30d",), ("all",)], "span string")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("calls", *TOKENS, "cost")]
