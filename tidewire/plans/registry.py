@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions import text
 from tidewire.operators import cluster, digest, feed, feedback, stats, vectors
 from tidewire.plans.views import NOW, Views, tier, with_views
 from tidewire.sources import fixtures as fx
@@ -374,3 +375,54 @@ add("enrich_queue", "id long, rank int", lambda v: digest.enrich_queue(v.plain),
 add("body_queue", "id long, tier string, rank int", lambda v: digest.body_queue(v.plain), "SELECT id, tier, CASE tier WHEN 'p1' THEN 0 WHEN 'featured' THEN 1 WHEN 'all' THEN 2 ELSE 3 END AS rank FROM items WHERE body_md IS NULL AND url NOT LIKE '%youtube.com/%' AND url NOT LIKE '%//x.com/%' ORDER BY rank, published_at DESC, id LIMIT 100", "items")
 RANK = "CASE grp " + " ".join(f"WHEN '{g}' THEN {i + 1}" for i, g in enumerate(fx.GROUPS)) + " END"
 add("active_sources", "id string, grp string, name_en string, rank int", lambda v: digest.active_sources(v.sources, fx.GROUPS), f"SELECT id, grp, name_en, {RANK} AS rank FROM sources WHERE enabled", "sources")
+
+# -- texts and URLs ---------------------------------------------------------------------------------------------------
+
+_U = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\s]+)([^?#]*)(\?[^#]*)?(#.*)?$'"
+CANONICAL = f"""SELECT id, CASE WHEN regexp_matches(t, {_U}) THEN lower(regexp_extract(t, {_U}, 1)) || '://' || lower(regexp_extract(t, {_U}, 2))
+    || CASE WHEN p = '' AND q <> '' THEN '/' WHEN p = '/' AND q = '' THEN '' ELSE p END || CASE WHEN q = '' THEN '' ELSE '?' || q END ELSE t END AS canonical
+    FROM (SELECT id, trim(url) AS t, regexp_extract(trim(url), {_U}, 3) AS p,
+          array_to_string(list_filter(string_split(substr(regexp_extract(trim(url), {_U}, 4), 2), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '{text.TRACKING_PATTERN}')), '&') AS q FROM raw)"""
+add("canonical_url", "id long, canonical string", lambda v: v.raw.select("id", text.canonical_url("url").alias("canonical")), CANONICAL, "raw")
+_HASH = "sha256(c.canonical || chr(10) || chr(10) || 'page ' || r.id || chr(10) || chr(10) || r.payload)"
+
+
+def hashed(v: Views) -> DataFrame:
+    title = F.concat(text.canonical_url("url"), F.lit("\n\npage "), F.col("id"))
+    return v.raw.select("id", text.content_hash(title, F.col("payload")).alias("hash"))
+
+
+add("content_hash", "id long, hash string", hashed, f"SELECT r.id, {_HASH} AS hash FROM raw r JOIN ({CANONICAL}) c ON r.id = c.id", "raw")
+add(
+    "raw_dedup",
+    "canonical string, first_id long, n long",
+    lambda v: v.raw.groupBy(text.canonical_url("url").alias("canonical")).agg(F.min("id").alias("first_id"), F.count("*").alias("n")),
+    f"SELECT canonical, min(id) AS first_id, count(*) AS n FROM ({CANONICAL}) GROUP BY canonical",
+    "raw",
+)
+_TRIM = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_PLAIN = _TRIM("coalesce(payload, '')")
+_BARE = f"regexp_replace({_PLAIN}, '<[^>]+>', '', 'g')"
+add(
+    "strip_html",
+    "id long, n long, digest string",
+    lambda v: v.raw.select("id", text.strip_html("payload").alias("t")).select("id", F.length("t").alias("n"), F.md5("t").alias("digest")),
+    f"SELECT id, length(t) AS n, md5(t) AS digest FROM (SELECT id, CASE WHEN regexp_matches({_PLAIN}, '<[a-zA-Z!/]') THEN {_TRIM(_BARE)} ELSE {_PLAIN} END AS t FROM raw)",
+    "raw",
+)
+add(
+    "first_line_title",
+    "id long, title string",
+    lambda v: v.table("documents").select(F.col("doc_id").alias("id"), text.first_line_title("text").alias("title")),
+    """SELECT doc_id AS id, CASE WHEN length(l) <= 120 THEN l ELSE (CASE WHEN position(' ' IN c) > 0 AND length(c) - position(' ' IN reverse(c)) > 60 THEN left(c, length(c) - position(' ' IN reverse(c))) ELSE c END) || '…' END AS title
+       FROM (SELECT doc_id, l, left(l, 120) AS c FROM (SELECT doc_id, trim(rtrim(split_part(text, chr(10), 1), chr(13))) AS l FROM documents))""",
+)
+PRICES = "VALUES ('m0', 2.5, 10.0, 1.25), ('m1', 3.0, 15.0, NULL), ('m2', 0.5, 2.0, 0.1)"
+add(
+    "cost_compute",
+    "id long, computed_usd double",
+    lambda v: text.model_cost(v.usage, v.spark.sql(f"SELECT model, CAST(rate_in AS DECIMAL(8, 4)) rate_in, CAST(rate_out AS DECIMAL(8, 4)) rate_out, CAST(rate_cached AS DECIMAL(8, 4)) rate_cached FROM {PRICES} AS p(model, rate_in, rate_out, rate_cached)")),
+    f"""SELECT id, round(CAST((input_tokens - cached_input_tokens) * CAST(rate_in AS DECIMAL(8, 4)) + cached_input_tokens * CAST(coalesce(rate_cached, rate_in) AS DECIMAL(8, 4)) + (output_tokens + reasoning_tokens) * CAST(rate_out AS DECIMAL(8, 4)) AS DECIMAL(20, 4)) * 0.000001, 6) AS computed_usd
+        FROM usage u LEFT JOIN ({PRICES}) p(p_model, rate_in, rate_out, rate_cached) ON u.model = p.p_model""",
+    "usage",
+)
