@@ -8,13 +8,15 @@ Digit 1 is the least `gram`-byte gram (by hash, leftmost first) among a window's
 ones, and neighbouring windows mostly share theirs, so that a run of windows goes through this pass as one row instead of
 one row a byte. Digit 2 is all that the windows of a run cover. Runs that are equal there are repeated as a whole.
 Where one gram has unequal runs, one run of each kind goes on, and its single windows are parted by the remaining
-digits, the window's bytes in quarters, in numpy: within a task for grams with up to `crowd` kinds, by a shuffle on the
-digits for more. Digits are compared by 128 bits of hash of their bytes.
+digits: for grams with up to `crowd` kinds by the window's bytes in quarters, in numpy within a task; for more by shuffles
+of blocks of 64, of 8 and of single windows, where only blocks that share their common
+bytes with a different one go on. Digits are compared by 128 bits of hash of their bytes.
 
 Defined cases: null and empty texts, and texts shorter than `depth`, have no windows; equal rows repeat each other;
 overlapping repeats within one text count; extra columns are ignored; an empty table gives an empty result.
 Scale: one row of about 50 bytes for about every `(depth - gram) / 2` bytes of text is shuffled twice; texts are shuffled
-once, with the spans. No group is gathered: equal runs are counted map-side first, and crowds go by single windows.
+once, with the spans. No group is gathered: equal runs are counted map-side first, and crowds go by blocks of
+windows, a few rows for each kind.
 """
 
 from __future__ import annotations
@@ -195,29 +197,70 @@ def _within(kinds: DataFrame, depth: int) -> DataFrame:
     return kinds.repartition(n, "gram").sortWithinPartitions("gram").mapInPandas(run, KIND)
 
 
-def _across(kinds: DataFrame, depth: int) -> DataFrame:
-    """The same for grams with many kinds: each window is a row, parted by its digits in a shuffle."""
+BLOCKS = "gram long, d1 long, d2 long, j int, a int, b int, c1 long, c2 long, w1 long, w2 long"
+WIDTHS = (64, 8, 1)
 
-    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for g, d1, d2, data in zip(pdf["gram"], pdf["d1"], pdf["d2"], pdf["bytes"], strict=True):
-                q = _quarters(data, depth)
-                both = [_mix(q[:, 0, k] + np.uint64(3) * _mix(q[:, 1, k] + np.uint64(5) * _mix(q[:, 2, k] + np.uint64(7) * _mix(q[:, 3, k])))).view(np.int64) for k in (0, 1)]
-                yield pd.DataFrame({"gram": g, "d1": d1, "d2": d2, "at": np.arange(len(q), dtype=np.int32), "w1": both[0], "w2": both[1]})
 
-    def spans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for g, d1, d2, at in zip(pdf["gram"], pdf["d1"], pdf["d2"], pdf["at"], strict=True):
-                flags = np.zeros(int(max(at)) + 1, dtype=bool)
-                flags[np.asarray(at)] = True
-                out.append((g, d1, d2, _intervals(flags)))
-            yield pd.DataFrame(out, columns=["gram", "d1", "d2", "spans"])
+def blocks(data: bytes, least: int, depth: int, gram: int, width: int, chosen: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """The run's windows in blocks of `width` neighbours, by the bytes that they have before the least gram.
+
+    Block numbers, [a, b) of window numbers, hashes of the bytes that all windows of the block have (core) and that any
+    has (whole). `chosen` are the only blocks to take, null for all.
+    """
+    prefix = Prefix(np.frombuffer(data, dtype=np.uint8))
+    at = np.arange(len(data) - gram + 1)
+    off = int(np.flatnonzero(prefix.of(at, at + gram, 0).view(np.int64) == least)[0])
+    left = off - (len(data) - depth)
+    j = np.arange(left // width, off // width + 1)
+    if chosen is not None:
+        j = j[np.isin(j, chosen)]
+    most, fewest = np.minimum(off, j * width + width - 1), np.maximum(left, j * width)
+    a, b = off - most, off - fewest + 1
+    core, end = off - j * width, off + gram + np.maximum(0, depth - gram - j * width - width + 1)
+    tags = j.astype(np.uint64), most.astype(np.uint64) << np.uint64(32) | (b - a).astype(np.uint64)
+    hashes = [_mix(prefix.of(lo, hi, k) ^ (tag * np.uint64(0xD6E8FEB86659FD93))).view(np.int64) for lo, hi, tag in ((core, end, tags[0]), (a, b - 1 + depth, tags[1])) for k in (0, 1)]
+    return j, a, b, *hashes
+
+
+def _list_blocks(kinds: DataFrame, depth: int, gram: int, width: int, before: int | None) -> DataFrame:
+    """blocks() of each kind, within its blocks `js` of `before` windows where that is given."""
 
-    rows = kinds.mapInPandas(windows, "gram long, d1 long, d2 long, at int, w1 long, w2 long")
-    again = rows.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").select("w1", "w2")
-    # a kind has at most depth - gram + 1 windows: the list is bounded
-    return rows.join(again, ["w1", "w2"]).groupBy("gram", "d1", "d2").agg(F.collect_list("at").alias("at")).mapInPandas(spans, KIND)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            parts, keys = [], []
+            for g, d1, d2, data, js in zip(pdf["gram"], pdf["d1"], pdf["d2"], pdf["bytes"], pdf["js"], strict=True):
+                inner = None if before is None else (np.asarray(js)[:, None] * (before // width) + np.arange(before // width)).ravel()
+                parts.append(blocks(data, g, depth, gram, width, inner))
+                keys.append((g, d1, d2))
+            if parts:
+                of = np.repeat(np.array(keys, dtype=np.int64), [len(p[0]) for p in parts], axis=0)
+                columns = dict(zip(("j", "a", "b", "c1", "c2", "w1", "w2"), (np.concatenate([p[k] for p in parts]) for k in range(7)), strict=True))
+                yield pd.DataFrame({"gram": of[:, 0], "d1": of[:, 1], "d2": of[:, 2]} | columns)
+
+    return kinds.mapInPandas(run, BLOCKS)
+
+
+def _across(kinds: DataFrame, depth: int, gram: int) -> DataFrame:
+    """The same for grams with many kinds: blocks of windows are rows, parted in a shuffle, and halved where that isn't enough.
+
+    A block whose whole is another's is repeated. One of each whole goes on, in narrower blocks, where others have the
+    same core and another whole; at width 1 core and whole are the window.
+    """
+    key = ["gram", "d1", "d2"]
+    open_, before, found = kinds.withColumn("js", F.lit(None).cast("array<int>")), None, []
+    for width in WIDTHS:
+        rows = staged(_list_blocks(open_, depth, gram, width, before), "blocks")
+        wholes = rows.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct(*key, "j", "c1", "c2")).alias("one"))
+        wholes = staged(wholes.select("w1", "w2", "c", "one.*"), "wholes")
+        again = wholes.filter("c > 1").select("w1", "w2")
+        found.append(rows.join(again, ["w1", "w2"]).select(*key, "a", "b"))
+        if width > 1:
+            shared = wholes.groupBy("c1", "c2").agg(F.count("*").alias("n")).filter("n > 1").select("c1", "c2")
+            # a kind has at most depth - gram + 1 windows: the lists are bounded
+            chosen = wholes.join(shared, ["c1", "c2"], "left_semi").groupBy(*key).agg(F.collect_list("j").alias("js"))
+            open_, before = kinds.join(chosen, key), width
+    spans = found[0].unionByName(found[1]).unionByName(found[2])
+    return spans.groupBy(*key).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def find(docs: DataFrame, depth: int = 400, gram: int = 128, crowd: int = 256) -> DataFrame:
@@ -229,7 +272,7 @@ def find(docs: DataFrame, depth: int = 400, gram: int = 128, crowd: int = 256) -
     grams = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("gram").alias("g"), (F.col("kinds") > crowd).alias("many"))
     mixed = kinds.join(grams, F.col("gram") == F.col("g")).select("gram", "d1", "d2", "many", "one.*", "n")
     cut = staged(_cut(own, mixed, depth), "cuts")
-    part = _within(cut.filter("NOT many").drop("many"), depth).unionByName(_across(cut.filter("many").drop("many"), depth))
+    part = _within(cut.filter("NOT many").drop("many"), depth).unionByName(_across(cut.filter("many").drop("many"), depth, gram))
     whole = kinds.filter("c > 1").select("gram", "d1", "d2", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("spans"))
     # a kind that is repeated as a whole may have come through the other digits too
     found = whole.unionByName(part)
