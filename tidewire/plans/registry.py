@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions import text
-from tidewire.operators import cluster, digest, feed, feedback, stats, vectors
+from tidewire.operators import cluster, digest, feed, feedback, pricing, snapshots, stats, vectors
 from tidewire.plans.views import NOW, Views, tier, with_views
+from tidewire.sources import archive
 from tidewire.sources import fixtures as fx
+from tidewire.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -426,3 +428,55 @@ add(
         FROM usage u LEFT JOIN ({PRICES}) p(p_model, rate_in, rate_out, rate_cached) ON u.model = p.p_model""",
     "usage",
 )
+LADDER = "VALUES ('m0', false, 1), ('m1', false, 2), ('m1-', false, 3), ('m0', true, 4), ('m2', true, 5)"
+_NAMED = "concat(CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'azure/' ELSE 'openai/' END, model, CASE id % 4 WHEN 0 THEN '-standard' ELSE '' END)"
+add(
+    "pricing_ladder",
+    "model string, price_key string, level int",
+    lambda v: pricing.resolve(v.usage.select(F.expr(_NAMED).alias("model")), v.spark.sql(f"SELECT * FROM {LADDER} AS p(price_key, fallback, place)")),
+    f"""SELECT m.model, price_key, level FROM (SELECT DISTINCT {_NAMED} AS model FROM usage) m LEFT JOIN
+        (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY level, place) AS r FROM
+          (SELECT n.model, price_key, place, CASE WHEN NOT fallback AND price_key = n.model THEN 1 WHEN NOT fallback AND price_key = bare THEN 2
+             WHEN NOT fallback AND starts_with(bare, price_key) AND (contains(price_key, '-') OR length(price_key) >= 6) THEN 3
+             WHEN fallback AND price_key IN (bare, n.model) THEN 4 WHEN fallback AND starts_with(bare, price_key) THEN 5 END AS level
+           FROM (SELECT DISTINCT {_NAMED} AS model, regexp_replace({_NAMED}, '^(azure/|openai/)', '') AS bare FROM usage) n, ({LADDER}) p(price_key, fallback, place))
+          WHERE level IS NOT NULL) WHERE r = 1) f ON m.model = f.model""",
+    "usage",
+)
+_X = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&apos;')"
+add(
+    "rss_items",
+    "id long, xml string",
+    lambda v: v.items.select("id", "published_at", F.col("title").alias("t"), F.concat(F.lit("https://example.org/?a=1&id="), F.col("id")).alias("u"), F.col("id").cast("string").alias("g")).select("id", archive.rss_item("t", "u", "t", "published_at", "g").alias("xml")),
+    f"""SELECT id, '<item><title>' || coalesce({_X("title")}, '') || '</title><link>' || {_X("'https://example.org/?a=1&id=' || id")} || '</link><description>' || coalesce({_X("title")}, '')
+        || '</description><pubDate>' || strftime(published_at, '%a, %d %b %Y %H:%M:%S GMT') || '</pubDate><guid isPermaLink="false">' || id || '</guid></item>' AS xml FROM items""",
+    "items",
+)
+# -- streams, and walks that depend on order --------------------------------------------------------------------------
+
+_HOUR = "date_format(hour, 'yyyy-MM-dd HH:mm')"
+add(
+    "stream_hourly",
+    "hour string, event_type string, n long, cents long",
+    lambda v: jobs.drain(jobs.hourly(jobs.events(v.spark, v.sf_dir)), "complete").withColumn("hour", F.expr(_HOUR)),
+    "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM events GROUP BY ALL",
+)
+add(
+    "stream_first_seen",
+    "user_id long, event_type string",
+    lambda v: jobs.drain(jobs.first_seen(jobs.events(v.spark, v.sf_dir)), "append"),
+    "SELECT DISTINCT user_id, event_type FROM events",
+)
+add(
+    "stream_sessions",
+    "user_id long, began string, n long",
+    lambda v: jobs.drain(jobs.sessions(jobs.events(v.spark, v.sf_dir)), "complete").withColumn("began", F.date_format("began", "yyyy-MM-dd HH:mm:ss")),
+    """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n FROM
+       (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
+         (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""",
+)
+add(
+    "snapshot_sample",
+    "source string, ts string, digest string",
+    lambda v: snapshots.sample(v.table("events").select(F.col("event_type").alias("source"), "ts", F.md5("props").alias("digest"))).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
+)
