@@ -75,6 +75,31 @@ def test_units_rank(spark):
     assert key(lines.remove(docs, rank="rank").select("doc_id", "text").collect()) == [(1, ""), (2, "A  b c d e f. And more")]
 
 
+def lines_by_force(rows):
+    """Texts without repeated whole lines, then without repeated sentences of 5 words in the lines that stay."""
+    first, found = {}, {}
+    for n, (i, t) in enumerate(rows):
+        own = [(m.start(), m.end(), " ".join(m[0].split()).lower(), True) for m in re.finditer(r"[^\n]+\n?", t or "")]
+        own += [(m.start(), m.end(), " ".join(m[0].split()).lower(), False) for m in re.finditer(r"[^\n.!?]+[.!?]*", t or "")]
+        found[n] = [u for u in own if u[2] and (u[3] or len(u[2].split()) >= 5)]
+        for a, _, u, _ in found[n]:
+            first[u] = min(first.get(u, (True, 1 << 60)), (i is not None, i or 0, n, a))
+    out = []
+    for n, (i, t) in enumerate(rows):
+        gone = {k for a, b, u, _ in found[n] if first[u] != (i is not None, i or 0, n, a) for k in range(a, b)}
+        out.append("".join(c for k, c in enumerate(t or "") if k not in gone))
+    return out
+
+
+def test_whole_lines(spark):
+    rows = [(1, "nt onor. the of it.\nkept here"), (2, "x\nNT  onor. the of it.\ny"), (3, "nt onor. the of it."), (4, "of was oran. ha edble a.\n\n of was oran. ha edble a.\nof was"), (5, None), (6, ""), (7, "Yes. one two three four five six. No.\nnew. One two three four five six. short"), (8, "one two three four five six.\nYes. One two three four five six. No."), (None, "of was\nfirst of all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in lines.remove(docs).collect()}
+    assert got == dict(zip([r[0] for r in rows], [t if r[1] is not None else None for r, t in zip(rows, lines_by_force(rows), strict=True)], strict=True))
+    assert got[2] == "x\ny" and got[3] == "" and got[4] == "of was oran. ha edble a.\n\n" and got[8] == ""
+    assert got[7] == "Yes. one two three four five six. No.\nnew. short"
+
+
 def force_hits(text, items, n=10):
     own = decontaminate.words(text)
     hit, names = set(), set()

@@ -6,6 +6,11 @@ chance. Normalised: lower case, white space runs as one blank. Digest: 128 bits.
 least (rank, doc_id, place in the text), with rank an optional column; all others are removed, and what is removed is
 given as character ranges of the original text.
 
+With `whole`, as in remove(), lines are units too, and the first ones: a line that isn't blank, of any number of words,
+goes whole with its line break where the same normalised line, or a sentence equal to it, stands earlier; sentences go
+only from lines that stay. A repeated paragraph is a run of repeated lines, and goes with them. report() has sentences
+only, as the SQL of op1_lines defines them.
+
 Defined cases: null and empty texts have no units and stay as they are; rows that repeat a doc_id and text count as one
 document, so that both keep what one keeps; equal texts under different ids leave their units to the first; a null id or
 rank sorts first; an empty table gives an empty result.
@@ -28,20 +33,30 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 PIECE = re.compile(r"[^\n.!?]+[.!?]*")
+LINE = re.compile(r"[^\n]+\n?")
+
+
+def _digest(words: list[str]) -> tuple[int, int]:
+    return struct.unpack("<qq", hashlib.md5(" ".join(words).lower().encode(), usedforsecurity=False).digest())
 
 
-def units(text: str | None, least: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, digest's halves) of each unit of `least` words or more."""
-    out = []
+def units(text: str | None, least: int, whole: bool = False) -> list[tuple[int, int, int, int]]:
+    """(start, end, digest's halves) of each sentence of `least` words or more and, with `whole`, of each line."""
+    out, lines = [], {}
+    for m in LINE.finditer(text) if text and whole else ():
+        if words := m[0].split():
+            lines[m.start()] = (m.start(), m.end(), *_digest(words))
+    out += lines.values()
     for m in PIECE.finditer(text) if text else ():
         words = m[0].split()
         if len(words) >= least:
-            d = struct.unpack("<qq", hashlib.md5(" ".join(words).lower().encode(), usedforsecurity=False).digest())
-            out.append((m.start(), m.end(), *d))
+            d = _digest(words)
+            if lines.get(m.start(), ())[2:] != d:  # else the line is this sentence
+                out.append((m.start(), m.end(), *d))
     return out
 
 
-def _rows(docs: DataFrame, least: int, rank: str | None) -> DataFrame:
+def _rows(docs: DataFrame, least: int, rank: str | None, whole: bool) -> DataFrame:
     text = F.col("text").cast("string")
     first = (F.col(rank) if rank else F.lit(0)).alias("rank")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), first)
@@ -49,7 +64,7 @@ def _rows(docs: DataFrame, least: int, rank: str | None) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in small_batches(frames):
-            own = [units(t if isinstance(t, str) else None, least) for t in pdf["text"]]
+            own = [units(t if isinstance(t, str) else None, least, whole) for t in pdf["text"]]
             size = [len(u) for u in own]
             if not sum(size):
                 continue
@@ -60,9 +75,9 @@ def _rows(docs: DataFrame, least: int, rank: str | None) -> DataFrame:
     return rows.mapInPandas(run, f"doc_id long, th long, rank {kind}, a int, b int, d1 long, d2 long")
 
 
-def find(docs: DataFrame, least: int = 5, rank: str | None = None) -> DataFrame:
-    """(doc_id, th, spans) of the rows that lose units: spans are character ranges [a, b), in order."""
-    rows = _rows(docs, least, rank)
+def find(docs: DataFrame, least: int = 5, rank: str | None = None, whole: bool = False) -> DataFrame:
+    """(doc_id, th, spans) of the rows that lose units: spans are character ranges [a, b), by start; a line's holds its sentences'."""
+    rows = _rows(docs, least, rank, whole)
     groups = rows.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("rank", "doc_id", "th", "a")).alias("one")).filter("c > 1").drop("c")
     is_first = F.col("one.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("one.th") == F.col("th")) & (F.col("one.a") == F.col("a"))
     gone = rows.join(groups, ["d1", "d2"]).filter(~is_first).select("doc_id", "th", "a", "b").distinct()
@@ -74,7 +89,7 @@ def _without(text: str, spans) -> str:
     out, at = [], 0
     for s in spans:
         out.append(text[at : s["a"]])
-        at = s["b"]
+        at = max(at, s["b"])
     out.append(text[at:])
     return "".join(out)
 
@@ -85,11 +100,11 @@ def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
     return keyed.join(found, keyed["doc_id"].cast("long").eqNullSafe(found["_id"]) & (keyed["_th"] == found["_found"]), "left")
 
 
-def remove(docs: DataFrame, least: int = 5, rank: str | None = None) -> DataFrame:
-    """All rows and columns of `docs`, text without the removed units; n_chars, if there, is counted anew.
+def remove(docs: DataFrame, least: int = 5, rank: str | None = None, whole: bool = True) -> DataFrame:
+    """All rows and columns of `docs`, text without the removed lines and sentences; n_chars, if there, is counted anew.
 
     `docs` has no columns named _th, _id, _found or _spans."""
-    rows = _joined(docs, find(docs, least, rank)).select(*docs.columns, "_spans")
+    rows = _joined(docs, find(docs, least, rank, whole)).select(*docs.columns, "_spans")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in small_batches(frames):
