@@ -71,6 +71,29 @@ def test_offsets(spark):
     assert all([rows[r["doc_id"]][1][s["start"] : s["end"]] for s in r["spans"]] == (["vileword"] if r["doc_id"] % 2 else []) for r in got)
 
 
+def test_common_beginning():
+    banner = "all pages of this source begin with one and the same header line "
+    rows = [(f"{banner} text {i} {'vileword' if i % 2 else 'flower'} end", i % 2) for i in range(120)]
+    assert len(toxicity.unlike(rows + [(rows[0][0].upper() + " ", 0)])) == 120
+    crf = toxicity.Crf().train(rows)
+    got = crf.score([t for t, _ in rows], toxicity.Emissions(crf))
+    assert [int(g[0] >= 0.5) for g in got] == [y for _, y in rows]
+
+
+def test_few_toxic_rows():
+    rows = [(f"text {i} {'vileword' if i % 15 == 0 else 'flower'} w{i} end", int(i % 15 == 0)) for i in range(90)]
+    assert [sum(tags) for _, tags in toxicity.token_labels(rows)] == [y for _, y in rows]  # 6 toxic rows
+    many = [(f"text {i} {'rare' if i < 16 else 'vile' if i < 1000 else 'flower'}", int(i < 1000)) for i in range(2000)]
+    tags = toxicity.token_labels(many)
+    assert not any(any(t) for _, t in tags[:16]) and all(any(t) for _, t in tags[16:1000])  # 16 of 1000 are no share
+
+
+def test_no_token_to_label():
+    rows = [(f"plain words {i}", i % 2) for i in range(60)]
+    crf = toxicity.Crf().train(rows)
+    assert all(g[0] < 1e-9 and not g[1] for g in crf.score([t for t, _ in rows] + [None, ""], toxicity.Emissions(crf)))
+
+
 URLS = ["https://a.org/x", "http://EXAMPLE.org/es/1", "http://www.example.org/en/12?q#f", "http://example.org/en/2", "https://x.com/fr/", "https://x.com/fr", "https://x.com/de/1", "https://com/de/1", "https://notorg/", "https://q.org", "https://q.org?x=/", "no scheme", "", None, "x://y://z", "https://x.com#/de/", "https://é.org/\n?", "https://x.com/de/\n/#a", "https://casino-win.example.net/en/1"]
 
 

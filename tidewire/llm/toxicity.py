@@ -7,7 +7,8 @@ of tag sequences, with forward-backward over a batch of documents at a time. A d
 of its expected number of toxic tokens and of its largest marginal.
 
 Defined cases: null, empty and blank texts have no tokens and get the score of no evidence; repeated rows get equal
-scores; without labelled rows of both kinds every score is 0; extra columns are ignored.
+scores; without labelled rows of both kinds, or where no token can be labelled toxic, every score is 0 and nothing is
+tagged; extra columns are ignored. Training rows are distinct texts: a shared beginning makes no copies.
 Scale: training on at most `most` labelled rows; scoring is narrow, with one broadcast of the weights; long texts are
 scored whole, and the memory of a task is a slice of about 12 million characters or one longer text.
 """
@@ -46,17 +47,18 @@ def _begins(token: str) -> list[str]:
 
 
 def unlike(rows: list[tuple[str | None, int]]) -> list[tuple[str | None, int]]:
-    """One row for each beginning of ten words and label: copies would lend weight to words that only they have."""
-    return list({(" ".join((t or "").split()[:10]), y): (t, y) for t, y in reversed(rows)}.values())[::-1]
+    """One row for each text, but for case and white space, and label: copies would lend weight to words that only they have."""
+    return list({(" ".join((t or "").split()).lower(), y): (t, y) for t, y in reversed(rows)}.values())[::-1]
 
 
-def token_labels(rows: list[tuple[str | None, int]], least: int = 8, odds: float = 4.0) -> list[tuple[list[str], list[int]]]:
-    """Tokens and tags of each document, from the labels of the documents."""
+def token_labels(rows: list[tuple[str | None, int]], share: float = 0.03, odds: float = 4.0) -> list[tuple[list[str], list[int]]]:
+    """Tokens and tags of each document, from the labels of the documents; a word counts from `share` of the toxic documents on, two at least."""
     seen = {0: Counter(), 1: Counter()}
     docs = [((t or "").split(), y) for t, y in rows]
     n = Counter(y for _, y in docs)
     for tokens, y in docs:
         seen[y].update({b for w in set(tokens) for b in _begins(w)})
+    least = max(2, math.ceil(share * n[1]))
     bad = {b for b, c in seen[1].items() if c >= least and math.log((c + 0.5) / (n[1] + 1)) - math.log((seen[0][b] + 0.5) / (n[0] + 1)) >= odds}
     return [(tokens, [int(y == 1 and any(b in bad for b in _begins(w))) for w in tokens]) for tokens, y in docs]
 
@@ -113,6 +115,8 @@ class Crf:
         if len({y for _, y in rows}) < 2:
             return self
         docs = token_labels([r for i, r in enumerate(rows) if i % 3 != 2] if tail is not rows else rows)
+        if not any(any(tags) for _, tags in docs):
+            return self
         memo: dict[str, list[int]] = {}
         data = []
         for tokens, tags in docs:
@@ -178,10 +182,10 @@ class Crf:
         p, total, most = self._evidence(x, sizes)
         scores = 1 / (1 + np.exp(-(np.log1p(total) * self.doc[0] + most * self.doc[1] + self.doc[2])))
         edge = np.concatenate([[0], np.cumsum(sizes)])
-        out = []
+        out, learned = [], self.w.any()
         for i, t in enumerate(texts):
             spans = []
-            if most[i] >= 0.5:
+            if learned and most[i] >= 0.5:
                 hit = set(np.flatnonzero(p[edge[i] : edge[i + 1]] >= 0.5).tolist())
                 at = 0
                 for k, w in enumerate(tokens[i]):
