@@ -135,6 +135,17 @@ def test_strip(spark):
     assert got[1]["text"] == f"é {' '.join('abcdefghijklmnop')} ; end" and got[1]["n_chars"] == len(got[1]["text"])
 
 
+def test_strip_takes_one_block_at_a_time(spark, odd, monkeypatch):
+    pieces = cases()[7][1].split()
+    bench = spark.createDataFrame([(k, " ".join(pieces[k * 12 : k * 12 + 11])) for k in range(9)] + [(9, "One, TWO")], "item_id long, text string")
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    whole = key(decontaminate.strip(odd, bench).collect())
+    assert len(sent) == 1 and whole != key(cases())
+    assert key(decontaminate.strip(odd, bench, block_bytes=150).collect()) == whole
+    assert len(sent) > 3 and all(isinstance(b, decontaminate.NgramSet) for b in sent)
+
+
 def test_bpe(spark, odd, none, tok):
     want = []
     for r in cases():

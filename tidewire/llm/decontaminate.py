@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, small_batches
+from .common import keyed, small_batches, staged
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SPANS = "array<struct<start:int,end:int>>"
@@ -85,11 +86,15 @@ def _mix(rows: np.ndarray) -> np.ndarray:
     return h
 
 
+def _parts(benchmark: DataFrame, block_bytes: int) -> int:
+    total = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return -(-total // block_bytes) or 1
+
+
 def _blocks(benchmark: DataFrame, n: int, block_bytes: int) -> Iterator[NgramSet]:
     """The benchmark as n-gram sets of at most about `block_bytes` of text each, one after the other."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-total // block_bytes) or 1
+    parts = _parts(benchmark, block_bytes)
     for k in range(parts):
         part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
         yield NgramSet([tuple(r) for r in part.collect()], n)
@@ -142,35 +147,60 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def strip(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_share: float = 0.5) -> DataFrame:
+def _hits(docs: DataFrame, block: NgramSet) -> DataFrame:
+    """(doc_id, th, spans) of the rows of `docs` that one block hits, once for each key, written before the next block is read."""
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in small_batches(frames):
+            got = sent.value.scan([t if isinstance(t, str) else None for t in pdf["text"]])
+            hit = [bool(g[1]) for g in got]
+            if any(hit):
+                yield pdf.loc[hit, ["doc_id", "th"]].assign(spans=[[{"start": a, "end": b} for a, b in g[1]] for g in got if g[1]])
+
+    found = staged(keyed(docs).mapInPandas(scan, f"doc_id long, th long, spans {SPANS}").dropDuplicates(["doc_id", "th"]), "hits")
+    sent.destroy()
+    return found
+
+
+def strip(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_share: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
     """Documents (all columns of `docs`, in order) without their hit words; a document of which more than `max_share` of the words are hit goes.
 
     A removed span runs from the first byte of its first word to the last byte of its last word. Documents without
-    hits keep their text untouched; n_chars, if there, is counted anew."""
-    names = docs.columns
-    schema, at, blocks = docs.schema, "text", list(_blocks(benchmark, n, 16 << 20))
-    sent = docs.sparkSession.sparkContext.broadcast(blocks)
+    hits keep their text untouched; n_chars, if there, is counted anew. A benchmark of one block takes one narrow pass. Of
+    several blocks no task holds more than one: each is written as the rows it hits, and their spans are joined to the
+    documents by doc_id and text hash. `docs` has no columns named _th, _id, _found or _spans."""
+    names, schema, parts = docs.columns, docs.schema, _parts(benchmark, block_bytes)
+    if parts == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(next(_blocks(benchmark, n, block_bytes)))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in small_batches(frames):
-            texts = [t if isinstance(t, str) else None for t in pdf[at]]
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            sizes = [0] * len(texts)
-            for block in sent.value:
-                for i, (size, s, _) in enumerate(block.scan(texts)):
-                    sizes[i] = size
-                    spans[i] += s
+            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
+            if "_spans" in pdf:
+                spans = [[] if s is None else [(x["start"], x["end"]) for x in s] for s in pdf["_spans"]]
+                sizes = [len(words(t)) if s else 0 for t, s in zip(texts, spans, strict=True)]
+                pdf = pdf.drop(columns="_spans")
+            else:
+                got = sent.value.scan(texts)
+                sizes, spans = [g[0] for g in got], [g[1] for g in got]
             keep, new = [], []
             for text, size, s in zip(texts, sizes, spans, strict=True):
                 hit = {i for a, b in s for i in range(a, b)}
                 keep.append(not hit or len(hit) <= max_share * size)
                 new.append(without(text, hit) if hit and keep[-1] else text)
-            pdf[at] = new
+            pdf["text"] = new
             if "n_chars" in names:
                 pdf["n_chars"] = [None if t is None else len(t) for t in new]
             yield pdf[keep]
 
-    return docs.mapInPandas(cut, schema)
+    if parts == 1:
+        return docs.mapInPandas(cut, schema)
+    hits = [_hits(docs, block) for block in _blocks(benchmark, n, block_bytes)]
+    found = reduce(DataFrame.union, hits).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_found")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
+    rows = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
+    rows = rows.join(found, rows["doc_id"].cast("long").eqNullSafe(found["_id"]) & (rows["_th"] == found["_found"]), "left")
+    return rows.select(*names, "_spans").mapInPandas(cut, schema)
 
 
 def without(text: str, hit: set[int]) -> str:
