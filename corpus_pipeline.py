@@ -8,7 +8,7 @@ Parquet and read again before the next one. All but the last return the columns
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import bpe, decontaminate, forest, lines, toxicity
@@ -23,10 +23,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of linked documents."""
+    """One row of each group of linked documents: that of the least doc_id, null ones last, then of the least text hash.
+
+    Of rows that repeat this doc_id and text the least by the other columns stays. Texts without words all stay."""
     docs = docs.select(*COLUMNS)
-    kept = forest.join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    kept = forest.survivors(docs).select(F.col("doc_id").alias("_kept"), F.col("th").alias("_found"), "alone")
+    rows = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
+    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["_kept"]) & (rows["_th"] == kept["_found"]))
+    rows = rows.withColumn("_each", F.when(F.col("alone"), F.monotonically_increasing_id()))
+    order = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_th", "_each").orderBy(*order))).filter("_n = 1").select(*COLUMNS)
 
 
 def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

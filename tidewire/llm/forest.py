@@ -205,8 +205,8 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInPandas(run, "node long, links long, to long")
 
 
-def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int = 32, depth: int = 10, recall: float = 0.9999, block: int = 128) -> DataFrame:
-    """doc_id, text_class, class_id, n_links of each row of `docs` (doc_id, text): see above."""
+def _named(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int = 32, depth: int = 10, recall: float = 0.9999, block: int = 128) -> tuple[DataFrame, DataFrame]:
+    """The rows with their sets' digests, and for each class its row key, copies, links and the root of its group."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = staged(_sign(docs, n, trees, prefix_length(threshold, trees, depth, recall)), "signatures")
@@ -238,8 +238,21 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int = 32, d
 
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(verified.filter("node != to").select(F.col("node").alias("a"), F.col("to").alias("b")))
-    names = classes.select(F.col("s1").alias("node"), "s2", F.col("one.doc_id").alias("text_class"), "copies").join(links, "node", "left").join(linked, "node", "left")
-    names = staged(names.withColumn("root", F.coalesce("root", "node")), "names")
+    names = classes.select(F.col("s1").alias("node"), "s2", "one", F.col("one.doc_id").alias("text_class"), "copies").join(links, "node", "left").join(linked, "node", "left")
+    return signed, staged(names.withColumn("root", F.coalesce("root", "node")), "names")
+
+
+def survivors(docs: DataFrame, **params) -> DataFrame:
+    """(doc_id, th, alone) of the rows that stay, one key for each group of linked rows: the least doc_id, null ones last, and of
+    its texts that with the least hash. Rows without words are linked to nothing: all their keys stay, with `alone` true."""
+    signed, names = _named(docs, **params)
+    one = names.groupBy("root").agg(F.min("one").alias("one")).select("one.doc_id", "one.th", F.lit(False).alias("alone"))
+    return one.union(signed.filter("s1 IS NULL").select("doc_id", "th", F.lit(True).alias("alone")).distinct())
+
+
+def join(docs: DataFrame, **params) -> DataFrame:
+    """doc_id, text_class, class_id, n_links of each row of `docs` (doc_id, text), with the parameters of _named(): see above."""
+    signed, names = _named(docs, **params)
     least = names.groupBy("root").agg(F.min("text_class").alias("class_id"))
     names = names.join(least, "root").select("node", F.col("s2").alias("t2"), "text_class", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     rows = signed.select("doc_id", "s1", "s2").join(names, (F.col("s1") == F.col("node")) & (F.col("s2") == F.col("t2")), "left")
