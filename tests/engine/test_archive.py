@@ -34,6 +34,16 @@ def test_sample(spark, sf_dir):
     assert QUERIES["snapshot_sample"](spark, sf_dir).count() > 0
 
 
+def test_sample_hot_source(spark):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [("hot", at(h / 4), f"d{h % 11}" if h % 5 else None) for h in range(2000)] + [(s, at(h), f"d{h // 40}") for s in (None, "cold") for h in range(0, 200, 3)]
+    df = spark.createDataFrame(rows, "source string, ts timestamp_ntz, digest string").repartition(4)
+    got = snapshots.sample(df, 30.5)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(walk(rows, 30.5), key=str)
+    assert "MapInPandas" not in got._jdf.queryExecution().toString()  # no walk of a whole source in one task
+    assert sorted(map(tuple, snapshots.sample(df, 0).collect()), key=str) == sorted(walk(rows, 0), key=str)
+
+
 def test_resume(spark, tmp_path):
     rows = lambda ids: spark.createDataFrame([(i % 3, dt.datetime(2024, 1, 1, i)) for i in ids], "user_id long, at timestamp")
     src, folder = str(tmp_path / "in"), "file://" + str(tmp_path / "job")

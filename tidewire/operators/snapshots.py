@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,25 +10,31 @@ def sample(snapshots: DataFrame, cadence_hours: float = 84.0) -> DataFrame:
     """Snapshots (source, ts, digest) that are kept: those at least a cadence after the last kept one of their source whose
     digest no kept one has. Null times go; null digests never count as seen.
 
-    The walk depends on order, so that a source is read by one task; rows stream through it in sorted batches, and the only
-    state is the last time and the kept digests, at most one for each cadence of the source's span.
+    Goes in rounds: each takes, for every source at once, the least (ts, digest) a cadence after the last kept one whose
+    digest no kept row has, by a map-side combined minimum, so that no source is read by one task. There are at most as
+    many rounds as cadences in the longest span, and a row of each source comes out of each. Lineage is cut each round.
+    Without a cadence above 0 time doesn't bind: each digest stays once, and all rows without one.
     """
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, last, seen, begun = None, None, set(), False
-        step = pd.Timedelta(hours=cadence_hours)
-        for pdf in frames:
-            keep = []
-            for s, ts, digest in zip(pdf["source"], pdf["ts"], pdf["digest"], strict=True):
-                s = None if pd.isna(s) else s
-                if not begun or s != source:
-                    source, last, seen, begun = s, None, set(), True
-                good = (last is None or ts - last >= step) and (not isinstance(digest, str) or digest not in seen)
-                keep.append(good)
-                if good:
-                    last = ts
-                    seen.add(digest)
-            yield pdf[keep]
-
     rows = snapshots.select("source", "ts", "digest").filter(F.col("ts").isNotNull())
-    return rows.repartition("source").sortWithinPartitions("source", "ts", "digest").mapInPandas(walk, rows.schema)
+    if cadence_hours <= 0:
+        known = rows.filter(F.col("digest").isNotNull()).groupBy("source", "digest").agg(F.min("ts").alias("ts"))
+        return rows.filter(F.col("digest").isNull()).unionByName(known)
+    rows = _cut(rows)
+    step = F.make_dt_interval(secs=F.lit(cadence_hours * 3600).cast("decimal(18,6)"))
+    picked = kept = _cut(_least(rows))
+    while picked.count():
+        last = picked.select(F.col("source").alias("_source"), (F.col("ts") + step).alias("_from"))
+        seen = kept.select(F.col("source").alias("_source"), F.col("digest").alias("_digest"))
+        later = rows.join(last, F.col("source").eqNullSafe(F.col("_source")) & (F.col("ts") >= F.col("_from"))).select("source", "ts", "digest")
+        fresh = later.join(seen, F.col("source").eqNullSafe(F.col("_source")) & (F.col("digest") == F.col("_digest")), "left_anti")
+        picked = _cut(_least(fresh))
+        kept = _cut(kept.union(picked))
+    return kept
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("source").agg(F.min(F.struct("ts", "digest")).alias("one")).select("source", "one.ts", "one.digest")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
