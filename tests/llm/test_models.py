@@ -136,3 +136,11 @@ def test_url_model():
             x = urls.features(*urls.parts(u))
             right.append((w[x].sum() / np.sqrt(max(1, len(x))) + b > 0) == y)
     assert np.mean(right) > 0.9
+
+
+def test_url_table_is_neutral(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").where("url IS NOT NULL").collect()
+    hosts = {urls.parts(r["url"])[0] for r in pages}
+    known = {label for h in hosts for label in h.split(".")} - {"com", "org", "net", "www"}
+    own = {urls.parts(u)[0] for u, _ in urls.labelled_urls()}
+    assert not known & {label for h in own for label in h.split(".")} and not known & set(urls.BLOCKED + urls.WANTED)

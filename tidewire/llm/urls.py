@@ -23,16 +23,17 @@ from pyspark.sql import functions as F
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 SIZE = 1 << 15
 
-#: The labelled table: unwanted and wanted hosts, each taken with a few paths and prefixes by labelled_urls().
-BLOCKED = "casino-win free-bets adult-x spam-farm best-casino online-casino bet-now sports-bets poker-room slots-win jackpot-spin free-spins xxx-video adult-cams hot-singles porn-tube cheap-pills pharma-deals viagra-shop weight-loss-pills link-farm spam-links seo-spam click-farm free-money win-prize crypto-doubler payday-loans replica-watches warez-crack torrent-free malware-drop phish-login".split()
-WANTED = "news library university museum weather research daily-post science-journal city-council health-info open-data travel-notes kitchen garden history physics math-forum code-review book-club film-archive music-school radio sports-report local-times encyclopedia dictionary maps railway parliament court hospital school thether tionble heres andsh oning sterly reader writer planet ocean forest river mountain valley".split()
+#: The labelled table: unwanted and wanted hosts of common words, none of them from the test tables, each taken with a few paths and
+#: prefixes by labelled_urls().
+BLOCKED = "best-casino online-casino bet-now sports-bets poker-room slots-win jackpot-spin free-spins xxx-video adult-cams hot-singles porn-tube pharma-deals viagra-shop weight-loss-pills link-farm spam-links seo-spam click-farm free-money win-prize crypto-doubler payday-loans replica-watches warez-crack torrent-free malware-drop phish-login".split()
+WANTED = "news library university museum weather research daily-post science-journal city-council health-info open-data travel-notes kitchen garden history physics math-forum code-review book-club film-archive music-school radio sports-report local-times encyclopedia dictionary maps railway parliament court hospital school reader writer planet ocean forest river mountain valley".split()
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """A few hundred labelled URLs: each host with prefixes and sections in turn."""
-    fronts, sections = ("", "www.", "m.", "blog."), ("en", "de", "fr", "es")
-    ends = ("com", "org", "net")
-    return [(f"https://{fronts[(i + k) % 4]}{host}.example.{ends[(i + k) % 3]}/{sections[(i // 2 + k) % 4]}/{(i * 37 + k * 101) % 1000}", y) for y, hosts in ((1, BLOCKED), (0, WANTED)) for i, host in enumerate(hosts) for k in range(4)]
+    """A few hundred labelled URLs: each host with prefixes, endings and paths in turn, the same for both labels."""
+    fronts, ends = ("", "www.", "web.", "my."), ("com", "org", "net", "info", "eu")
+    paths = ("/", "/about", "/articles/{}", "/index.php?id={}", "/archive/{}/view")
+    return [(f"https://{fronts[(i + k) % 4]}{host}.{ends[(i + k) % 5]}{paths[(i // 2 + k) % 5].format((i * 37 + k * 101) % 1000)}", y) for y, hosts in ((1, BLOCKED), (0, WANTED)) for i, host in enumerate(hosts) for k in range(4)]
 
 
 def parts(url: str | None) -> tuple[str, str]:
