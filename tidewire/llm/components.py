@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of `edges` (a long, b long); root is the least node of its component.
 
-    Each round hangs every node's larger neighbours, then its smaller ones, onto its least neighbour. Rounds are a
-    logarithm of the longest path. Lineage is cut each round by checkpoint(), in the shared folder. A hub's neighbours
-    are never gathered: the least one is a map-side combined aggregate, joined back."""
+    Each round hangs every node's larger neighbours, then its smaller ones, onto its least neighbour, until no edge
+    changes: a logarithm of the longest path in rounds, and always an end, since roots only fall. Lineage is cut each
+    round by checkpoint(), in the shared folder. A hub's neighbours are never gathered: the least one is a map-side
+    combined aggregate, joined back.
+    Defined cases: repeated edges count once; an edge from a node to itself, and one with a null end, are no edges, so that
+    a node without others isn't in the result; an empty table gives an empty result; other columns are ignored."""
     shared_dir(edges.sparkSession)
     a, b = F.col("a"), F.col("b")
     now = edges.filter("a != b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct().checkpoint()
     before = None
-    for _ in range(most):
+    while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
