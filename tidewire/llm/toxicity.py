@@ -10,7 +10,8 @@ Defined cases: null, empty and blank texts have no tokens and get the score of n
 scores; without labelled rows of both kinds, or where no token can be labelled toxic, every score is 0 and nothing is
 tagged; extra columns are ignored. Training rows are distinct texts: a shared beginning makes no copies.
 Scale: training on at most `most` labelled rows; scoring is narrow, with one broadcast of the weights; long texts are
-scored whole, and the memory of a task is a slice of about 12 million characters or one longer text.
+scored whole, and the memory of a task is a slice of about 3 million bytes of text, or one longer
+text, with 64 bytes a token, and a bounded store of emissions.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import edited, mapped, plain
 from .labelled import held_out, sample
 
 SIZE = 1 << 18
+SLICE = 3_000_000  # bytes of text scored abreast
 STRIP = ".,;:!?\"'()[]{}*#%$&|"
 TOKEN = re.compile(r"\S+")
 
@@ -63,8 +65,8 @@ def token_labels(rows: list[tuple[str | None, int]], share: float = 0.03, odds:
     return [(tokens, [int(y == 1 and any(b in bad for b in _begins(w))) for w in tokens]) for tokens, y in docs]
 
 
-def marginals(x: np.ndarray, sizes: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(toxic) of every token, and the expected number of each transition (2 x 2), over documents laid end to end.
+def marginals(x: np.ndarray, sizes: np.ndarray, step: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """P(toxic) of every token, and with `pairs` the expected number of each transition (2 x 2), over documents laid end to end.
 
     x: exp of the emission weight of "toxic" against "other" for each token; step[i, j]: exp of a transition's weight.
     Forward and backward run over all documents abreast, the longest first, as ratios of the two tags' weights."""
@@ -91,6 +93,8 @@ def marginals(x: np.ndarray, sizes: np.ndarray, step: np.ndarray) -> tuple[np.nd
         s[:k] = (c + d * z) / (a + b * z)
         g[at] = s[:k]
     p = f * g / (1 + f * g)
+    if not pairs:
+        return p, None
     # pairs of neighbours within a document
     inner = np.ones(len(x), dtype=bool)
     inner[np.cumsum(sizes)[sizes > 0] - 1] = False
@@ -151,7 +155,7 @@ class Crf:
         return math.exp(min(30.0, max(-30.0, float(self.w[features(token)].sum()))))
 
     def _evidence(self, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        p, _ = marginals(x, sizes, np.exp(self.step))
+        p, _ = marginals(x, sizes, np.exp(self.step), pairs=False)
         edge = np.concatenate([[0], np.cumsum(sizes)])
         total = np.concatenate([[0.0], np.cumsum(p)])
         most = np.zeros(len(sizes))
@@ -174,13 +178,21 @@ class Crf:
             v += np.clip(np.linalg.solve(h, m.T @ (weigh * (y - q)) - 1e-2 * v), -1, 1)
         self.doc = tuple(v)
 
-    def score(self, texts: list[str | None], store: Emissions) -> list[tuple[float, list[tuple[int, int]]]]:
-        """Score and [start, end) character offsets of the tokens with a marginal of 0.5 or more, for each text."""
+    def scores(self, texts: list[str | None], store: Emissions) -> np.ndarray:
+        """Score of each text."""
+        return self._scored(texts, store)[3]
+
+    def _scored(self, texts: list[str | None], store: Emissions) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Marginals of all tokens laid end to end, tokens of each text, and each text's largest marginal and score."""
         tokens = [t.split() if t else [] for t in texts]
         sizes = np.array([len(w) for w in tokens], dtype=np.int64)
         x = np.fromiter(map(store.__getitem__, chain.from_iterable(tokens)), dtype=np.float64, count=int(sizes.sum()))
         p, total, most = self._evidence(x, sizes)
-        scores = 1 / (1 + np.exp(-(np.log1p(total) * self.doc[0] + most * self.doc[1] + self.doc[2])))
+        return p, sizes, most, 1 / (1 + np.exp(-(np.log1p(total) * self.doc[0] + most * self.doc[1] + self.doc[2])))
+
+    def score(self, texts: list[str | None], store: Emissions) -> list[tuple[float, list[tuple[int, int]]]]:
+        """Score and [start, end) character offsets of the tokens with a marginal of 0.5 or more, for each text."""
+        p, sizes, most, scores = self._scored(texts, store)
         edge = np.concatenate([[0], np.cumsum(sizes)])
         out, learned = [], self.w.any()
         for i, t in enumerate(texts):
@@ -188,7 +200,7 @@ class Crf:
             if learned and most[i] >= 0.5:
                 hit = set(np.flatnonzero(p[edge[i] : edge[i + 1]] >= 0.5).tolist())
                 at = 0
-                for k, w in enumerate(tokens[i]):
+                for k, w in enumerate(t.split()):
                     at = t.index(w, at)
                     if k in hit:
                         spans.append((at, at + len(w)))
@@ -198,19 +210,20 @@ class Crf:
 
 
 class Emissions(dict):
-    """Emission of each token, kept for the last `cached` to twice as many tokens."""
+    """Emission of each token of fewer than 64 characters, kept for the last `cached` to twice as many tokens: some 20 MB."""
 
-    def __init__(self, crf: Crf, cached: int = 300_000):
+    def __init__(self, crf: Crf, cached: int = 60_000):
         self.crf, self.cached, self.old = crf, cached, {}
 
     def __missing__(self, token: str) -> float:
         got = self.old.get(token)
         if got is None:
             got = self.crf.emissions(token)
-        if len(self) >= self.cached:
-            self.old = dict(self)
-            self.clear()
-        self[token] = got
+        if len(token) < 64:
+            if len(self) >= self.cached:
+                self.old = dict(self)
+                self.clear()
+            self[token] = got
         return got
 
 
@@ -225,11 +238,11 @@ def tag(docs: DataFrame, crf: Crf) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store = Emissions(sent.value)
-        for pdf in small_batches(frames, chars=12_000_000):
-            got = sent.value.score([t if isinstance(t, str) else None for t in pdf["text"]], store)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": [g[0] for g in got], "spans": [[{"start": a, "end": b} for a, b in g[1]] for g in got]})
+        for pdf in frames:
+            got = sent.value.score(pdf["text"].tolist(), store)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [g[0] for g in got], "spans": [[{"start": a, "end": b} for a, b in g[1]] for g in got]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
+    return mapped(plain(docs), run, "doc_id long, score double, spans array<struct<start:int,end:int>>", "text", SLICE)
 
 
 def judge(docs: DataFrame, labels: DataFrame, most: int = 4000) -> DataFrame:
@@ -240,11 +253,11 @@ def judge(docs: DataFrame, labels: DataFrame, most: int = 4000) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, most: int = 4000, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs`, all columns as they are, whose score is below `threshold`."""
     sent = docs.sparkSession.sparkContext.broadcast(model(docs, labels, most=most))
+    held: list[Emissions] = []  # one store for all slices of a task
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store = Emissions(sent.value)
-        for pdf in small_batches(frames, chars=12_000_000):
-            got = sent.value.score([t if isinstance(t, str) else None for t in pdf["text"]], store)
-            yield pdf[[g[0] < threshold for g in got]]
+    def clean(texts: list[str | None]) -> tuple[list[str | None], list[bool]]:
+        if not held:
+            held.append(Emissions(sent.value))
+        return texts, (sent.value.scores(texts, held[0]) < threshold).tolist()
 
-    return docs.mapInPandas(run, docs.schema)
+    return edited(docs, docs, clean, size=SLICE)
