@@ -1,21 +1,20 @@
-"""Substring dedup by hashing of units: normalised units, grouped by digest over all documents; the earliest one stays.
-
-A unit is a sentence within a line: a line is cut behind ".", "!" and "?", since passages get spliced into other lines
-and only their inner sentences meet again unchanged. Units of fewer than `least` words are never removed: they repeat by
-chance. Normalised: lower case, white space runs as one blank. Digest: 128 bits. The earliest occurrence is that of the
-least (rank, doc_id, place in the text), with rank an optional column; all others are removed, and what is removed is
-given as character ranges of the original text.
-
-With `whole`, as in remove(), lines are units too, and the first ones: a line that isn't blank, of any number of words,
-goes whole with its line break where the same normalised line, or a sentence equal to it, stands earlier; sentences go
-only from lines that stay. A repeated paragraph is a run of repeated lines, and goes with them. report() has sentences
-only, as the SQL of op1_lines defines them.
-
-Defined cases: null and empty texts have no units and stay as they are; rows that repeat a doc_id and text count as one
-document, so that both keep what one keeps; equal texts under different ids leave their units to the first; a null id or
-rank sorts first; an empty table gives an empty result.
+"""Substring dedup by hashing of units: normalised lines, grouped by digest over all documents; the earliest one stays.
+
+A unit is a line that isn't blank. Normalised: lower case, white space runs as one blank. Digest: 128 bits. The earliest
+occurrence is that of the least (rank, doc_id, place in the text), with rank an optional column; all others are removed,
+each with its line break, and what is removed is given as character ranges of the original text. A repeated paragraph is
+a run of repeated lines, and goes with them.
+
+With `sentences`, a number of words, sentences of so many words or more within the lines are units too (a line is cut
+behind ".", "!" and "?"): for passages spliced into other lines. A line goes where the same line, or a sentence equal to
+it, stands earlier; sentences go only from lines that stay.
+
+Defined cases: null and empty texts have no units and stay as they are; rows that repeat a doc_id and text are one
+document and keep alike what that document keeps (equal texts under different ids leave their units to the first); a null
+id or rank sorts first; an empty table gives an empty result; columns of any name may stand beside doc_id and text.
 Scale: units (about 60 bytes each) are shuffled once for the groups' first places and counts, after map-side
-combination, and once for the join with the repeated digests; texts once with their removals. No group is gathered.
+combination, and once for the join with the repeated digests; texts once with their removals. No group is gathered, and a
+unit of a third of all rows is one row of each map task after the combination; the join on it is left to skew handling.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import edited, ids, mapped, plain, with_found
 
 PIECE = re.compile(r"[^\n.!?]+[.!?]*")
 LINE = re.compile(r"[^\n]+\n?")
@@ -40,44 +39,42 @@ def _digest(words: list[str]) -> tuple[int, int]:
     return struct.unpack("<qq", hashlib.md5(" ".join(words).lower().encode(), usedforsecurity=False).digest())
 
 
-def units(text: str | None, least: int, whole: bool = False) -> list[tuple[int, int, int, int]]:
-    """(start, end, digest's halves) of each sentence of `least` words or more and, with `whole`, of each line."""
-    out, lines = [], {}
-    for m in LINE.finditer(text) if text and whole else ():
+def units(text: str | None, sentences: int | None = None) -> list[tuple[int, int, int, int]]:
+    """(start, end, digest's halves) of each line and, if given, of each sentence of so many words."""
+    lines = {}
+    for m in LINE.finditer(text or ""):
         if words := m[0].split():
             lines[m.start()] = (m.start(), m.end(), *_digest(words))
-    out += lines.values()
-    for m in PIECE.finditer(text) if text else ():
+    out = [*lines.values()]
+    for m in PIECE.finditer(text or "") if sentences else ():
         words = m[0].split()
-        if len(words) >= least:
+        if len(words) >= sentences:
             d = _digest(words)
             if lines.get(m.start(), ())[2:] != d:  # else the line is this sentence
                 out.append((m.start(), m.end(), *d))
     return out
 
 
-def _rows(docs: DataFrame, least: int, rank: str | None, whole: bool) -> DataFrame:
-    text = F.col("text").cast("string")
-    first = (F.col(rank) if rank else F.lit(0)).alias("rank")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), first)
+def _rows(docs: DataFrame, sentences: int | None, rank: str | None) -> DataFrame:
+    rows = docs.select(ids(docs).alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(rank) if rank else F.lit(0)).alias("rank")).withColumn("th", F.xxhash64("text"))
     kind = rows.schema["rank"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in small_batches(frames):
-            own = [units(t if isinstance(t, str) else None, least, whole) for t in pdf["text"]]
+        for pdf in frames:
+            own = [units(t, sentences) for t in pdf["text"]]
             size = [len(u) for u in own]
             if not sum(size):
                 continue
             cols = np.array([u for us in own for u in us], dtype=np.int64)
             out = pdf[["doc_id", "th", "rank"]].loc[pdf.index.repeat(size)].reset_index(drop=True)
-            yield out.astype({"doc_id": "Int64"}).assign(a=cols[:, 0].astype(np.int32), b=cols[:, 1].astype(np.int32), d1=cols[:, 2], d2=cols[:, 3])
+            yield out.assign(a=cols[:, 0], b=cols[:, 1], d1=cols[:, 2], d2=cols[:, 3])
 
-    return rows.mapInPandas(run, f"doc_id long, th long, rank {kind}, a int, b int, d1 long, d2 long")
+    return mapped(rows, run, f"doc_id long, th long, rank {kind}, a int, b int, d1 long, d2 long", "text")
 
 
-def find(docs: DataFrame, least: int = 5, rank: str | None = None, whole: bool = False) -> DataFrame:
+def find(docs: DataFrame, sentences: int | None = None, rank: str | None = None) -> DataFrame:
     """(doc_id, th, spans) of the rows that lose units: spans are character ranges [a, b), by start; a line's holds its sentences'."""
-    rows = _rows(docs, least, rank, whole)
+    rows = _rows(docs, sentences, rank)
     groups = rows.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("rank", "doc_id", "th", "a")).alias("one")).filter("c > 1").drop("c")
     is_first = F.col("one.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("one.th") == F.col("th")) & (F.col("one.a") == F.col("a"))
     gone = rows.join(groups, ["d1", "d2"]).filter(~is_first).select("doc_id", "th", "a", "b").distinct()
@@ -94,41 +91,23 @@ def _without(text: str, spans) -> str:
     return "".join(out)
 
 
-def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
-    keyed = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_found"), F.col("spans").alias("_spans"))
-    return keyed.join(found, keyed["doc_id"].cast("long").eqNullSafe(found["_id"]) & (keyed["_th"] == found["_found"]), "left")
-
-
-def remove(docs: DataFrame, least: int = 5, rank: str | None = None, whole: bool = True) -> DataFrame:
-    """All rows and columns of `docs`, text without the removed lines and sentences; n_chars, if there, is counted anew.
-
-    `docs` has no columns named _th, _id, _found or _spans."""
-    rows = _joined(docs, find(docs, least, rank, whole)).select(*docs.columns, "_spans")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in small_batches(frames):
-            pdf["text"] = [t if s is None else _without(t, s) for t, s in zip(pdf["text"], pdf["_spans"], strict=True)]
-            yield pdf.drop(columns="_spans")
-
-    cut = rows.mapInPandas(run, docs.schema)
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+def remove(docs: DataFrame, sentences: int | None = None, rank: str | None = None) -> DataFrame:
+    """All rows and columns of `docs`, text without the removed units; n_chars, if there, is counted anew where a text changed."""
+    rows, (spans,) = with_found(docs, find(docs, sentences, rank), "spans")
+    return edited(rows, docs, lambda texts, found: ([t if s is None else _without(t, s) for t, s in zip(texts, found, strict=True)], None), (spans,))
 
 
-def report(docs: DataFrame, least: int = 5, rank: str | None = None) -> DataFrame:
+def report(docs: DataFrame, sentences: int | None = None, rank: str | None = None) -> DataFrame:
     """doc_id, n_units, n_removed (units), chars_removed, removed ("a-b,..." in characters), kept_sha256, changed."""
-    rows = _joined(docs.select("doc_id", "text", *([rank] if rank and rank != "doc_id" else [])), find(docs, least, rank)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_spans")
+    rows, (spans,) = with_found(plain(docs), find(docs, sentences, rank), "spans")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in small_batches(frames):
+        for pdf in frames:
             out = []
-            for i, t, s in zip(pdf["doc_id"], pdf["text"], pdf["_spans"], strict=True):
-                t, s = t if isinstance(t, str) else "", [] if s is None else s
-                n = sum(1 for m in PIECE.finditer(t) if len(m[0].split()) >= least)
+            for i, t, s in zip(pdf["doc_id"], pdf["text"], pdf[spans], strict=True):
+                t, s = t or "", [] if s is None else s
                 kept = _without(t, s)
-                out.append((i, n, len(s), len(t) - len(kept), ",".join(f"{x['a']}-{x['b']}" for x in s), hashlib.sha256(kept.encode()).hexdigest(), len(s) > 0))
-            yield pd.DataFrame(out, columns=["doc_id", "n_units", "n_removed", "chars_removed", "removed", "kept_sha256", "changed"]).astype({"doc_id": "Int64"})
+                out.append((i, len(units(t, sentences)), len(s), len(t) - len(kept), ",".join(f"{x['a']}-{x['b']}" for x in s), hashlib.sha256(kept.encode()).hexdigest(), len(s) > 0))
+            yield pd.DataFrame(out, columns=["doc_id", "n_units", "n_removed", "chars_removed", "removed", "kept_sha256", "changed"])
 
-    return rows.mapInPandas(run, "doc_id long, n_units long, n_removed long, chars_removed long, removed string, kept_sha256 string, changed boolean")
+    return mapped(rows, run, "doc_id long, n_units long, n_removed long, chars_removed long, removed string, kept_sha256 string, changed boolean", "text")
