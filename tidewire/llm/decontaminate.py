@@ -2,19 +2,21 @@
 
 The words of a text are the runs of digits, ASCII letters (lower-cased) and non-ASCII characters. A window is `n`
 consecutive words of one benchmark item; an item with fewer words, but not none, is one window. A document word inside
-any occurrence of a window is hit.
+any occurrence of a window is hit. Hits of the hash set are verified word by word.
 
-Defined cases: a null, empty or word-free text has no words and no hits; a null or word-free item has no windows;
-repeated documents and items are each judged by themselves; an empty benchmark hits nothing; extra columns are ignored.
+Defined cases: a null, empty or word-free text has no words and no hits; a null or word-free item has no windows; the
+windows of an item with a null item_id hit like any others, but it has no name to be listed or counted by; repeated
+documents and items are each judged by themselves; an empty benchmark hits nothing; columns of any name may stand beside
+those that are read.
 
-Scale: one narrow pass over the documents for each block of the benchmark, no shuffle for a single block. The benchmark
-is broadcast only up to `block_bytes` of text at a time; a larger one is cut into blocks by a hash of item_id, and the
-blocks' hits of a document are united with one shuffle of the hits alone.
+Scale: one narrow pass over the documents for each block of the benchmark, no shuffle for a single block. A block is
+broadcast as sorted arrays: about 5 bytes for each byte of its text, and its distinct words. A benchmark of more than
+`block_bytes` of text is cut into blocks by a hash of item_id and text; no task and no driver holds more than one. Each
+block's hits are written; all hits are grouped once by document, and joined once.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
@@ -24,66 +26,88 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, small_batches, staged
+from .common import edited, keyed, mapped, staged, with_found
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SPANS = "array<struct<start:int,end:int>>"
+BLOCK_BYTES = 4 << 20
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_WORDS).split() if text else []
 
 
+def _mix(rows: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(rows), dtype=np.uint64)
+    for j in range(rows.shape[1]):
+        h = (h ^ rows[:, j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 class NgramSet:
-    """Windows of benchmark items: word numbers, and for each window length the rows of word numbers with their items."""
+    """Windows of benchmark items. For each window length: sorted hashes, the place of one occurrence of each distinct window in
+    `flat`, the items' words as numbers laid end to end, and the items of each window (`edge` into `of`)."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
         self.vocab: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
-        for item, text in items:
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words(text)], dtype=np.int32)
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                self.windows.setdefault(size, {}).setdefault(ids[i : i + size].tobytes(), set()).add(item)
-        self.hashes = {size: np.unique(_mix(np.frombuffer(b"".join(rows), dtype=np.int32).reshape(-1, size))) for size, rows in self.windows.items()}
-
-    def scan(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-        """For each text: its number of words, its hit word spans [start, end), the items whose windows occur."""
+        parts = [np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words(text)], dtype=np.int32) for _, text in items]
+        self.names = [item for item, _ in items]
+        self.flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
+        size = np.array([len(p) for p in parts], dtype=np.int64)
+        first = np.cumsum(size) - size
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        length = np.minimum(size, n)
+        for k in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == k)
+            count = size[own] - k + 1
+            item = np.repeat(own, count)
+            at = np.repeat(first[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            h = _mix(self.flat[at[:, None] + np.arange(k)])
+            order = np.lexsort((at, h))
+            h, at, item = h[order], at[order], item[order]
+            # equal hashes with unequal words, should there be any, stay entries of their own
+            new = np.ones(len(h), dtype=bool)
+            same = np.flatnonzero(h[1:] == h[:-1]) + 1
+            new[same] = (self.flat[at[same][:, None] + np.arange(k)] != self.flat[at[same - 1][:, None] + np.arange(k)]).any(axis=1)
+            self.windows[k] = h[new], at[new], np.append(np.flatnonzero(new), len(h)), item
+
+    def scan(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+        """For each text: its number of words, its hit word spans [start, end), the items whose windows occur, sorted."""
         found = [words(t) for t in texts]
-        sizes = np.array([len(w) + 1 for w in found])  # one more: a gap that no window crosses
-        first = np.concatenate([[0], np.cumsum(sizes)])
+        sizes = np.array([len(w) + 1 for w in found], dtype=np.int64)  # one more: a gap that no window crosses
+        first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         ids = np.full(first[-1], -1, dtype=np.int32)
         for at, w in zip(first, found, strict=False):
             ids[at : at + len(w)] = np.fromiter(map(self.vocab.get, w, repeat(-1)), dtype=np.int32, count=len(w))
         unknown = np.concatenate([[0], np.cumsum(ids < 0)])
-        edge = np.zeros(len(ids) + 1, dtype=np.int32)
+        edge = np.zeros(len(ids) + 1, dtype=np.int64)
         items: list[set[str]] = [set() for _ in texts]
-        for size, rows in self.windows.items():
-            if len(ids) < size:
+        for k, (hashes, place, bound, item) in self.windows.items():
+            if len(ids) < k:
                 continue
-            at = np.flatnonzero(unknown[size:] == unknown[:-size])
-            at = at[np.isin(_mix(ids[at[:, None] + np.arange(size)]), self.hashes[size])]
-            for i, doc in zip(at, np.searchsorted(first, at, side="right") - 1, strict=True):
-                if (own := rows.get(ids[i : i + size].tobytes())) is not None:  # verified word by word
-                    items[doc] |= own
-                    edge[i] += 1
-                    edge[i + size] -= 1
-        hit = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]])
-        turn = np.diff(hit)
+            at = np.flatnonzero(unknown[k:] == unknown[:-k])
+            h = _mix(ids[at[:, None] + np.arange(k)])
+            entry = np.searchsorted(hashes, h)
+            while len(at):
+                inside = entry < len(hashes)
+                at, h, entry = at[inside], h[inside], entry[inside]
+                match = hashes[entry] == h
+                at, h, entry = at[match], h[match], entry[match]
+                equal = (ids[at[:, None] + np.arange(k)] == self.flat[place[entry][:, None] + np.arange(k)]).all(axis=1)  # verified word by word
+                np.add.at(edge, at[equal], 1)
+                np.add.at(edge, at[equal] + k, -1)
+                docs = np.searchsorted(first, at[equal], side="right") - 1
+                for doc, e in np.unique(np.stack([docs, entry[equal]], axis=1), axis=0).tolist():
+                    items[doc].update(self.names[i] for i in item[bound[e] : bound[e + 1]].tolist() if self.names[i] is not None)
+                entry = entry + 1
+        turn = np.diff(np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]]))
         starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
         docs = np.searchsorted(first, starts, side="right") - 1
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
         for s, e, doc in zip(starts, ends, docs, strict=True):
             spans[doc].append((int(s - first[doc]), int(e - first[doc])))
-        return [(len(w), s, i) for w, s, i in zip(found, spans, items, strict=True)]
-
-
-def _mix(rows: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(rows), dtype=np.uint64)
-    for j in range(rows.shape[1]):
-        h = (h ^ rows[:, j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
+        return [(len(w), s, sorted(i)) for w, s, i in zip(found, spans, items, strict=True)]
 
 
 def _parts(benchmark: DataFrame, block_bytes: int) -> int:
@@ -91,54 +115,64 @@ def _parts(benchmark: DataFrame, block_bytes: int) -> int:
     return -(-total // block_bytes) or 1
 
 
-def _blocks(benchmark: DataFrame, n: int, block_bytes: int) -> Iterator[NgramSet]:
-    """The benchmark as n-gram sets of at most about `block_bytes` of text each, one after the other."""
+def _blocks(benchmark: DataFrame, n: int, parts: int) -> Iterator[NgramSet]:
+    """The benchmark as `parts` n-gram sets, one after the other."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    parts = _parts(benchmark, block_bytes)
     for k in range(parts):
-        part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
+        part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
         yield NgramSet([tuple(r) for r in part.collect()], n)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, text, n_words, spans (hit words, [start, end)), items (sorted as strings) for each document."""
-    spark = docs.sparkSession
-    schema = f"doc_id long, text string, th long, n_words long, spans {SPANS}, items array<string>"
-    parts = []
-    for block in _blocks(benchmark, n, block_bytes):
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    new: list[list[int]] = []
+    for a, b in sorted(spans):
+        if new and a <= new[-1][1]:
+            new[-1][1] = max(new[-1][1], b)
+        else:
+            new.append([a, b])
+    return [(a, b) for a, b in new]
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, n: int, parts: int) -> DataFrame:
+    """(doc_id, th, spans, items) of the rows that any block hits, once for each key. A block's hits are written before the next is read."""
+    spark, found, own = docs.sparkSession, [], keyed(docs)
+    for block in _blocks(benchmark, n, parts):
         sent = spark.sparkContext.broadcast(block)
 
         def scan(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for pdf in small_batches(frames):
-                got = sent.value.scan([t if isinstance(t, str) else None for t in pdf["text"]])
-                yield pdf.assign(n_words=[g[0] for g in got], spans=[[{"start": a, "end": b} for a, b in g[1]] for g in got], items=[sorted(g[2]) for g in got])
-
-        parts.append(keyed(docs).mapInPandas(scan, schema))
-    out = parts[0]
-    for other in parts[1:]:
-        hits = other.filter(F.size("items") > 0).select("doc_id", "th", F.col("spans").alias("more"), F.col("items").alias("also")).dropDuplicates(["doc_id", "th"])
-        out = out.join(hits, out["doc_id"].eqNullSafe(hits["doc_id"]) & (out["th"] == hits["th"]), "left").select(
-            out["doc_id"], "text", out["th"], "n_words",
-            F.when(hits["th"].isNull(), F.col("spans")).otherwise(F.concat("spans", "more")).alias("spans"),
-            F.when(hits["th"].isNull(), F.col("items")).otherwise(F.array_sort(F.array_union("items", "also"))).alias("items"),
-        )
-    if len(parts) > 1:
-        out = out.mapInPandas(_united, out.schema)
-    return out.drop("th")
-
-
-def _united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        rows = []
-        for spans in pdf["spans"]:
-            new: list[dict] = []
-            for s in sorted(({"start": s["start"], "end": s["end"]} for s in spans), key=lambda s: (s["start"], s["end"])):
-                if new and s["start"] <= new[-1]["end"]:
-                    new[-1]["end"] = max(new[-1]["end"], s["end"])
-                else:
-                    new.append(s)
-            rows.append(new)
-        yield pdf.assign(spans=rows)
+            for pdf in frames:
+                got = sent.value.scan(pdf["text"].tolist())
+                hit = [bool(g[1]) for g in got]
+                if any(hit):
+                    yield pdf.loc[hit, ["doc_id", "th"]].assign(spans=[[{"start": a, "end": b} for a, b in g[1]] for g in got if g[1]], items=[g[2] for g in got if g[1]])
+
+        found.append(staged(mapped(own, scan, f"doc_id long, th long, spans {SPANS}, items array<string>", "text").dropDuplicates(["doc_id", "th"]), "hits"))
+        sent.destroy()
+    # the hits of one text: bounded by the text and the items that it holds
+    return reduce(DataFrame.union, found).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, text, n_words, spans (hit words, [start, end)), items (sorted as strings) for each document."""
+    schema = f"doc_id long, text string, n_words long, spans {SPANS}, items array<string>"
+    parts = _parts(benchmark, block_bytes)
+    if parts == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(next(_blocks(benchmark, n, 1)))
+
+        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                got = sent.value.scan(pdf["text"].tolist())
+                yield pdf.assign(n_words=[g[0] for g in got], spans=[[{"start": a, "end": b} for a, b in g[1]] for g in got], items=[g[2] for g in got])
+
+        return mapped(keyed(docs).drop("th"), scan, schema, "text")
+
+    def unite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            spans = [[] if own is None else [{"start": a, "end": b} for a, b in _united([(s["start"], s["end"]) for s in own])] for own in pdf[names[0]]]
+            yield pdf.assign(n_words=[len(words(t)) for t in pdf["text"]], spans=spans, items=[[] if i is None else i for i in pdf[names[1]]])
+
+    rows, names = with_found(keyed(docs).drop("th"), _hits(docs, benchmark, n, parts), "spans", "items")
+    return mapped(rows, unite, schema, "text")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -147,60 +181,37 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def _hits(docs: DataFrame, block: NgramSet) -> DataFrame:
-    """(doc_id, th, spans) of the rows of `docs` that one block hits, once for each key, written before the next block is read."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+def strip(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Documents (all columns of `docs`, in order) without their hit words; a document of which more than `max_share` of the words are hit goes.
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in small_batches(frames):
-            got = sent.value.scan([t if isinstance(t, str) else None for t in pdf["text"]])
-            hit = [bool(g[1]) for g in got]
-            if any(hit):
-                yield pdf.loc[hit, ["doc_id", "th"]].assign(spans=[[{"start": a, "end": b} for a, b in g[1]] for g in got if g[1]])
+    A removed span runs from the first byte of its first word to the last byte of its last word. Documents without
+    hits keep their text untouched; n_chars, if there, is counted anew where a text changed. A benchmark of one block takes
+    one narrow pass."""
+    parts = _parts(benchmark, block_bytes)
 
-    found = staged(keyed(docs).mapInPandas(scan, f"doc_id long, th long, spans {SPANS}").dropDuplicates(["doc_id", "th"]), "hits")
-    sent.destroy()
-    return found
+    def cut(texts: list[str | None], sizes: list[int], spans: list[list[tuple[int, int]]]) -> tuple[list[str | None], list[bool]]:
+        keep, new = [], []
+        for text, size, own in zip(texts, sizes, spans, strict=True):
+            hit = {i for a, b in own for i in range(a, b)}
+            keep.append(not hit or len(hit) <= max_share * size)
+            new.append(without(text, hit) if hit and keep[-1] else text)
+        return new, keep
 
+    if parts == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(next(_blocks(benchmark, n, 1)))
 
-def strip(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_share: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
-    """Documents (all columns of `docs`, in order) without their hit words; a document of which more than `max_share` of the words are hit goes.
+        def scan(texts: list[str | None]) -> tuple[list[str | None], list[bool]]:
+            got = sent.value.scan(texts)
+            return cut(texts, [g[0] for g in got], [g[1] for g in got])
 
-    A removed span runs from the first byte of its first word to the last byte of its last word. Documents without
-    hits keep their text untouched; n_chars, if there, is counted anew. A benchmark of one block takes one narrow pass. Of
-    several blocks no task holds more than one: each is written as the rows it hits, and their spans are joined to the
-    documents by doc_id and text hash. `docs` has no columns named _th, _id, _found or _spans."""
-    names, schema, parts = docs.columns, docs.schema, _parts(benchmark, block_bytes)
-    if parts == 1:
-        sent = docs.sparkSession.sparkContext.broadcast(next(_blocks(benchmark, n, block_bytes)))
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in small_batches(frames):
-            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
-            if "_spans" in pdf:
-                spans = [[] if s is None else [(x["start"], x["end"]) for x in s] for s in pdf["_spans"]]
-                sizes = [len(words(t)) if s else 0 for t, s in zip(texts, spans, strict=True)]
-                pdf = pdf.drop(columns="_spans")
-            else:
-                got = sent.value.scan(texts)
-                sizes, spans = [g[0] for g in got], [g[1] for g in got]
-            keep, new = [], []
-            for text, size, s in zip(texts, sizes, spans, strict=True):
-                hit = {i for a, b in s for i in range(a, b)}
-                keep.append(not hit or len(hit) <= max_share * size)
-                new.append(without(text, hit) if hit and keep[-1] else text)
-            pdf["text"] = new
-            if "n_chars" in names:
-                pdf["n_chars"] = [None if t is None else len(t) for t in new]
-            yield pdf[keep]
+        return edited(docs, docs, scan)
 
-    if parts == 1:
-        return docs.mapInPandas(cut, schema)
-    hits = [_hits(docs, block) for block in _blocks(benchmark, n, block_bytes)]
-    found = reduce(DataFrame.union, hits).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_found")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
-    rows = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.join(found, rows["doc_id"].cast("long").eqNullSafe(found["_id"]) & (rows["_th"] == found["_found"]), "left")
-    return rows.select(*names, "_spans").mapInPandas(cut, schema)
+    def apply(texts: list[str | None], found: list) -> tuple[list[str | None], list[bool]]:
+        spans = [[] if own is None else [(s["start"], s["end"]) for s in own] for own in found]
+        return cut(texts, [len(words(t)) if s else 0 for t, s in zip(texts, spans, strict=True)], spans)
+
+    rows, (spans,) = with_found(docs, _hits(docs, benchmark, n, parts), "spans")
+    return edited(rows, docs, apply, (spans,))
 
 
 def without(text: str, hit: set[int]) -> str:
