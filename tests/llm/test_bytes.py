@@ -90,16 +90,47 @@ def test_forest(spark, odd, none, block):
         for _ in range(i // 2):
             own[r.randrange(len(own))] = f"other{r.randrange(9)}"
         rows.append((1000 + i, " ".join(own)))
-    docs = spark.createDataFrame([(*x, "en", "s", 1, "k", 1, "a") for x in rows], SCHEMA)
+    docs = spark.createDataFrame([(*x, "en", "s", 1, "k", 1, "a", 2, "b", 3.0) for x in rows], SCHEMA)
     assert key(forest.join(docs, block=block).collect()) == key(force_links(rows))
     assert forest.join(none).count() == 0
 
 
-def test_prefix_length():
-    d = forest.prefix_length(0.8, 32, 10, 0.9999)
-    assert 1 - (1 - 0.8**d) ** 32 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 32
-    with pytest.raises(ValueError):
-        forest.prefix_length(0.1, 1, 10, 0.99)
+def test_signatures():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    a, b = np.unique(pool[:360]), np.unique(pool[40:])  # 320 of 400 in common
+    sig = forest.signatures([a, b, a[:1]], 32)
+    assert sig.shape == (3, 32) and len(set(sig[0].tolist())) == 32
+    same = (sig[0].view(np.uint8) == sig[1].view(np.uint8)).mean()
+    assert abs(same - 0.8) < 0.1
+    assert 0.99999 > forest.meets(0.8, 6, 32) > 0.9999 > forest.meets(0.8, 8, 32)
+
+
+def test_forest_shortens(spark, monkeypatch):
+    """Pairs close to the threshold take shorter prefixes than near copies do; no pair is lost either way."""
+    lengths = []
+    plain = forest._compared
+    monkeypatch.setattr(forest, "_compared", lambda rows, length, *a: lengths.append(length) or plain(rows, length, *a))
+
+    def pairs(changes):
+        rows = []
+        for i in range(60):
+            own = prose(3000 + i, 220).split()
+            other = list(own)
+            for k in range(changes):
+                other[10 + k * 25] = f"other{i}"
+            rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+        return rows
+
+    for changes in (1, 4):
+        rows = pairs(changes)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert key(forest.join(docs).collect()) == key(force_links(rows))
+        assert lengths == sorted(lengths, reverse=True) and lengths[0] == 8
+        lengths.append(9)
+        last = lengths[-2]
+        lengths.clear()
+    assert last <= 6
 
 
 def test_components(spark):

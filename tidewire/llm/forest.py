@@ -1,24 +1,33 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 Each text is the set of its word 5-grams (a text of fewer words, but not none, is one gram), by 64-bit hashes. Texts with
-equal sets are one class; the class's least row stands for it. A representative has `trees` signatures of up to `depth`
-minima each; a tree's signatures, sorted, are a prefix trie in which similar sets share long prefixes. The matched prefix
-is shortened from `depth` on until a pair at the threshold would meet in some tree with the target probability; with 32
-trees, 0.8 and 0.9999 that is at 6 minima. Representatives under one trie node at that depth are candidates of each other.
-
-Candidates are not expanded to pairs: each trie node hangs its members onto its least one, and the components of these
-edges are the units of verification. A component is cut into blocks of at most about `block` members by a hash; every
-pair of blocks is one small group of rows, in which exact set intersections are a matrix product over the grams. So each
-pair of a component is verified once, in one place, and only sums of links and a spanning forest leave the task.
+equal sets are one class; the class's least row stands for it. A representative has `trees` signatures. A signature is
+`depth` = 8 minima of 8 bits each, the first one most significant, in one 64-bit number: signatures sorted as numbers are a
+tree's prefix trie, and a trie node at length d is what agrees in the first d bytes.
+
+The matched prefix is shortened step by step, from `depth` on. At each length the rows under one node are compared by all
+their trees x depth minima, block by block, but only where they are not yet in one group: pairs whose minima agree in
+about `threshold` of all places (less a margin of more than five standard deviations, so that no link is lost by it) join
+their groups. Each step also estimates its recall from the data: a pair of similarity s meets at length d with
+probability p = 1 - (1 - s ** d) ** trees, so that pairs found stand for (1 - p) / p missed ones. When the found are at
+least `recall` of both, or single minima are reached, the shortening ends. Tight groups fall together at the first
+lengths, and crowded short nodes of one group are never compared again.
+
+Groups, which chains of similar pairs hold together, are verified exactly: a group is cut into blocks of at most about
+`block` members by a hash; every pair of blocks is one small group of rows, in which exact set intersections are a matrix
+product over the grams. So each pair of a group is verified once, in one place, and only sums of links and a spanning
+forest leave the task.
 
 Result: doc_id, text_class (the least doc_id of the rows with an equal set), class_id (the least doc_id of the rows
 connected by verified links), n_links (rows of other documents that are linked to this one, its own copies included).
 
 Defined cases: null, empty and word-free texts are linked to nothing, and a class by themselves; a row with a null
 doc_id takes part, and counts as greater than any id when the least is named (null where there is no other); rows that
-repeat a doc_id are rows of their own; ties go to the least doc_id; extra columns are ignored.
-Scale: 8 bytes for each row and tree are shuffled twice; texts of candidates once. Hot copies fall together in the class
-aggregate, map-side; large groups of near copies are spread over their block pairs.
+repeat a doc_id are rows of their own; ties go to the least doc_id; extra columns are ignored; an empty table gives an
+empty result.
+Scale: 8 bytes for each row and tree are shuffled for each length; signatures of the rows under mixed nodes, once for each
+such node and block; texts of grouped rows once. Hot copies fall together in the class aggregate, map-side; large nodes
+and large groups of near copies are spread over their block pairs.
 """
 
 from __future__ import annotations
@@ -30,11 +39,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, same_row, small_batches, staged
+from .common import keyed, mapped, same_row, staged
 from .components import components
 from .decontaminate import words
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+DEPTH = 8
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -69,55 +79,170 @@ class Grams(dict):
         return np.unique(out)
 
 
-def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix, from `depth` down, at which a pair at the threshold meets in some tree with probability `recall`."""
-    for d in range(depth, 0, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    raise ValueError("not even single minima reach this recall: take more trees")
+def meets(similarity: np.ndarray | float, length: int, trees: int) -> np.ndarray | float:
+    """The probability that two sets share a prefix of this length in some tree."""
+    return 1 - (1 - similarity**length) ** trees
 
 
-def signatures(sets: list[np.ndarray], trees: int, length: int, seed: int = 11) -> np.ndarray:
-    """For each non-empty set and tree, the hash of its first `length` minima: (sets, trees) of 64 bits."""
+def signatures(sets: list[np.ndarray], trees: int, seed: int = 11) -> np.ndarray:
+    """For each non-empty set and tree, 8 bits of each of DEPTH minima, the first most significant: (sets, trees) of 64 bits."""
     rng = np.random.default_rng(seed)
-    odd, add = rng.integers(0, 1 << 32, (2, trees, length), dtype=np.uint32)
+    odd, add = rng.integers(0, 1 << 32, (2, trees, DEPTH), dtype=np.uint32)
     odd |= np.uint32(1)
     edge = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
     flat = np.concatenate(sets)
     low, high = flat.astype(np.uint32), (flat >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(sets), trees), dtype=np.uint64)
+    out = np.zeros((len(sets), trees), dtype=np.uint64)
     for t in range(trees):
-        h = np.full(len(sets), t + 1, dtype=np.uint64)
-        for k in range(length):
+        for k in range(DEPTH):
             v = (low + add[t, k]) * odd[t, k]
             v ^= high
             v *= np.uint32(0x85EBCA6B)
-            h = _mix(h * _P + np.minimum.reduceat(v, edge))
-        out[:, t] = h
+            least = _mix(np.minimum.reduceat(v, edge).astype(np.uint64) * _P)
+            out[:, t] = out[:, t] << np.uint64(8) | least & np.uint64(255)
     return out
 
 
-def _sign(docs: DataFrame, n: int, trees: int, length: int) -> DataFrame:
-    """doc_id, th, s1, s2 (128 bits of the set; null without words), prefixes (null without words)."""
+def _sign(docs: DataFrame, n: int, trees: int) -> DataFrame:
+    """doc_id, th, s1, s2 (128 bits of the set; null without words), signatures (null without words)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Grams(n)
-        for pdf in small_batches(frames, chars=1_000_000):
-            sets = [grams.grams(t if isinstance(t, str) else None) for t in pdf["text"]]
+        for pdf in frames:
+            sets = [grams.grams(t) for t in pdf["text"]]
             some = [i for i, s in enumerate(sets) if len(s)]
-            s1, s2, prefixes = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            s1, s2, own = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             if some:
-                own = [sets[i] for i in some]
-                edge = np.concatenate([[0], np.cumsum([len(s) for s in own])])[:-1]
-                flat = np.concatenate(own)
+                full = [sets[i] for i in some]
+                edge = np.concatenate([[0], np.cumsum([len(s) for s in full])])[:-1]
+                flat = np.concatenate(full)
                 for out, base in ((s1, _P), (s2, _Q)):
                     for i, v in zip(some, np.add.reduceat(_mix(flat ^ base), edge).view(np.int64).tolist(), strict=True):
                         out[i] = v
-                for i, row in zip(some, signatures(own, trees, length).view(np.int64), strict=True):
-                    prefixes[i] = row
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "th": pdf["th"], "s1": pd.array(s1, dtype="Int64"), "s2": pd.array(s2, dtype="Int64"), "prefixes": prefixes})
+                for i, row in zip(some, signatures(full, trees).view(np.int64), strict=True):
+                    own[i] = row
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "s1": pd.array(s1, dtype="Int64"), "s2": pd.array(s2, dtype="Int64"), "signatures": own})
+
+    return mapped(keyed(docs), run, "doc_id long, th long, s1 long, s2 long, signatures array<long>", "text", 1_000_000)
+
+
+def _alike(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, alike) of `pairs` (a, b): the share of all minima in which the two agree."""
+
+    @F.pandas_udf("double")
+    def share(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="float64")
+        return pd.Series((np.stack(x.to_list()).view(np.uint8) == np.stack(y.to_list()).view(np.uint8)).mean(axis=1))
+
+    x, y = (classes.select(F.col("node").alias(c), F.col("signatures").alias(f"s_{c}")) for c in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", share("s_a", "s_b").alias("alike"))
 
-    return keyed(docs).mapInPandas(run, "doc_id long, th long, s1 long, s2 long, prefixes array<long>")
+
+BINS = 256
+
+
+def _compared(rows: DataFrame, length: int, least: float, threshold: float) -> DataFrame:
+    """From (at, i, j, own, node, root, times, signatures), sorted by (at, i, j): edges (a, b) that join groups; and on rows without
+    them, by similarity in BINS parts, the number of pairs at the threshold or above that were met."""
+
+    def solve(sig: np.ndarray, own: np.ndarray, node: np.ndarray, root: np.ndarray, times: int, i: int, j: int) -> Iterator[tuple]:
+        left, right = (np.arange(len(node)),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+        flat = sig.view(np.uint8).reshape(len(node), -1)
+        front = sig >> np.uint64(8 * (DEPTH - length))
+        ends, met = [], np.zeros(BINS + 1)
+        for a in left.tolist():  # one row against the others of a block
+            other = right[(root[right] != root[a]) & ((right > a) | (i != j))]
+            alike = (flat[other] == flat[a]).mean(axis=1) if len(other) else np.empty(0)
+            near = alike >= least
+            if near.any():
+                other, alike = other[near], alike[near]
+                ends += [(a, b) for b in other.tolist()]
+                # a pair is seen under each node that it shares: in all it counts once
+                np.add.at(met, (alike * BINS).astype(np.int64), times / (front[other] == front[a]).sum(axis=1))
+        if ends:
+            pairs = np.array(ends)
+            yield from ((int(node[k]), int(node[t]), None, None) for k, t in enumerate(_forest(len(node), pairs[:, 0], pairs[:, 1])) if t != k)
+            yield from ((None, None, k, float(met[k])) for k in np.flatnonzero(met).tolist() if k >= threshold * BINS)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        key, out = None, []
+
+        def flush() -> list[tuple]:
+            if len(held) < 2:
+                return []
+            own, node, root, times, sig = zip(*held, strict=True)
+            return list(solve(np.stack(sig).view(np.uint64), np.array(own), np.array(node), np.array(root), times[0], key[1], key[2]))
+
+        def frame() -> pd.DataFrame:
+            a, b, part, met = zip(*out, strict=True)
+            return pd.DataFrame({"a": pd.array(a, dtype="Int64"), "b": pd.array(b, dtype="Int64"), "bin": pd.array(part, dtype="Int32"), "met": met})
+
+        for pdf in frames:
+            for at, i, j, *rest in zip(pdf["at"], pdf["i"], pdf["j"], pdf["own"], pdf["node"], pdf["root"], pdf["times"], pdf["signatures"], strict=True):
+                if (at, i, j) != key:
+                    out += flush()
+                    held, key = [], (at, i, j)
+                held.append(tuple(rest))
+            if out:
+                yield frame()
+                out = []
+        if out := flush():
+            yield frame()
+
+    return mapped(rows, run, "a long, b long, bin int, met double")
+
+
+def _grouped(classes: DataFrame, threshold: float, trees: int, recall: float, margin: float, block: int) -> DataFrame:
+    """(node, root) of the classes that have company, by the forest: see above. `classes` has node and signatures."""
+    spark = classes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = spark.createDataFrame([], "node long, root long")
+    edges = spark.createDataFrame([], "a long, b long")
+    at_bin = (np.arange(BINS + 1) + 0.5) / BINS
+    met = np.zeros(BINS + 1)
+    met[int(threshold * BINS)] = 1.0  # one pair at the threshold is always reckoned with
+
+    def note(counts: DataFrame) -> None:
+        for r in counts.collect():  # at most BINS rows
+            met[r["bin"]] += r["met"]
+
+    def under(length: int) -> DataFrame:
+        named = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # a node of a trie: the tree's number and the first `length` bytes
+        return named.select("node", "root", F.explode(F.transform("signatures", lambda s, t: F.xxhash64(t, F.shiftrightunsigned(s, 8 * (DEPTH - length))))).alias("at"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The nodes with rows of several groups."""
+        return rows.groupBy("at").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+
+    def joined(got: DataFrame) -> tuple[DataFrame, DataFrame]:
+        new = edges.union(got.select("a", "b"))
+        return new, staged(components(new), "groups")
+
+    # tight groups first, by the least member of each node: one pair a row
+    rows = under(DEPTH)
+    pairs = rows.join(mixed(rows), "at").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    got = staged(_alike(classes, pairs).filter(F.col("alike") >= threshold - margin), "met")
+    edges, groups = joined(got)
+    note(got.filter(F.col("alike") >= threshold).groupBy(F.floor(F.col("alike") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("met")))
+    length = DEPTH
+    while True:
+        rows = under(length)
+        some = rows.join(mixed(rows).select("at"), "at")
+        # nodes of one length with the same members show the same pairs: one of them is enough
+        nodes = some.groupBy("at").agg(F.count("*").alias("c"), F.min("node").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+        nodes = nodes.groupBy("c", "n", "who").agg(F.min("at").alias("at"), F.count("*").alias("times")).select("at", "times", F.ceil(F.col("c") / block).cast("int").alias("m"))
+        rows = some.join(nodes, "at").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        rows = rows.select("at", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "root", "times").join(classes, "node")
+        got = staged(_compared(rows.repartition(parts, "at", "i", "j").sortWithinPartitions("at", "i", "j"), length, threshold - margin, threshold), "met")
+        edges, groups = joined(got.filter("a IS NOT NULL"))
+        note(got.filter("bin IS NOT NULL").groupBy("bin").agg(F.sum("met").alias("met")))
+        reach = {d: met.sum() / (met / meets(at_bin.clip(threshold, 1.0), d, trees)).sum() for d in range(1, length + 1)}
+        if length == 1 or reach[length] >= recall:
+            return groups
+        length = max((d for d in range(1, length) if reach[d] >= recall), default=1)
 
 
 def _links(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -202,23 +327,18 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
         if len(held) > 1 and (out := solve(held, key[1], key[2])):
             yield pd.DataFrame(out, columns=["node", "links", "to"])
 
-    return rows.mapInPandas(run, "node long, links long, to long")
+    return mapped(rows, run, "node long, links long, to long")
 
 
-def _named(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int = 32, depth: int = 10, recall: float = 0.9999, block: int = 128) -> tuple[DataFrame, DataFrame]:
+def _named(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int = 32, recall: float = 0.99999, margin: float = 0.14, block: int = 128) -> tuple[DataFrame, DataFrame]:
     """The rows with their sets' digests, and for each class its row key, copies, links and the root of its group."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = staged(_sign(docs, n, trees, prefix_length(threshold, trees, depth, recall)), "signatures")
+    signed = staged(_sign(docs, n, trees), "signatures")
     # s1, 64 bits of the set's digest, names a class from here on
-    classes = signed.filter("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("one"), F.count("*").alias("copies"), F.any_value("prefixes").alias("prefixes"))
+    classes = signed.filter("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("one"), F.count("*").alias("copies"), F.any_value("signatures").alias("signatures"))
     classes = staged(classes, "classes")
-
-    # (tree, prefix) is in the 64 bits; a trie node's members hang onto its least one
-    nodes = classes.select(F.col("s1").alias("a"), F.explode("prefixes").alias("prefix"))
-    hubs = nodes.groupBy("prefix").agg(F.min("a").alias("b"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    edges = nodes.join(hubs, "prefix").filter("a != b").select("a", "b").distinct()
-    groups = staged(components(edges), "groups")
+    groups = _grouped(classes.select(F.col("s1").alias("node"), "signatures"), threshold, trees, recall, margin, block)
 
     count = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
     member = groups.join(count, "root").join(classes.select(F.col("s1").alias("node"), "copies", "one"), "node")
@@ -226,11 +346,11 @@ def _named(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int = 32,
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Grams(n)
-        for pdf in small_batches(frames):
+        for pdf in frames:
             yield pdf.drop(columns="text").assign(grams=[grams.grams(t).tobytes() for t in pdf["text"]])
 
     own = keyed(docs)
-    with_sets = member.join(own, same_row(member, own)).select("node", "root", "m", "copies", "text").mapInPandas(sets, "node long, root long, m int, copies long, grams binary")
+    with_sets = mapped(member.join(own, same_row(member, own)).select("node", "root", "m", "copies", "text"), sets, "node long, root long, m int, copies long, grams binary", "text")
     pairs = with_sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     pairs = pairs.select("root", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "copies", "grams")
     pairs = pairs.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
