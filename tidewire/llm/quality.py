@@ -1,10 +1,11 @@
-"""Quality classifier: supervised subword embeddings, averaged over a document, with a softmax output.
+"""Quality classifier: supervised word, subword and word n-gram embeddings, averaged over a document, with a softmax output.
 
-A document is the bag of its words' features: the word, the 3- and 4-grams of "<word>", and, where a word repeats the one
-before it, the bigram written "= =", all hashed to rows of one table of vectors. The document's vector is their
-average; a softmax over two classes stands on it. Both are learned by stochastic gradient descent in numpy.
+A document is the bag of its features: each word, the 3- and 4-grams of "<word>", and the pairs of neighbouring words,
+hashed to the rows of one table of vectors; a word that repeats the one before it has a second pair, the same for all
+words, so that repetition is learned of words never seen. The document's vector is their average; a softmax over two
+classes stands on it. Both are learned by stochastic gradient descent in numpy, some documents a step.
 After training, each table row is projected onto the difference of the two outputs, so that scoring sums one number a
-feature, kept by word in a bounded store.
+feature: a word's own are kept summed in a bounded store, those of pairs are looked up in the projected table.
 
 Defined cases: null, empty and blank texts have no features and get the score of the intercept; repeated rows get equal
 scores; without labelled rows of both kinds the score is that of zero weights, 0.5; extra columns are ignored.
@@ -15,94 +16,150 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import mapped, plain
 from .labelled import held_out, sample
 
 SIZE = 1 << 17
-AGAIN = zlib.crc32(b"= =") & (SIZE - 1)
+AGAIN = 0  # the row of the pair of any word and itself
+
+
+def _hash(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass"))
 
 
 def features(word: str) -> list[int]:
+    """Table rows of a word and of its character n-grams."""
     s = f"<{word}>"
-    grams = [word, *(s[i : i + n] for n in (3, 4) for i in range(len(s) - n + 1))]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) & (SIZE - 1) for g in grams]
+    return [_hash(g) & (SIZE - 1) for g in (word, *(s[i : i + n] for n in (3, 4) for i in range(len(s) - n + 1)))]
+
+
+def pair_rows(h: np.ndarray) -> np.ndarray:
+    """Table rows of the pairs of neighbours among words with the 32-bit hashes `h`."""
+    mixed = (h[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h[1:].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed >> np.uint64(64 - 17)).astype(np.int64)
 
 
 class Subwords:
-    """Scores documents by projected feature values; `bias` is the intercept."""
+    """Projected feature values and the intercept."""
 
     def __init__(self, values: np.ndarray, bias: float):
         self.values, self.bias = values, bias
 
-    def word(self, word: str) -> complex:
-        """The sum of a word's feature values, and their number as the imaginary part."""
-        ids = features(word)
-        return complex(float(self.values[ids].sum()), len(ids))
 
+class Store(dict):
+    """Number of each word met, and by number: sum of its feature values, how many they are, its hash. Emptied between calls when full."""
 
-class Values(dict):
-    """Value of each word, kept for the last `cached` to twice as many words."""
+    def __init__(self, model: Subwords, cached: int = 200_000):
+        self.model, self.cached = model, cached
+        self.sums, self.counts, self.hashes = [], [], []
 
-    def __init__(self, model: Subwords, cached: int = 300_000):
-        self.model, self.cached, self.old = model, cached, {}
+    def __missing__(self, word: str) -> int:
+        ids = features(word)
+        self.sums.append(float(self.model.values[ids].sum()))
+        self.counts.append(len(ids))
+        self.hashes.append(_hash(word))
+        got = self[word] = len(self.sums) - 1
+        return got
 
-    def __missing__(self, word: str) -> complex:
-        got = self.old.get(word)
-        if got is None:
-            got = self.model.word(word)
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """P(label 1) of each text."""
         if len(self) >= self.cached:
-            self.old = dict(self)
             self.clear()
-        self[word] = got
-        return got
-
-    def score(self, text: str | None) -> float:
-        words = text.split() if text else []
-        total = sum([self[w] for w in words], 0j)
-        again = sum([a == b for a, b in zip(words, words[1:], strict=False)])
-        n = total.imag + again
-        z = (total.real + again * float(self.model.values[AGAIN])) / n if n else 0.0
-        return float(1 / (1 + np.exp(-np.clip(z + self.model.bias, -50, 50))))
-
-
-def train(rows: list[tuple[str | None, int]], dim: int = 16, rounds: int = 8, rate: float = 0.5, seed: int = 5) -> Subwords:
+            self.sums, self.counts, self.hashes = [], [], []
+        tokens = [t.split() if t else [] for t in texts]
+        sizes = np.array([len(w) for w in tokens], dtype=np.int64)
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(tokens)), dtype=np.int64, count=int(sizes.sum()))
+        sums, counts, hashes = np.array(self.sums), np.array(self.counts, dtype=np.float64), np.array(self.hashes, dtype=np.uint32)
+        own = np.repeat(np.arange(len(texts)), sizes)
+        inner = own[1:] == own[:-1]
+        again = np.zeros(len(at), dtype=bool)
+        again[1:] = inner & (at[1:] == at[:-1])
+        total = np.bincount(own, sums[at] if len(at) else None, len(texts)).astype(np.float64)
+        n = np.bincount(own, counts[at] if len(at) else None, len(texts)).astype(np.float64)
+        if len(at) > 1:
+            total += np.bincount(own[1:][inner], self.model.values[pair_rows(hashes[at])[inner]], len(texts))
+            n += np.bincount(own[1:][inner], minlength=len(texts))
+            repeats = np.bincount(own[again], minlength=len(texts))
+            total += repeats * float(self.model.values[AGAIN])
+            n += repeats
+        z = np.where(n > 0, total / np.maximum(n, 1), 0.0) + self.model.bias
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def bag(text: str | None, memo: dict[str, tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct table rows of a text, and the share of its features that each has."""
+    words = text.split() if text else []
+    known = [memo[w] if w in memo else memo.setdefault(w, (features(w), _hash(w))) for w in words]
+    ids = np.fromiter(chain.from_iterable(k[0] for k in known), dtype=np.int64)
+    if len(words) > 1:
+        again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        ids = np.concatenate([ids, pair_rows(np.array([k[1] for k in known], dtype=np.uint32)), np.full(again, AGAIN)])
+    own, counts = np.unique(ids, return_counts=True)
+    return own, counts / max(1, len(ids))
+
+
+class _Batch:
+    """Some documents' rows and shares laid end to end, and their order by table row, for both ways of the gradient."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], y: list[int]):
+        self.y = np.array(y)
+        size = np.array([len(b[0]) for b in bags], dtype=np.int64)
+        self.owner = np.repeat(np.arange(len(bags)), size)
+        ids = np.concatenate([b[0] for b in bags])
+        self.part = np.concatenate([b[1] for b in bags]).astype(np.float32)
+        order = np.argsort(ids, kind="stable")
+        self.some = np.flatnonzero(size)
+        self.first = (np.cumsum(size) - size)[self.some]
+        self.ids, self.owner_by_id, self.part_by_id = ids, self.owner[order], self.part[order]
+        self.rows, self.start = np.unique(ids[order], return_index=True)
+
+    def vectors(self, table: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.y), table.shape[1]), dtype=np.float32)
+        if len(self.ids):
+            out[self.some] = np.add.reduceat(self.part[:, None] * table[self.ids], self.first, axis=0)
+        return out
+
+    def push(self, table: np.ndarray, down: np.ndarray) -> None:
+        """Takes each document's `down` from its rows by their shares."""
+        if len(self.ids):
+            table[self.rows] -= np.add.reduceat(self.part_by_id[:, None] * down[self.owner_by_id], self.start, axis=0)
+
+
+def train(rows: list[tuple[str | None, int]], dim: int = 8, rounds: int = 6, rate: float = 0.5, batch: int = 8, seed: int = 5) -> Subwords:
     if len({y for _, y in rows}) < 2:
         return Subwords(np.zeros(SIZE), 0.0)
-    memo: dict[str, list[int]] = {}
-    data = []
-    for text, y in rows:
-        words = (text or "").split()
-        ids = [i for w in words for i in (memo[w] if w in memo else memo.setdefault(w, features(w)))]
-        ids += [AGAIN for a, b in zip(words, words[1:], strict=False) if a == b]
-        own, counts = np.unique(np.array(ids, dtype=np.int64), return_counts=True)
-        data.append((own, (counts / max(1, len(ids)))[:, None], y))
-    share = np.mean([y for _, _, y in data])
+    memo: dict[str, tuple[list[int], int]] = {}
     rng = np.random.default_rng(seed)
-    table, out, bias = rng.uniform(-1 / dim, 1 / dim, (SIZE, dim)), np.zeros((2, dim)), np.zeros(2)
-    done, steps = 0, rounds * len(data)
+    order = rng.permutation(len(rows))
+    batches = [_Batch([bag(rows[k][0], memo) for k in order[i : i + batch]], [rows[k][1] for k in order[i : i + batch]]) for i in range(0, len(order), batch)]
+    share = np.mean([y for _, y in rows])
+    weigh = np.array([0.5 / (1 - share), 0.5 / share])  # both labels weigh the same in all
+    table = rng.uniform(-1 / dim, 1 / dim, (SIZE, dim)).astype(np.float32)
+    out, bias = np.zeros((2, dim), dtype=np.float32), np.zeros(2)
+    done, steps = 0, rounds * len(batches)
     for _ in range(rounds):
-        for k in rng.permutation(len(data)):
-            ids, part, y = data[k]
+        for k in rng.permutation(len(batches)):
+            b = batches[k]
             lr = rate * (1 - done / steps)
             done += 1
-            v = (part * table[ids]).sum(axis=0)
-            z = out @ v + bias
-            q = np.exp(z - z.max())
-            g = q / q.sum()
-            g[y] -= 1
-            g *= 0.5 / (share if y else 1 - share)  # both labels weigh the same in all
-            down = out.T @ g
-            out -= lr * np.outer(g, v)
-            bias -= lr * 0.1 * g
+            v = b.vectors(table)
+            z = v @ out.T + bias
+            q = np.exp(z - z.max(axis=1, keepdims=True))
+            g = q / q.sum(axis=1, keepdims=True)
+            g[np.arange(len(b.y)), b.y] -= 1
+            g *= weigh[b.y][:, None]
             # the gradient of an average is small for each of its many rows; a step as for sums keeps rare rows learning
-            table[ids] -= lr * 20 * part * down
-    return Subwords(table @ (out[1] - out[0]), float(bias[1] - bias[0]))
+            b.push(table, (lr * 20 * (g @ out)).astype(np.float32))
+            out -= (lr * g.T @ v).astype(np.float32)
+            bias -= lr * 0.1 * g.sum(axis=0)
+    return Subwords((table @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
 def model(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000) -> Subwords:
@@ -115,9 +172,9 @@ def judge(docs: DataFrame, labels: DataFrame, most: int = 4000, threshold: float
     sent = docs.sparkSession.sparkContext.broadcast(model(docs, labels, most=most))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        values = Values(sent.value)
-        for pdf in small_batches(frames):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": [values.score(t if isinstance(t, str) else None) for t in pdf["text"]]})
+        store = Store(sent.value)
+        for pdf in frames:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": store.scores(pdf["text"].tolist())})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, score double")
+    rows = mapped(plain(docs), run, "doc_id long, score double", "text", 2_000_000)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
