@@ -6,7 +6,7 @@ suffix common to all hosts weighs little.
 
 Defined cases: a null url, or one without "://", has an empty host and an empty path, no rule fits it, and the model's
 verdict on no features is its intercept. Repeated rows get equal verdicts. Extra columns are ignored.
-Scale: narrow, no shuffle; the model is a vector of 2**15 doubles.
+Scale: narrow, no shuffle; the model, 2**15 doubles, is broadcast.
 """
 
 from __future__ import annotations
@@ -23,17 +23,24 @@ from pyspark.sql import functions as F
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 SIZE = 1 << 15
 
-#: The labelled table: unwanted and wanted hosts of common words, none of them from the test tables, each taken with a few paths and
-#: prefixes by labelled_urls().
-BLOCKED = "best-casino online-casino bet-now sports-bets poker-room slots-win jackpot-spin free-spins xxx-video adult-cams hot-singles porn-tube pharma-deals viagra-shop weight-loss-pills link-farm spam-links seo-spam click-farm free-money win-prize crypto-doubler payday-loans replica-watches warez-crack torrent-free malware-drop phish-login".split()
-WANTED = "news library university museum weather research daily-post science-journal city-council health-info open-data travel-notes kitchen garden history physics math-forum code-review book-club film-archive music-school radio sports-report local-times encyclopedia dictionary maps railway parliament court hospital school reader writer planet ocean forest river mountain valley".split()
+#: The labelled table: words that unwanted and wanted hosts and paths are made of, none of them a host of the test tables. labelled_urls()
+#: makes the URLs of it, and tests fold by host.
+BLOCKED = "bestcasino onlinecasino casinoroyal betnow sportsbets livebets bettips poker-room pokerstar slotswin megaslots jackpotspin luckyspin freespins bonusspins xxxvideo xxxcams adultcams adultdating hotsingles singlesnear porntube pornlinks pharmadeals cheappharma viagrashop cheapviagra weightlosspills dietpills linkfarm buylinks spamlinks spammail seospam seolinks clickfarm clickbaits freemoney quickmoney winprize prizedraw cryptodoubler doublebitcoin paydayloans quickloans replicawatches fakewatches warezcrack crackkeys keygens torrentfree malwaredrop phishlogin loginverify".split()
+WANTED = "news dailynews citynews library citylibrary university stateuniversity museum artmuseum weather weatherdata research researchnotes dailypost morningpost sciencejournal lawjournal citycouncil healthinfo publichealth opendata traveldata travelnotes kitchen kitchenrecipes garden gardennotes history localhistory physics mathforum codereview codenotes bookclub bookreview filmarchive webarchive musicschool artschool radio publicradio sportsreport weatherreport localtimes encyclopedia dictionary maps railway railmaps parliament court hospital school reader writer planet ocean forest river mountain valley".split()
+BAD_PATHS = "/win/bonus-{} /buy-cheap-{} /free-spins?ref={} /xxx/video{} /click/earn-money/{} /promo/jackpot{} /order/no-prescription/{}".split()
+GOOD_PATHS = "/ /about /articles/{} /news/story-{} /index.php?id={} /archive/{}/view /docs/guide{}.html /research/paper/{}".split()
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """A few hundred labelled URLs: each host with prefixes, endings and paths in turn, the same for both labels."""
+    """A few hundred labelled URLs: each host with prefixes and endings in turn, the same for both labels; every other unwanted URL has a plain path."""
     fronts, ends = ("", "www.", "web.", "my."), ("com", "org", "net", "info", "eu")
-    paths = ("/", "/about", "/articles/{}", "/index.php?id={}", "/archive/{}/view")
-    return [(f"https://{fronts[(i + k) % 4]}{host}.{ends[(i + k) % 5]}{paths[(i // 2 + k) % 5].format((i * 37 + k * 101) % 1000)}", y) for y, hosts in ((1, BLOCKED), (0, WANTED)) for i, host in enumerate(hosts) for k in range(4)]
+    out = []
+    for y, hosts in ((1, BLOCKED), (0, WANTED)):
+        for i, host in enumerate(hosts):
+            for k in range(4):
+                paths = BAD_PATHS if y and k % 2 else GOOD_PATHS
+                out.append((f"https://{fronts[(i + k) % 4]}{host}.{ends[(i + k) % 5]}{paths[(i + 3 * k) % len(paths)].format((i * 37 + k * 101) % 1000)}", y))
+    return out
 
 
 def parts(url: str | None) -> tuple[str, str]:
@@ -85,7 +92,7 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 def judge(pages: DataFrame, rules=RULES, labelled: list[tuple[str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, score (the model's probability that the url is unwanted)."""
-    w, b = train(labelled_urls() if labelled is None else labelled)
+    sent = pages.sparkSession.sparkContext.broadcast(train(labelled_urls() if labelled is None else labelled))
     host, path = host_path(F.col("url"))
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     fit = None
@@ -98,7 +105,7 @@ def judge(pages: DataFrame, rules=RULES, labelled: list[tuple[str, int]] | None
 
     @F.pandas_udf("double")
     def score(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        out = []
+        (w, b), out = sent.value, []
         for h, p in zip(hosts, paths, strict=True):
             x = features(h, p)
             out.append(1 / (1 + np.exp(-(w[x].sum() / np.sqrt(max(1, len(x))) + b))))
