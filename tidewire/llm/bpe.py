@@ -2,7 +2,9 @@
 
 A short word is a list of part boundaries and, beside it, the list of the ranks of adjacent parts. The least rank is
 found by scanning, its right boundary is deleted, and the two neighbouring ranks are looked up anew, until no pair has
-a rank. Words are short, so the scan beats a heap. Each task keeps the encodings of words it has met, up to a bound.
+a rank. Words are short, so the scan beats a heap; a word of more than `SHORT` bytes, where a scan for each merge would take
+quadratic time, has its boundaries linked and its ranks in a heap, and gets the same parts. Each task keeps the encodings of
+words it has met, up to a bound. Texts are decoded from their ids.
 
 Normalisation and splitting as the vocabulary file says (by the Unicode tables of Python): special tokens are cut out of the raw text first; then NFC,
 white space, lower case by single characters, letters / single digits / other runs, and bytes as printable characters.
@@ -17,16 +19,18 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import mapped, plain
 
 _NONE = 1 << 60
+SHORT = 200
 
 
 def byte_chars() -> list[str]:
@@ -46,6 +50,7 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.digits = {i: str(i) for i in self.names}
         self.end = model["end_of_word_suffix"]
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         #: (left id, right id) as one number -> (rank, id of the joined token) as one number
@@ -54,7 +59,7 @@ class Bpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.cached, self.cache = cached, {}
+        self.cached, self.cache = cached, Stretches(self, cached)
         self.known: dict[str, list[int]] = {}
 
     def word(self, text: str) -> list[int]:
@@ -62,6 +67,8 @@ class Bpe:
         chars = [self.bytes[b] for b in text.encode()]
         parts = [self.vocab[c] for c in chars[:-1]] + [self.vocab[chars[-1] + self.end]]
         look = self.ranks.get
+        if len(parts) > SHORT:
+            return self._long(parts)
         ranks = [look(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks and (least := min(ranks)) != _NONE:
             i = ranks.index(least)
@@ -73,6 +80,27 @@ class Bpe:
                 ranks[i] = look(parts[i] << 32 | parts[i + 1], _NONE)
         return parts
 
+    def _long(self, parts: list[int]) -> list[int]:
+        """The same as word()'s scan: least rank first, leftmost of equal ranks; boundaries are linked, and stale ranks are passed over."""
+        look, n = self.ranks.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (r := look(a << 32 | b)) is not None]
+        heapify(heap)
+        while heap:
+            rank, i, a, b = heappop(heap)
+            j = after[i]
+            if parts[i] != a or j >= n or parts[j] != b:
+                continue
+            parts[i], parts[j] = rank & 0xFFFFFFFF, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := look(parts[i] << 32 | parts[k])) is not None:
+                    heappush(heap, (r, i, parts[i], parts[k]))
+            if (h := before[i]) >= 0 and (r := look(parts[h] << 32 | parts[i])) is not None:
+                heappush(heap, (r, h, parts[h], parts[i]))
+        return [p for p in parts if p >= 0]
+
     def chunk(self, text: str) -> list[int]:
         """Ids of a stretch without blanks or newlines, special tokens included."""
         if self.cut and "<|" in text:
@@ -100,30 +128,39 @@ class Bpe:
             out += ids
         return out
 
-    def pieces(self, text: str | None) -> list[tuple[int, str, str]]:
-        """(number of ids, ids as text, tokens as text) of each stretch that has any, from the cache where known.
+    def encode(self, text: str | None) -> list[int]:
+        """Ids of a text, those of each stretch between blanks from the cache where known.
 
         White space never joins a word and never takes part in composition, so that a text can be cut at blanks."""
-        cache, out = self.cache, []
-        for c in text.replace("\n", " ").split(" ") if text else ():
-            got = cache.get(c)
-            if got is None:
-                ids = self.chunk(c)
-                got = (len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
-                if len(cache) >= self.cached:
-                    cache.clear()
-                if len(c) < 64:
-                    cache[c] = got
-            if got[0]:
-                out.append(got)
-        return out
-
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for p in self.pieces(text) for i in p[1].split(" ")]
+        if not text:
+            return []
+        return list(chain.from_iterable(map(self.cache.__getitem__, text.replace("\n", " ").split(" "))))
 
     def decode(self, ids) -> str:
         """As the library does without a decoder: the tokens joined by blanks; ids outside the vocabulary are left out."""
-        return " ".join([self.names[i] for i in ids if i in self.names])
+        try:
+            return " ".join(map(self.names.__getitem__, ids))
+        except KeyError:
+            return " ".join([self.names[i] for i in ids if i in self.names])
+
+    def written(self, ids) -> str:
+        """Decimal ids joined by blanks."""
+        return " ".join(map(self.digits.__getitem__, ids))
+
+
+class Stretches(dict):
+    """Ids of each stretch of fewer than 64 characters met, emptied when `cached` have come."""
+
+    def __init__(self, bpe: Bpe, cached: int):
+        self.bpe, self.cached = bpe, cached
+
+    def __missing__(self, c: str) -> list[int]:
+        got = self.bpe.chunk(c)
+        if len(c) < 64:
+            if len(self) >= self.cached:
+                self.clear()
+            self[c] = got
+        return got
 
 
 _loaded: dict[str, Bpe] = {}
@@ -136,29 +173,26 @@ def loaded(path: str) -> Bpe:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """All columns of `docs` but a clashing `ids`, and ids array<int>."""
-    rest = docs.drop("ids")
-    schema = T.StructType([*rest.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    """doc_id, text and ids array<int> of each row of `docs`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
-        for pdf in small_batches(frames):
-            yield pdf.assign(ids=[np.array(bpe.encode(t if isinstance(t, str) else None), dtype=np.int32) for t in pdf["text"]])
+        for pdf in frames:
+            yield pdf.assign(ids=[np.array(bpe.encode(t), dtype=np.int32) for t in pdf["text"]])
 
-    return rest.mapInPandas(run, schema)
+    return mapped(plain(docs), run, "doc_id long, text string, ids array<int>", "text")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: of the ids as encoded, and of the text that these ids decode to."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: of the ids as encoded, and of the text that decode() makes of them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
-        for pdf in small_batches(frames):
+        for pdf in frames:
             rows = []
             for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                got = bpe.pieces(t if isinstance(t, str) else None)
-                ids, tokens = " ".join([p[1] for p in got]), " ".join([p[2] for p in got])
-                rows.append((i, sum([p[0] for p in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+                ids = bpe.encode(t)
+                rows.append((i, len(ids), hashlib.sha256(bpe.written(ids).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(plain(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "text")
