@@ -6,8 +6,8 @@ the byte offsets of blocks within the payload (one more than blocks), and the pa
 the other, least significant bit first, and starts at a byte; the last block is shorter. So any id's place follows from
 its number, a reader can fetch single blocks, and numpy unpacks a block at once.
 
-write() makes one file for each range of doc_id, in ascending order over files and within them (null first; rows that
-repeat a doc_id by text). Each attempt of a task writes a file of its own name, and only the names that the successful
+write() makes files for each range of doc_id, in ascending order over files and within them (null first; rows that
+repeat a doc_id by text); a file ends after `file_ids` ids, so that a task's memory doesn't follow the table. Each attempt of a task writes a file of its own name, and only the names that the successful
 attempts report go into the manifest, so lost executors and repeated attempts leave no half files behind it.
 
 Defined cases: null and empty texts have no ids besides the end id; an empty table makes no file. Scale: one range
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars
-from .common import keyed, small_batches
+from .common import keyed, mapped
 
 MAGIC, BLOCK, NULL_ID = b"TPK1", 1 << 16, -(1 << 63)
 
@@ -167,38 +167,43 @@ def _latin(text: str) -> bool:
 _loaded: dict[str, Words] = {}
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, vocab: int, end_id: int | None, files: int | None = None) -> DataFrame:
+def write(docs: DataFrame, path: str, tokenizer: str, vocab: int, end_id: int | None, files: int | None = None, file_ids: int = 16 << 20) -> DataFrame:
     """Write `docs` (doc_id, text) under `path`, a URI that all executors reach; returns the manifest.
 
-    The manifest has file, first_id (ids of all files before), n_docs, n_ids, in ascending order of documents."""
+    The manifest has file, first_id (ids of all files before), n_docs, n_ids, in ascending order of documents. `files` ranges
+    of doc_id are written by as many tasks; a task begins a new file when one has `file_ids` ids."""
     spark, bits = docs.sparkSession, bits_for(vocab)
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if tokenizer not in _loaded:
             _loaded[tokenizer] = Words(tokenizer)
-        words, packer = _loaded[tokenizer], Packer(bits)
-        first = None
-        for pdf in small_batches(frames):
-            ids = [words.encode(t if isinstance(t, str) else None) for t in pdf["text"]]
-            if end_id is not None:
-                ids = [np.append(x, np.uint32(end_id)) for x in ids]
-            own = [NULL_ID if pd.isna(i) else int(i) for i in pdf["doc_id"]]
-            first = own[0] if first is None else first
-            packer.add(own, np.array([len(x) for x in ids]), np.concatenate(ids).astype(np.uint32))
-        if first is not None:
+        words, packer, place = _loaded[tokenizer], Packer(bits), 0
+
+        def close() -> pd.DataFrame:
             store, at = fs.FileSystem.from_uri(f"{path}/{uuid.uuid4().hex}.tpk")
             store.create_dir(os.path.dirname(at), recursive=True)
             with store.open_output_stream(at) as out:
                 for part in packer.file():
                     out.write(part)
-            yield pd.DataFrame([(os.path.basename(at), first, len(packer.docs), packer.n)], columns=["file", "first_doc", "n_docs", "n_ids"])
+            return pd.DataFrame([(os.path.basename(at), place, len(packer.docs), packer.n)], columns=["file", "place", "n_docs", "n_ids"])
 
-    # the partition number orders files that begin with the same doc_id
+        for pdf in frames:
+            ids = [words.encode(t) for t in pdf["text"]]
+            if end_id is not None:
+                ids = [np.append(x, np.uint32(end_id)) for x in ids]
+            packer.add([NULL_ID if i is pd.NA else int(i) for i in pdf["doc_id"]], np.array([len(x) for x in ids]), np.concatenate(ids).astype(np.uint32))
+            if packer.n >= file_ids:
+                yield close()
+                packer, place = Packer(bits), place + 1
+        if packer.docs:
+            yield close()
+
+    # the partition number orders the files of different tasks
     parts = keyed(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("th")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("th"))
-    done = parts.mapInPandas(run, "file string, first_doc long, n_docs long, n_ids long").withColumn("part", F.spark_partition_id()).collect()  # one row a file
+    done = mapped(parts, run, "file string, place long, n_docs long, n_ids long", "text").withColumn("part", F.spark_partition_id()).collect()  # one row a file
     rows, before = [], 0
-    for r in sorted(done, key=lambda r: r["part"]):
+    for r in sorted(done, key=lambda r: (r["part"], r["place"])):
         rows.append((r["file"], before, r["n_docs"], r["n_ids"]))
         before += r["n_ids"]
     store, at = fs.FileSystem.from_uri(f"{path}/manifest.json")
@@ -236,4 +241,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         yield pd.DataFrame({"doc_id": own, "start": base + s[:-1], "n_tokens": np.diff(s), "ids_crc32": crc})
 
     tasks = max(1, min(files.count(), 4096))
-    return files.repartition(tasks).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(files.repartition(tasks), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
