@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import mapped, plain
 
 WIDTH, ROWS = 192, 1024
 _FIRST, _MOST = 258, 4096
@@ -182,6 +182,11 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 def decode(data: bytes) -> list[Frame]:
     """All frames of a file, composed."""
+    return list(shown_frames(data))
+
+
+def shown_frames(data: bytes) -> Iterator[Frame]:
+    """The frames of a file, composed, one after the other: a reader that lets go of them holds one screen."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, back, _ = struct.unpack("<HHBBB", data[6:13])
@@ -192,12 +197,11 @@ def decode(data: bytes) -> list[Frame]:
         at += 3 * n
     screen = np.zeros((height, width, 3), dtype=np.uint8)
     ground = shared[back] if shared is not None and back < len(shared) else np.zeros(3, dtype=np.uint8)
-    out: list[Frame] = []
     delay, disposal, clear = 0, 0, None
     while True:
         kind = data[at : at + 1]
         if kind == b";":
-            return out
+            return
         if kind == b"!":
             label = data[at + 1]
             body, at = _blocks(data, at + 2)
@@ -230,7 +234,7 @@ def decode(data: bytes) -> list[Frame]:
                 area[:] = colours
             else:
                 area[own != clear] = colours[own != clear]
-            out.append(Frame(left, top, samples, delay, disposal, clear, screen.copy()))
+            yield Frame(left, top, samples, delay, disposal, clear, screen.copy())
             if disposal == 2:
                 area[:] = ground
             elif disposal == 3:
@@ -263,11 +267,13 @@ def payload(text: str | None, unit: int = WIDTH) -> tuple[int, bytes]:
 
 def stored(data: bytes) -> tuple[bytes, str]:
     """What the frames of a file written by encode() show, and a feature of them: number, time and summed histogram."""
-    frames = decode(data)
-    shown = [f.screen[f.top : f.top + f.samples.shape[0], f.left : f.left + f.samples.shape[1]] for f in frames]
-    flat = b"".join(s[:, :, 0].tobytes() for s in shown)
+    parts, delay = [], 0
+    for f in shown_frames(data):
+        parts.append(f.screen[f.top : f.top + f.samples.shape[0], f.left : f.left + f.samples.shape[1], 0].tobytes())
+        delay += f.delay
+    flat = b"".join(parts)
     bins = np.bincount(np.frombuffer(flat, dtype=np.uint8) >> 4, minlength=16)
-    return flat, f"gif;{len(frames)};{sum(f.delay for f in frames)};" + ",".join(map(str, bins.tolist()))
+    return flat, f"gif;{len(parts)};{delay};" + ",".join(map(str, bins.tolist()))
 
 
 COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -277,12 +283,12 @@ def media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (the stored file) of each row of `docs`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in small_batches(frames):
-            own = [payload(t if isinstance(t, str) else None) for t in pdf["text"]]
+        for pdf in frames:
+            own = [payload(t) for t in pdf["text"]]
             made = {p: encode(p) for p in {p for _, p in own}}
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [n for n, _ in own], "media": [made[p] for _, p in own]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [n for n, _ in own], "media": [made[p] for _, p in own]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return mapped(plain(docs), run, "doc_id long, n_bytes long, media binary", "text")
 
 
 def read_back(files: DataFrame) -> DataFrame:
@@ -298,10 +304,9 @@ def read_back(files: DataFrame) -> DataFrame:
                     flat, feature = stored(m)
                     done[key] = (len(flat), hashlib.sha256(flat).hexdigest(), zlib.crc32(flat[-16:]), len(m), key.hex(), feature)
                 rows.append((i, n, *done[key]))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    return files.mapInPandas(run, COLUMNS)
+    return mapped(files.select("doc_id", "n_bytes", "media"), run, COLUMNS, "media")
 
 
 def frames(table: DataFrame, column: str = "media") -> DataFrame:
