@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, same_row, small_batches, staged
+from .common import keyed, mapped, same_row, staged
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -105,10 +105,10 @@ RUNS = "doc_id long, th long, start int, n int, gram long, d1 long, d2 long"
 
 def _list_runs(docs: DataFrame, depth: int, gram: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in small_batches(frames):
+        for pdf in frames:
             parts = []
             for i, t, th in zip(pdf["doc_id"], pdf["text"], pdf["th"], strict=True):
-                got = runs(t.encode(), depth, gram) if isinstance(t, str) else None
+                got = runs(t.encode(), depth, gram) if t else None
                 if got is not None:
                     parts.append((len(got[0]), i, th, got))
             if parts:
@@ -117,7 +117,7 @@ def _list_runs(docs: DataFrame, depth: int, gram: int) -> DataFrame:
                 ids = pd.array([p[1] for p in parts], dtype="Int64").repeat(size)
                 yield pd.DataFrame({"doc_id": ids, "th": np.repeat([p[2] for p in parts], size), "start": cols[0], "n": cols[1], "gram": cols[3], "d1": cols[4], "d2": cols[5]})
 
-    return docs.mapInPandas(run, RUNS)
+    return mapped(docs, run, RUNS, "text")
 
 
 def _cut(docs: DataFrame, kinds: DataFrame, depth: int) -> DataFrame:
@@ -125,7 +125,7 @@ def _cut(docs: DataFrame, kinds: DataFrame, depth: int) -> DataFrame:
     asked = kinds.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "d1", "d2", "many", "start", "n")).alias("asked"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in small_batches(frames):
+        for pdf in frames:
             rows = []
             for t, asked in zip(pdf["text"], pdf["asked"], strict=True):
                 flat = t.encode()
@@ -133,7 +133,7 @@ def _cut(docs: DataFrame, kinds: DataFrame, depth: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["gram", "d1", "d2", "many", "bytes"])
 
     # a text is asked for about as many runs as it has: bounded by the text
-    return docs.join(asked, same_row(docs, asked)).select(docs["text"], "asked").mapInPandas(run, "gram long, d1 long, d2 long, many boolean, bytes binary")
+    return mapped(docs.join(asked, same_row(docs, asked)).select(docs["text"], "asked"), run, "gram long, d1 long, d2 long, many boolean, bytes binary", "text")
 
 
 def _quarters(data: bytes, depth: int) -> np.ndarray:
@@ -302,13 +302,13 @@ def remove(docs: DataFrame, depth: int = 400, gram: int = 128, crowd: int = 256)
     own, found = keyed(docs), find(docs, depth, gram, crowd)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in small_batches(frames):
+        for pdf in frames:
             rows = []
             for i, t, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
-                data = t.encode() if isinstance(t, str) else b""
+                data = t.encode() if t else b""
                 kept, removed = cut_bytes(data, spans if spans is not None else [])
                 rows.append((i, len(data), len(data) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": b} for a, b in removed]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
     rows = own.join(found, same_row(own, found), "left").select(own["doc_id"], own["text"], "spans")
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:int,b:int>>")
+    return mapped(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:int,b:int>>", "text")
