@@ -42,62 +42,55 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def units_by_force(rows):
-    found, first = {}, {}
+def lines_by_force(rows, sentences=None):
+    """For each (doc_id, text): its units and those of them that aren't the first of their kind, as (start, end); rows must be distinct."""
+    first, found = {}, {}
     for n, (i, t) in enumerate(rows):
-        own = [(m.start(), m.end(), " ".join(m[0].split()).lower()) for m in re.finditer(r"[^\n.!?]+[.!?]*", t or "")]
-        found[n] = [u for u in own if len(u[2].split()) >= 5]
-        for a, _, u in found[n]:
-            place = (i is not None, i or 0, a)
-            if u not in first or place < first[u][:3]:
-                first[u] = (*place, n)
-    return found, first
+        own = [(m.start(), m.end(), " ".join(m[0].split()).lower()) for m in re.finditer(r"[^\n]+\n?", t or "") if m[0].strip()]
+        if sentences:
+            lines = {(a, u) for a, _, u in own}
+            more = [(m.start(), m.end(), " ".join(m[0].split()).lower()) for m in re.finditer(r"[^\n.!?]+[.!?]*", t or "")]
+            own += [u for u in more if len(u[2].split()) >= sentences and (u[0], u[2]) not in lines]
+        found[n] = own
+        for a, _, u in own:
+            first[u] = min(first.get(u, (True, 1 << 64)), (i is not None, i or 0, n, a))
+    return [(own, [(a, b) for a, b, u in own if first[u] != (rows[n][0] is not None, rows[n][0] or 0, n, a)]) for n, own in found.items()]
+
+
+def without(text, gone):
+    covered = {k for a, b in gone for k in range(a, b)}
+    return "".join(c for k, c in enumerate(text) if k not in covered)
 
 
-def test_units(spark, odd, none):
+@pytest.mark.parametrize("sentences", [None, 5])
+def test_units(spark, odd, none, sentences):
     rows = list({(r[0], r[1]): r[:2] for r in cases()}.values())  # rows that repeat id and text are one document
-    found, first = units_by_force(rows)
-    want = {}
-    for n, (i, t) in enumerate(rows):
-        gone = [(a, b) for a, b, u in found[n] if first[u] != (i is not None, i or 0, a, n)]
-        kept, at = "", 0
-        for a, b in gone:
-            kept, at = kept + (t or "")[at:a], b
-        want[(i, t)] = (len(found[n]), len(gone), sha(kept + (t or "")[at:]))
-    got = key((r["doc_id"], r["n_units"], r["n_removed"], r["kept_sha256"]) for r in lines.report(odd).collect())
-    assert got == key((r[0], *want[r[0], r[1]]) for r in cases())
-    assert lines.report(none).count() == 0 and lines.remove(none).count() == 0
-    assert lines.remove(odd).columns == odd.columns
+    want = {r: (len(own), len(gone), sha(without(r[1] or "", gone))) for r, (own, gone) in zip(rows, lines_by_force(rows, sentences), strict=True)}
+    got = key((r["doc_id"], r["n_units"], r["n_removed"], r["kept_sha256"]) for r in lines.report(odd, sentences).collect())
+    assert got == key((r[0], *want[r[:2]]) for r in cases())
+    removed = lines.remove(odd, sentences)
+    assert removed.schema == odd.schema and lines.report(none).count() == 0 and lines.remove(none).count() == 0
+    texts = {r: without(r[1], gone) if r[1] is not None else None for r, (_, gone) in zip(rows, lines_by_force(rows, sentences), strict=True)}
+    assert key(r[:2] for r in removed.collect()) == key((r[0], texts[r[:2]]) for r in cases())
+    with pytest.raises(TypeError):
+        lines.report(odd.withColumn("doc_id", odd["doc_id"].cast("string")))
 
 
 def test_units_rank(spark):
     docs = spark.createDataFrame([(1, "a b c d e f.", 2), (2, "A  b c d e f. And more", 1)], "doc_id long, text string, rank int")
-    assert key(lines.remove(docs, rank="rank").select("doc_id", "text").collect()) == [(1, ""), (2, "A  b c d e f. And more")]
-
-
-def lines_by_force(rows):
-    """Texts without repeated whole lines, then without repeated sentences of 5 words in the lines that stay."""
-    first, found = {}, {}
-    for n, (i, t) in enumerate(rows):
-        own = [(m.start(), m.end(), " ".join(m[0].split()).lower(), True) for m in re.finditer(r"[^\n]+\n?", t or "")]
-        own += [(m.start(), m.end(), " ".join(m[0].split()).lower(), False) for m in re.finditer(r"[^\n.!?]+[.!?]*", t or "")]
-        found[n] = [u for u in own if u[2] and (u[3] or len(u[2].split()) >= 5)]
-        for a, _, u, _ in found[n]:
-            first[u] = min(first.get(u, (True, 1 << 60)), (i is not None, i or 0, n, a))
-    out = []
-    for n, (i, t) in enumerate(rows):
-        gone = {k for a, b, u, _ in found[n] if first[u] != (i is not None, i or 0, n, a) for k in range(a, b)}
-        out.append("".join(c for k, c in enumerate(t or "") if k not in gone))
-    return out
+    assert key(lines.remove(docs, 5, rank="rank").select("doc_id", "text").collect()) == [(1, ""), (2, "A  b c d e f. And more")]
+    docs = spark.createDataFrame([(1, "a b c", 2), (2, "x\nA  b C\ny", 1), (3, "a b c", None)], "doc_id long, text string, rank int")
+    assert key(lines.remove(docs, rank="rank").select("doc_id", "text").collect()) == [(1, ""), (2, "x\ny"), (3, "a b c")]
 
 
 def test_whole_lines(spark):
     rows = [(1, "nt onor. the of it.\nkept here"), (2, "x\nNT  onor. the of it.\ny"), (3, "nt onor. the of it."), (4, "of was oran. ha edble a.\n\n of was oran. ha edble a.\nof was"), (5, None), (6, ""), (7, "Yes. one two three four five six. No.\nnew. One two three four five six. short"), (8, "one two three four five six.\nYes. One two three four five six. No."), (None, "of was\nfirst of all")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["text"] for r in lines.remove(docs).collect()}
-    assert got == dict(zip([r[0] for r in rows], [t if r[1] is not None else None for r, t in zip(rows, lines_by_force(rows), strict=True)], strict=True))
-    assert got[2] == "x\ny" and got[3] == "" and got[4] == "of was oran. ha edble a.\n\n" and got[8] == ""
-    assert got[7] == "Yes. one two three four five six. No.\nnew. short"
+    for sentences in (None, 5):
+        got = {r["doc_id"]: r["text"] for r in lines.remove(docs, sentences).collect()}
+        assert got == {i: None if t is None else without(t, gone) for (i, t), (_, gone) in zip(rows, lines_by_force(rows, sentences), strict=True)}
+        assert got[2] == "x\ny" and got[3] == "" and got[4] == "of was oran. ha edble a.\n\n"
+    assert got[7] == "Yes. one two three four five six. No.\nnew. short" and got[8] == ""
 
 
 def force_hits(text, items, n=10):
@@ -110,14 +103,14 @@ def force_hits(text, items, n=10):
             for i in range(len(own) - size + 1):
                 if own[i : i + size] == w[j : j + size]:
                     hit.update(range(i, i + size))
-                    names.add(item)
+                    names.update([item] if item is not None else [])
     return len(own), len(hit), len(names), sha(",".join(sorted(names))), bool(hit)
 
 
 @pytest.mark.parametrize("block", [16 << 20, 300])
 def test_decontamination(spark, odd, none, block):
     text = cases()[7][1]
-    items = [("1", " ".join(text.split()[5:40])), ("02", None), ("3", "One, TWO"), ("4", ""), ("5", text), ("5", text), ("6", "...")]
+    items = [("1", " ".join(text.split()[5:40])), ("02", None), ("3", "One, TWO"), ("4", ""), ("5", text), ("5", text), ("6", "..."), (None, " ".join(text.split()[8:60])), (None, "x1 y2")]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id string, text string, doc_id int")
     found = decontaminate.digest(decontaminate.find(odd, bench, block_bytes=block))
     assert key(found.collect()) == key((r[0], *force_hits(r[1], items)) for r in cases())
@@ -153,7 +146,7 @@ def test_bpe(spark, odd, none, tok):
         want.append((r[0], len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))))
     assert key(bpe.digests(odd, PATH).collect()) == key(want)
     full = bpe.encode(odd, PATH)
-    assert full.columns == [c for c in odd.columns if c != "ids"] + ["ids"]
+    assert full.columns == ["doc_id", "text", "ids"]
     assert key((r["doc_id"], len(r["ids"])) for r in full.collect()) == key(w[:2] for w in want)
     assert bpe.digests(none, PATH).count() == 0 and bpe.encode(none, PATH).count() == 0
 
@@ -170,6 +163,14 @@ def test_bpe_any_text(text):  # no fixture: hypothesis would write out its argum
     assert words().encode(text).tolist() == ids
 
 
+def test_bpe_long_words(tok):
+    own, r = bpe.loaded(PATH), np.random.default_rng(3)
+    letters = np.array(list("aeiounrstlhd"))
+    for word in ("a" * 5000, "".join(r.choice(letters, 5000)), "the" * 900 + "re", "é" * 700, "a" * 201, "".join(r.choice(letters, 201))):
+        assert own.encode(word) == tok.encode(word, add_special_tokens=False).ids
+    assert len(own.encode("".join(r.choice(letters, 1_000_000)))) > 100_000  # in seconds, not hours
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 32), st.lists(st.integers(0, (1 << 32) - 1), max_size=300))
 def test_pack(bits, ids):
@@ -190,6 +191,11 @@ def test_token_files(spark, odd, none, tok, tmp_path):
     assert [r[1] for r in ordered] == [sum(x[2] for x in ordered[:i]) for i in range(len(ordered))]
     known = [r[0] for r in ordered if r[0] is not None]
     assert known == sorted(known) and [r[0] for r in ordered[:2]] == [None, None]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    tokenpack.write(odd, f"file://{tmp_path}/s", PATH, 49_408, end_id=1, files=2, file_ids=500)  # several files a task
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert key(tokenpack.read(spark, f"file://{tmp_path}/s").collect()) == key(got)
+    assert tokenpack.manifest(spark, f"file://{tmp_path}/s").count() > 2
     tokenpack.write(none, f"file://{tmp_path}/e", PATH, 49_408, end_id=1)
     assert tokenpack.read(spark, f"file://{tmp_path}/e").count() == 0
 

@@ -63,11 +63,10 @@ _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 SQL = {
     "op1_lines": r"""
 WITH p AS (SELECT doc_id, i, ps[i] AS piece FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i
-             FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n.!?]+[.!?]*|[\n.!?]+') AS ps FROM documents))),
+             FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n]+\n?|\n') AS ps FROM documents))),
 u AS (SELECT doc_id, i, piece, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
-             lower(trim(regexp_replace(piece, '\s+', ' ', 'g'))) AS norm, regexp_matches(piece, '^[^\n.!?]') AS is_unit FROM p),
-v AS (SELECT *, is_unit AND len(string_split(norm, ' ')) >= 5 AS counts FROM u),
-w AS (SELECT *, counts AND row_number() OVER (PARTITION BY counts, norm ORDER BY doc_id, a) > 1 AS gone FROM v),
+             lower(trim(regexp_replace(piece, '\s+', ' ', 'g'))) AS norm FROM p),
+w AS (SELECT *, norm <> '' AS counts, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, a) > 1 AS gone FROM u),
 r AS (SELECT doc_id, count(*) FILTER (counts) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(piece)) FILTER (gone), 0) AS chars_removed,
              coalesce(string_agg(CAST(a AS BIGINT) || '-' || CAST(a + length(piece) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS removed,
              coalesce(string_agg(piece, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM w GROUP BY doc_id)
