@@ -7,13 +7,17 @@ one pass over pending items is asked for, each is compared with what was there b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.sources.shared import cut
+
 from .scoring import authority, event_importance, tier_of
-from .vectors import band_join, cosine_distance, neighbours
+from .vectors import Block, by_block_pairs, nearest, neighbours, timed
 
 JOIN_DISTANCE, WINDOW_HOURS = 0.25, 72
 MERGE_MIN, MERGE_MEAN, MERGE_SHARE = 0.25, 0.20, 0.5
@@ -23,22 +27,26 @@ NO_CONTENT_ZH = ("未披露", "无法核实", "无法验证", "未提供", "内
 NO_CONTENT_EN = ("undisclosed", "unable to verify", "cannot be verified", "no verifiable", "without disclosed", "mysterious link")
 
 
-def assign(items: DataFrame, distance: float = JOIN_DISTANCE, hours: int = WINDOW_HOURS) -> DataFrame:
+def assign(items: DataFrame, distance: float = JOIN_DISTANCE, hours: int = WINDOW_HOURS, most: int | None = None) -> DataFrame:
     """What becomes of each pending item (embedded, enriched, in no event): joins the event of its nearest clustered
-    neighbour, else forms one with its nearest pending neighbour, else stands alone. id, action, target."""
-    have = items.where("embedding IS NOT NULL").select("id", "embedding", "published_at", "cluster_id", F.col("enriched_at").isNotNull().alias("enriched"))
-    pending = have.where("cluster_id IS NULL AND enriched").select("id", "embedding", "published_at")
-    other = have.select(*[F.col(c).alias(f"o_{c}") for c in ("id", "embedding", "published_at", "cluster_id")])
-    pairs = band_join(pending, other, "published_at", "o_published_at", hours).where("id <> o_id")
-    pairs = pairs.withColumn("d", F.round(cosine_distance("embedding", "o_embedding"), 6)).where(F.col("d") <= distance)
-    near = lambda test: F.min(F.when(test, F.struct("d", "o_id", "o_cluster_id")))
-    best = pairs.groupBy("id").agg(near(F.col("o_cluster_id").isNotNull()).alias("c"), near(F.col("o_cluster_id").isNull()).alias("u"))
-    rows = pending.select("id").join(best, "id", "left")
-    return rows.select(
+    neighbour, else forms one with its nearest pending neighbour, else stands alone. id, action, target, distance.
+
+    With `most`, of the pending items with the least ids only."""
+    have = items.where("embedding IS NOT NULL")
+    pending = have.where("cluster_id IS NULL AND enriched_at IS NOT NULL").select("id")
+    if most is not None:
+        pending = pending.orderBy("id").limit(most)
+    asked = pending.select(F.col("id").alias("p_id"))
+    rows = have.join(asked, F.col("id") == F.col("p_id"), "left").select("id", timed(have), "embedding", F.col("p_id").isNotNull().alias("asks"), F.col("cluster_id").isNotNull().cast("int").alias("kind"))
+    near = nearest(rows, hours, 1, most=distance)
+    best = near.groupBy("id").agg(F.min(F.when(F.col("kind") == 1, F.struct("distance", "o_id"))).alias("c"), F.min(F.when(F.col("kind") == 0, F.struct("distance", "o_id"))).alias("u"))
+    events = have.where("cluster_id IS NOT NULL").select(F.col("id").alias("o_id"), F.col("cluster_id").alias("o_cluster_id"))
+    found = pending.join(best, "id", "left").join(events, F.col("c.o_id") == F.col("o_id"), "left")
+    return found.select(
         "id",
         F.when(F.col("c").isNotNull(), "join").when(F.col("u").isNotNull(), "new").otherwise("single").alias("action"),
-        F.when(F.col("c").isNotNull(), F.col("c.o_cluster_id")).otherwise(F.col("u.o_id")).alias("target"),
-        F.coalesce("c.d", "u.d").alias("distance"),
+        F.when(F.col("c").isNotNull(), F.col("o_cluster_id")).otherwise(F.col("u.o_id")).alias("target"),
+        F.coalesce("c.distance", "u.distance").alias("distance"),
     )
 
 
@@ -74,32 +82,47 @@ def merge_candidates(clusters: DataFrame, items: DataFrame, hours: int = WINDOW_
     multi = clusters.where("member_count >= 2").where(~has_no_content())
     if since:
         multi = multi.where(F.col("latest_member_at") > F.lit(since).cast("timestamp_ntz"))
-    member = items.where("embedding IS NOT NULL AND cluster_id IS NOT NULL").select("cluster_id", "embedding", "published_at").join(multi.select(F.col("id").alias("cluster_id"), "member_count"), "cluster_id")
-    a = member.select(*[F.col(c).alias(f"a_{c}") for c in member.columns])
-    b = member.select(*[F.col(c).alias(f"b_{c}") for c in member.columns])
-    pairs = band_join(a, b, "a_published_at", "b_published_at", hours).where("a_cluster_id < b_cluster_id")
-    d = pairs.withColumn("d", F.round(cosine_distance("a_embedding", "b_embedding"), 6))
-    stats = d.groupBy(F.col("a_cluster_id").alias("cluster_a"), F.col("b_cluster_id").alias("cluster_b"), F.col("a_member_count").alias("size_a"), F.col("b_member_count").alias("size_b")).agg(
-        F.min("d").alias("min_distance"), F.round(F.avg("d"), 6).alias("mean_distance"), F.count_if(F.col("d") <= least).alias("pairs_within"), F.count("*").alias("total_pairs")
-    )
-    return stats.where((F.col("min_distance") <= least) & (F.col("mean_distance") <= mean) & (F.col("pairs_within") / F.col("total_pairs") >= share))
-
-
-def survivors(pairs: DataFrame, most: int = 50) -> DataFrame:
+    member = items.where("embedding IS NOT NULL AND cluster_id IS NOT NULL").join(multi.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
+
+    def compare(a: Block, b: Block | None, d: np.ndarray, near: np.ndarray) -> Iterator[dict]:
+        other = a if b is None else b
+        use = near & (a["cluster_id"][:, None] != other["cluster_id"][None, :])
+        if b is None:
+            use = np.triu(use, 1)
+        r, c = np.nonzero(use)
+        if not len(r):
+            return
+        ends = np.sort(np.stack([a["cluster_id"][r], other["cluster_id"][c]], axis=1), axis=1)
+        order = np.lexsort((ends[:, 1], ends[:, 0]))
+        ends, own = ends[order], d[r, c][order]
+        start = np.flatnonzero(np.concatenate([[True], (ends[1:] != ends[:-1]).any(axis=1)]))
+        yield {
+            "cluster_a": ends[start, 0], "cluster_b": ends[start, 1], "lowest": np.minimum.reduceat(own, start), "total": np.add.reduceat(own, start),
+            "within": np.add.reduceat((own <= least).astype(np.int64), start), "n": np.diff(np.append(start, len(own))),
+        }
+
+    local = by_block_pairs(member.select("id", timed(member), "embedding", "cluster_id"), hours, compare, "cluster_a long, cluster_b long, lowest double, total double, within long, n long")
+    stats = local.groupBy("cluster_a", "cluster_b").agg(F.min("lowest").alias("min_distance"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean_distance"), F.sum("within").alias("pairs_within"), F.sum("n").alias("total_pairs"))
+    stats = stats.where((F.col("min_distance") <= least) & (F.col("mean_distance") <= mean) & (F.col("pairs_within") / F.col("total_pairs") >= share))
+    size = lambda x: multi.select(F.col("id").alias(f"cluster_{x}"), F.col("member_count").alias(f"size_{x}"))
+    return stats.join(size("a"), "cluster_a").join(size("b"), "cluster_b")
+
+
+def survivors(pairs: DataFrame) -> DataFrame:
     """(cluster_id, survivor): transitive merging of pairs (cluster_a, cluster_b), the least id survives.
 
-    Least labels go over the edges and then jump to their own labels' labels, until nothing changes."""
+    Least labels go over the edges and then jump to their own labels' labels, until nothing changes; labels only fall, so there is an
+    end. Lineage is cut each round, in the shared folder."""
     edges = pairs.select(F.col("cluster_a").alias("a"), F.col("cluster_b").alias("b"))
-    edges = edges.union(edges.select("b", "a")).toDF("a", "b").distinct().persist()
+    edges = cut(edges.union(edges.select("b", "a")).toDF("a", "b").distinct())
     labels = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l"))
     known = None
-    for _ in range(most):
+    while True:
         near = edges.join(labels.select(F.col("a").alias("b"), F.col("l").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("m"))
         step = labels.join(near, "a").select("a", F.least("l", "m").alias("l"))
         jump = step.select(F.col("a").alias("l"), F.col("l").alias("ll"))
-        labels = step.join(jump, "l").select("a", F.least("l", "ll").alias("l"))
-        labels = labels.checkpoint() if labels.sparkSession.sparkContext.getCheckpointDir() else labels.persist()
-        total = labels.agg(F.sum("l")).first()[0]
+        labels = cut(step.join(jump, "l").select("a", F.least("l", "ll").alias("l")))
+        total = labels.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
         if total == known:
             break
         known = total

@@ -93,6 +93,13 @@ def body_queue(items: DataFrame, limit: int = 100) -> DataFrame:
     return items.where(F.col("body_md").isNull() & hosts).withColumn("rank", rank).orderBy("rank", F.desc("published_at"), "id").limit(limit).select("id", "tier", "rank")
 
 
+def transcript_queue(items: DataFrame, limit: int = 50) -> DataFrame:
+    """Videos whose transcript is to be fetched: by tier, featured first, then the latest."""
+    rank = F.expr("CASE tier WHEN 'featured' THEN 0 WHEN 'p1' THEN 1 WHEN 'all' THEN 2 WHEN 'excluded' THEN 3 ELSE 4 END")
+    video = F.col("url").like("%youtube.com/watch%") | F.col("url").like("%youtu.be/%") | F.col("url").like("%youtube.com/shorts/%")
+    return items.where(F.col("body_md").isNull() & video).withColumn("rank", rank).orderBy("rank", F.desc("published_at"), "id").limit(limit).select("id", "tier", "rank")
+
+
 def active_sources(sources: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     """Enabled sources in the order of the groups as declared, not of the alphabet, then by name."""
     rank = F.array_position(F.array(*[F.lit(g) for g in groups]), F.col("grp"))

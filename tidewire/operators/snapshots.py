@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.sources.shared import cut
+
 
 def sample(snapshots: DataFrame, cadence_hours: float = 84.0) -> DataFrame:
     """Snapshots (source, ts, digest) that are kept: those at least a cadence after the last kept one of their source whose
@@ -19,22 +21,19 @@ def sample(snapshots: DataFrame, cadence_hours: float = 84.0) -> DataFrame:
     if cadence_hours <= 0:
         known = rows.filter(F.col("digest").isNotNull()).groupBy("source", "digest").agg(F.min("ts").alias("ts"))
         return rows.filter(F.col("digest").isNull()).unionByName(known)
-    rows = _cut(rows)
+    rows = cut(rows)
     step = F.make_dt_interval(secs=F.lit(cadence_hours * 3600).cast("decimal(18,6)"))
-    picked = kept = _cut(_least(rows))
+    picked = kept = cut(_least(rows))
     while picked.count():
         last = picked.select(F.col("source").alias("_source"), (F.col("ts") + step).alias("_from"))
         seen = kept.select(F.col("source").alias("_source"), F.col("digest").alias("_digest"))
         later = rows.join(last, F.col("source").eqNullSafe(F.col("_source")) & (F.col("ts") >= F.col("_from"))).select("source", "ts", "digest")
         fresh = later.join(seen, F.col("source").eqNullSafe(F.col("_source")) & (F.col("digest") == F.col("_digest")), "left_anti")
-        picked = _cut(_least(fresh))
-        kept = _cut(kept.union(picked))
+        picked = cut(_least(fresh))
+        kept = cut(kept.union(picked))
     return kept
 
 
 def _least(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.min(F.struct("ts", "digest")).alias("one")).select("source", "one.ts", "one.digest")
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()

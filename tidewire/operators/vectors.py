@@ -1,9 +1,22 @@
-"""Vector distances, exact nearest-neighbour search, and joins within a time band."""
+"""Vector distances, nearest-neighbour search exact and by an index of cells, and comparisons within a time band.
+
+Comparisons of many with many go by pairs of blocks: a time bucket is cut into blocks of about `block` rows by a hash, and each
+pair of blocks of one bucket, or of neighbouring ones, is one group of rows, whose distances are a matrix product in an Arrow batch.
+Each pair of rows is compared once; what leaves a group is its local best, or sums. A crowded bucket makes more groups, not a larger
+one.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -57,11 +70,221 @@ def band_join(left: DataFrame, right: DataFrame, on_left: str, on_right: str, ho
     return a.join(b, a["_bucket"] == b["_near"]).where(F.abs(micros(on_left) - micros(on_right)) <= width).drop("_bucket", "_near")
 
 
-def neighbours(items: DataFrame, hours: int, k: int) -> DataFrame:
-    """For each embedded item its `k` nearest others within `hours`: id, other, distance, and their clusters and sources."""
-    have = items.where("embedding IS NOT NULL").select("id", "embedding", "published_at", "cluster_id", "source_id")
-    other = have.select(*[F.col(c).alias(f"o_{c}") for c in have.columns])
-    pairs = band_join(have, other, "published_at", "o_published_at", hours).where("id <> o_id")
-    pairs = pairs.withColumn("distance", F.round(cosine_distance("embedding", "o_embedding"), 6)).drop("embedding", "o_embedding")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "o_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of doubles of length 1."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+
+Block = dict[str, np.ndarray]
+
+
+def by_block_pairs(rows: DataFrame, hours: int, compare: Callable[[Block, Block | None, np.ndarray, np.ndarray], Iterator[dict]], schema: str, block: int = 1024) -> DataFrame:
+    """What compare(a, b, distances, near) gives for each pair of blocks of `rows` (id, at in microseconds, embedding, and columns of numbers).
+
+    b is null where a block meets itself. distances are cosine distances, rounded to 6 places; near tells which pairs are at most `hours` apart."""
+    width, kind = hours * 3600 * 1_000_000, T.StructType.fromDDL(schema)
+    own = rows.withColumn("_b", F.floor(F.col("at") / width))
+    sizes = own.groupBy("_b").agg(F.ceil(F.count("*") / block).cast("int").alias("_m"))  # a row a bucket
+    shifted = lambda k, name: sizes.select((F.col("_b") + k).alias("_b"), F.col("_m").alias(name))
+    sizes = sizes.join(shifted(1, "_before"), "_b", "left").join(shifted(-1, "_after"), "_b", "left")
+    b, i = F.col("_b"), F.col("_i")
+    upto = lambda m: F.when(F.coalesce(F.col(m), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(m) - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda b1, i1, b2, i2, side: F.struct(b1.alias("b1"), i1.alias("i1"), b2.alias("b2"), i2.alias("i2"), side.alias("side"))
+    partners = F.concat(
+        F.transform(upto("_m"), lambda j: pair(b, F.least(i, j), b, F.greatest(i, j), F.when(i <= j, 0).otherwise(1))),
+        F.transform(upto("_after"), lambda j: pair(b, i, b + 1, j, F.lit(0))),
+        F.transform(upto("_before"), lambda j: pair(b - 1, j, b, i, F.lit(1))),
+    )
+    own = own.join(sizes, "_b").withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int")).withColumn("_p", F.explode(partners))
+    key = ["b1", "i1", "b2", "i2"]
+    dealt = own.select("_p.*", *rows.columns).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, "side")
+    names, arrow = rows.columns, to_arrow_schema(kind)
+
+    def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        side = t["side"].to_numpy()
+        same = t["b1"][0].as_py() == t["b2"][0].as_py() and t["i1"][0].as_py() == t["i2"][0].as_py()
+        x = _matrix(t["embedding"])
+        cols = {c: t[c].to_numpy() for c in names if c != "embedding"}
+        part = lambda at: {c: v[at] for c, v in cols.items()}
+        left, right = (np.arange(len(side)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        if not len(left) or not len(right):
+            return
+        a, other = part(left), part(right)
+        distances = np.round(1.0 - x[left] @ x[right].T, 6)
+        near = np.abs(a["at"][:, None] - other["at"][None, :]) <= width
+        for out in compare(a, None if same else other, distances, near):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                now = tuple(keys[lo])
+                if held and now != last:
+                    yield from solve(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = now
+        if held:
+            yield from solve(held)
+
+    return dealt.mapInArrow(run, kind)
+
+
+def nearest(rows: DataFrame, hours: int, k: int, most: float | None = None, block: int = 1024) -> DataFrame:
+    """(id, kind, o_id, distance): for each row that asks, its `k` nearest of each kind within `hours`, and within `most` if given.
+
+    `rows` has id, at (microseconds), embedding, asks (boolean), kind (int). Ties go to the lesser id."""
+
+    def best(a: Block, b: Block, d: np.ndarray) -> Iterator[dict]:
+        for kind in np.unique(b["kind"]).tolist():
+            asks, there = np.flatnonzero(a["asks"]), np.flatnonzero(b["kind"] == kind)
+            own = d[np.ix_(asks, there)]
+            if not own.size:
+                continue
+            bound = np.partition(own, min(k, own.shape[1]) - 1, axis=1)[:, min(k, own.shape[1]) - 1]
+            r, c = np.nonzero((own <= bound[:, None]) & np.isfinite(own))
+            if not len(r):
+                continue
+            ids = b["id"][there][c]
+            order = np.lexsort((ids, own[r, c], r))
+            r, c, ids = r[order], c[order], ids[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            top = place < k
+            yield {"id": a["id"][asks][r[top]], "kind": np.full(int(top.sum()), kind, dtype=np.int32), "o_id": ids[top], "distance": own[r[top], c[top]]}
+
+    def compare(a: Block, b: Block | None, d: np.ndarray, near: np.ndarray) -> Iterator[dict]:
+        use = near if most is None else near & (d <= most)
+        other = a if b is None else b
+        use = use & (a["id"][:, None] != other["id"][None, :])
+        d = np.where(use, d, np.inf)
+        yield from best(a, other, d)
+        if b is not None:
+            yield from best(b, a, d.T)
+
+    local = by_block_pairs(rows, hours, compare, "id long, kind int, o_id long, distance double", block)
+    rank = F.row_number().over(Window.partitionBy("id", "kind").orderBy("distance", "o_id"))
+    return local.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def timed(items: DataFrame, at: str = "published_at") -> Column:
+    return F.unix_micros(F.col(at).cast("timestamp")).alias("at")
+
+
+def neighbours(items: DataFrame, hours: int, k: int, block: int = 1024) -> DataFrame:
+    """For each embedded item its `k` nearest others within `hours`: id, o_id, distance, rank, and their dates, events and sources."""
+    have = items.where("embedding IS NOT NULL")
+    near = nearest(have.select("id", timed(have), "embedding", F.lit(True).alias("asks"), F.lit(0).alias("kind")), hours, k, block=block)
+    about = have.select("id", "published_at", "cluster_id", "source_id")
+    other = about.select(*[F.col(c).alias(f"o_{c}") for c in about.columns])
+    return near.drop("kind").join(about, "id").join(other, "o_id").select(*about.columns, *other.columns, "distance", "rank")
+
+
+def search_all(items: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
+    """(q_id, id, distance, rank): for each of `queries` (q_id, vector) the `k` rows of `items` (id, embedding) nearest by negative inner
+    product, exactly; ties by id.
+
+    The queries are a stated set: they are broadcast in blocks of at most `block` vectors, and every block takes one scan of the items with a
+    local top-k in each batch, so that only k rows a query and batch are shuffled."""
+    n = queries.count()
+    parts = -(-n // block) or 1
+    sc, out = items.sparkSession.sparkContext, []
+    arrow = to_arrow_schema(T.StructType.fromDDL("q_id long, id long, distance double"))
+    for p in range(parts):
+        some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("q_id"), F.lit(parts)) == p)
+        got = some.select("q_id", "vector").collect()  # at most about `block` vectors
+        if not got:
+            continue
+        sent = sc.broadcast((np.array([r["q_id"] for r in got], dtype=np.int64), np.array([r["vector"] for r in got], dtype=np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 2048):
+                    part = batch.slice(lo, 2048)
+                    ids = part.column(0).to_numpy()
+                    vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                    d = np.round(-(q @ vectors.T), 6)
+                    bound = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                    r, c = np.nonzero(d <= bound[:, None])
+                    order = np.lexsort((ids[c], d[r, c], r))
+                    r, c = r[order], c[order]
+                    top = np.arange(len(r)) - np.searchsorted(r, r) < k
+                    r, c = r[top], c[top]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(ids[c]), pa.array(d[r, c])], schema=arrow)
+
+        out.append(items.where("embedding IS NOT NULL").select("id", "embedding").mapInArrow(run, "q_id long, id long, distance double"))
+    if not out:
+        return items.sparkSession.createDataFrame([], "q_id long, id long, distance double, rank int")
+    both = out[0]
+    for more in out[1:]:
+        both = both.unionByName(more)
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "id"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def fit_cells(items: DataFrame, cells: int = 64, sample: int = 10_000, rounds: int = 8, seed: int = 1) -> np.ndarray:
+    """Centres of an index: k-means over at most `sample` vectors, chosen by a hash of their id."""
+    got = items.where("embedding IS NOT NULL").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("embedding").collect()
+    if not got:
+        return np.empty((0, 0))
+    x = np.array([r["embedding"] for r in got], dtype=np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    rng = np.random.default_rng(seed)
+    centres = x[rng.permutation(len(x))[: min(cells, len(x))]]
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, near, x)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(length > 0, total / np.maximum(length, 1e-300), centres)
+    return centres
+
+
+def _cell_order(rows: DataFrame, vector: str, centres: np.ndarray, most: int) -> Column:
+    """The `most` nearest cells of each vector, the nearest first."""
+    sent = rows.sparkSession.sparkContext.broadcast(centres)  # at most `cells` vectors
+
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        x = np.stack(vectors.to_list()).astype(np.float64) @ sent.value.T
+        return pd.Series(list(np.argsort(-x, axis=1, kind="stable")[:, :most].astype(np.int32)))
+
+    return cells(vector)
+
+
+def probes_for(exact: DataFrame, index: DataFrame, queries: DataFrame, centres: np.ndarray, recall: float) -> int:
+    """The number of cells that must be searched so that this share of `exact` (q_id, id, from search_all()) is in them, measured on it."""
+    order = queries.select("q_id", _cell_order(queries, "vector", centres, len(centres)).alias("order"))
+    place = exact.join(index.select("id", "cell"), "id").join(order, "q_id").select(F.array_position("order", F.col("cell").cast("int")).alias("place"))
+    by = place.groupBy("place").agg(F.count("*").alias("n")).orderBy("place").collect()  # a row a cell at most
+    total, seen = sum(r["n"] for r in by), 0
+    for r in by:
+        seen += r["n"]
+        if seen >= recall * total:
+            return int(r["place"])
+    return max(1, len(centres))
+
+
+def indexed(items: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Every embedded row with the number of its cell, to be written partitioned by it."""
+    rows = items.where("embedding IS NOT NULL")
+    return rows.withColumn("cell", F.explode(_cell_order(rows, "embedding", centres, 1)))
+
+
+def search_cells(index: DataFrame, queries: DataFrame, centres: np.ndarray, probes: int, k: int = 20) -> DataFrame:
+    """As search_all(), in the `probes` nearest cells of each query only: an equi-join on the cell. Recall is below 1: measure it."""
+    asked = queries.select("q_id", "vector").withColumn("cell", F.explode(_cell_order(queries, "vector", centres, probes)))
+    pairs = index.select("id", "embedding", "cell").join(asked, "cell")
+    near = pairs.select("q_id", "id", F.round(-dot("embedding", "vector"), 6).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)

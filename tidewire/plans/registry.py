@@ -1,39 +1,18 @@
-"""Registered queries and their DuckDB SQL.
-
-Each query names its columns and types once; both sides are cast to them, so that the two engines agree on types."""
+"""Registered queries and their DuckDB SQL: the feed, counts, events, digests, streams. Intake and upkeep register theirs beside these."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text
 from tidewire.operators import cluster, digest, feed, feedback, pricing, snapshots, stats, vectors
-from tidewire.plans.views import NOW, Views, tier, with_views
+from tidewire.plans.base import AGO, DAY, QUERIES, SQL, add
+from tidewire.plans.views import NOW, Views, tier
 from tidewire.sources import archive
 from tidewire.sources import fixtures as fx
 from tidewire.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-_DUCK = {"long": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
-
-
-def add(name: str, schema: str, build: Callable[[Views], DataFrame], body: str | None = None, *views: str) -> None:
-    cols = [c.split() for c in schema.split(", ")]
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = build(Views(spark, sf_dir))
-        return df.select(*[F.col(c).cast(t).alias(c) for c, t in cols])
-
-    query.__name__ = name
-    QUERIES[name] = query
-    if body:
-        SQL[name] = "SELECT " + ", ".join(f"CAST({c} AS {_DUCK[t]}) AS {c}" for c, t in cols) + " FROM (" + with_views(body, views) + ")"
-
-
 # -- the feed ---------------------------------------------------------------------------------------------------------
 
 STORY = "id long, source_id string, publisher string, kind string, grp string, featured boolean, title string, summary string, tags string, importance int, tier string, published_at string, url string, editor_note string, hkr_h boolean, hkr_k boolean, hkr_r boolean, cluster_id long, coverage long, cross_source_count long, still_developing boolean"
@@ -59,7 +38,6 @@ def add_feed(name: str, test: str, locale: str = "en", **parts) -> None:
     add(name, STORY, lambda v: v.feed(locale=locale, **parts), story(page(test, parts.get("limit", 40), parts.get("offset", 0)), locale), "j")
 
 
-DAY = f"date_trunc('day', {NOW})"
 TEXT = " OR ".join(f"coalesce({c} ILIKE '%{{0}}%', false)" for c in ("title", "title_zh", "title_en", "summary_zh", "summary_en", "c_tzh", "c_ten"))
 PAPERS = "list_has_any(s_tags, ['arxiv', 'paper'])"
 
@@ -100,7 +78,6 @@ add(
 
 # -- counts and roll-ups ----------------------------------------------------------------------------------------------
 
-AGO = lambda part: f"{NOW} - INTERVAL {part}"
 add(
     "radar_stats",
     "items_today long, items_p1 long, items_featured long, tracked_sources long, signal_ratio double",
@@ -247,12 +224,6 @@ def with_near(body: str) -> str:
     return f"SELECT * FROM (WITH {NEAR} {body})"
 
 
-def semantic(v: Views) -> DataFrame:
-    query = v.table("embeddings").where("vec_id = 7").select("embedding").first()  # one row
-    return vectors.search(v.vectors.where("enriched_at IS NOT NULL AND tier <> 'excluded'"), [float(x) for x in query[0]], 20)
-
-
-add("semantic_search", "id long, title string, distance double", semantic, "SELECT id, title, round(-list_dot_product(embedding, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 6) AS distance FROM items WHERE embedding IS NOT NULL AND enriched_at IS NOT NULL AND tier <> 'excluded' ORDER BY distance, id LIMIT 20", "items")
 add("knn_pairs", "id long, o_id long, distance double, rank int", lambda v: vectors.neighbours(v.vectors, 72, 3), with_near("SELECT id, o_id, distance, rank FROM ranked WHERE rank <= 3"), "items")
 NEW = "SELECT id, o_id AS other_id, distance, source_id <> o_source_id AS cross_source FROM ranked WHERE rank <= 3 AND id < o_id AND distance <= 0.8 AND cluster_id IS DISTINCT FROM o_cluster_id"
 add("backtest_new_merges", "id long, other_id long, distance double, cross_source boolean", lambda v: cluster.new_merges(v.vectors, 0.8), with_near(NEW), "items")
@@ -480,3 +451,7 @@ add(
     "source string, ts string, digest string",
     lambda v: snapshots.sample(v.table("events").select(F.col("event_type").alias("source"), "ts", F.md5("props").alias("digest"))).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
 )
+
+from tidewire.plans import intake, upkeep  # noqa: E402  they add to the same registry
+
+__all__ = ["QUERIES", "SQL", "intake", "upkeep"]

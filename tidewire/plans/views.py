@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.operators import feed
+from tidewire.operators import feed, search
 from tidewire.operators.scoring import GROUP_AUTHORITY, TIERS
 from tidewire.sources import fixtures as fx
 
@@ -60,6 +60,10 @@ class Views:
     def feed(self, **parts) -> DataFrame:
         return feed.feed(self.items, self.sources, self.clusters, feed.FeedQuery(now=fx.NOW, **parts))
 
+    def found(self, source_id: str | None = None, source_group: str | None = None, source_kind: str | None = None, date_from: str | None = None, date_to: str | None = None, include_excluded: bool = False) -> DataFrame:
+        """What a search by vectors looks through: see search.searchable()."""
+        return search.searchable(self.vectors, self.sources, self.clusters, source_id, source_group, source_kind, date_from, date_to, include_excluded)
+
     def table(self, name: str) -> DataFrame:
         return fx.table(self.spark, self.sf_dir, name)
 

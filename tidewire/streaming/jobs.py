@@ -5,20 +5,12 @@ A rerun of a job with the same folder goes on where the last one stopped.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new local folder where that is unset (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="tidewire-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
+from tidewire.sources.shared import shared_dir
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
