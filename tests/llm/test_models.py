@@ -168,10 +168,10 @@ def test_quality_pairs():
 def test_toxicity_by_force():
     """Scores from tokens one by one, by enumeration-free forward and backward sums."""
     crf = toxicity.Crf()
-    crf.w, crf.step, crf.doc = np.random.default_rng(8).normal(size=toxicity.SIZE), np.array([[0.0, -1.0], [-0.5, 0.7]]), (0.8, 1.1, -2.0)
+    crf.w, crf.step, crf.doc = np.append(np.random.default_rng(8).normal(size=toxicity.SIZE), 0.0), np.array([[0.0, -1.0], [-0.5, 0.7]]), (0.8, 1.1, -2.0)
     texts = ["a few words of text", None, "", "one", "the same the same"]
     for t, got in zip(texts, crf.scores(texts, toxicity.Emissions(crf)), strict=True):
-        x = [crf.emissions(w) for w in (t or "").split()]
+        x = crf.emissions((t or "").split()).tolist()
         total, hit = 0.0, np.zeros(len(x))
         for tags in itertools.product((0, 1), repeat=len(x)):
             weight = np.prod([e if g else 1.0 for e, g in zip(x, tags, strict=True)]) * np.exp(sum(crf.step[a, b] for a, b in itertools.pairwise(tags)))

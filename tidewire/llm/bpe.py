@@ -43,7 +43,7 @@ def byte_chars() -> list[str]:
 class Bpe:
     """Encoder and decoder for a tokenizers file whose model is BPE with an end-of-word suffix."""
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import plain
+
 
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no label is learned from: crc32 of the id as text, modulo 5, is 0. Null ids count as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tuple[str | None, int]]:
-    """Up to `most` (text, label) rows outside the held-out fold, up to half of them of each label, by a hash of doc_id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, chars: int = 12_000_000) -> list[tuple[str | None, int]]:
+    """Up to `most` (text, label) rows outside the held-out fold, up to half of them of each label, with up to `chars` characters in all,
+    in an order by a hash of doc_id.
 
-    `most` bounds what comes to the driver whatever the size of the tables; the ids are chosen from the labels alone."""
+    `most` and `chars` bound what comes to the driver whatever the size of the tables; the ids are chosen from the labels alone."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("y").alias("y"))
     rank = F.xxhash64(F.col("doc_id"), F.lit(17))
     parts = [own.filter(F.col("y") == y).orderBy(rank, "doc_id").limit(most // 2) for y in (0, 1)]
     ids = F.broadcast(parts[0].union(parts[1]))  # at most `most` rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id").orderBy("doc_id", "text").limit(most).collect()
-    return [(r["text"], r["y"]) for r in rows]
+    order = [F.xxhash64(F.col("doc_id"), F.lit(18)), F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+    rows = plain(docs).join(ids, "doc_id").orderBy(*order).limit(most)  # at most `most` rows from here on
+    running = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return [(r["text"], r["y"]) for r in rows.withColumn("upto", running).filter(F.col("upto") <= chars).select("text", "y").collect()]

@@ -111,14 +111,15 @@ class _Batch:
     def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], y: list[int]):
         self.y = np.array(y)
         size = np.array([len(b[0]) for b in bags], dtype=np.int64)
-        self.owner = np.repeat(np.arange(len(bags)), size)
-        ids = np.concatenate([b[0] for b in bags])
+        owner = np.repeat(np.arange(len(bags), dtype=np.int32), size)
+        self.ids = np.concatenate([b[0] for b in bags]).astype(np.int32)
         self.part = np.concatenate([b[1] for b in bags]).astype(np.float32)
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(self.ids, kind="stable")
         self.some = np.flatnonzero(size)
         self.first = (np.cumsum(size) - size)[self.some]
-        self.ids, self.owner_by_id, self.part_by_id = ids, self.owner[order], self.part[order]
-        self.rows, self.start = np.unique(ids[order], return_index=True)
+        self.owner_by_id, self.part_by_id = owner[order], self.part[order]
+        self.rows, start = np.unique(self.ids[order], return_index=True)
+        self.start = start.astype(np.int32)
 
     def vectors(self, table: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.y), table.shape[1]), dtype=np.float32)

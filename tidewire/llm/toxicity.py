@@ -10,7 +10,7 @@ Defined cases: null, empty and blank texts have no tokens and get the score of n
 scores; without labelled rows of both kinds, or where no token can be labelled toxic, every score is 0 and nothing is
 tagged; extra columns are ignored. Training rows are distinct texts: a shared beginning makes no copies.
 Scale: training on at most `most` labelled rows; scoring is narrow, with one broadcast of the weights; long texts are
-scored whole, and the memory of a task is a slice of about 3 million bytes of text, or one longer
+scored whole, and the memory of a task is a slice of about 2 million bytes of text, or one longer
 text, with 64 bytes a token, and a bounded store of emissions.
 """
 
@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,15 +31,24 @@ from .common import edited, mapped, plain
 from .labelled import held_out, sample
 
 SIZE = 1 << 18
-SLICE = 3_000_000  # bytes of text scored abreast
+SLICE = 2_000_000  # bytes of text scored abreast
 STRIP = ".,;:!?\"'()[]{}*#%$&|"
 TOKEN = re.compile(r"\S+")
 
 
+_FRONT = [zlib.crc32(b"w"), zlib.crc32(b"s"), *(zlib.crc32(b"p%d" % n) for n in (3, 4, 5, 6))]
+WIDTH = len(_FRONT)
+
+
 def features(token: str) -> list[int]:
+    """Hashed features of a token: the word, its last three and its first three to six characters; SIZE, the row without weight, for what it lacks."""
     w = token.lower().strip(STRIP) or token
-    names = [f"w{w}", f"s{w[-3:]}", *(f"p{n}{w[:n]}" for n in (3, 4, 5, 6) if len(w) >= n)]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & (SIZE - 1) for n in names]
+    parts = (w, w[-3:], *(w[:n] for n in (3, 4, 5, 6)[: max(0, len(w) - 2)]))
+    if w.isascii():
+        ids = [zlib.crc32(x, f) & (SIZE - 1) for x, f in zip(map(str.encode, parts), _FRONT, strict=False)]
+    else:
+        ids = [zlib.crc32(x.encode("utf-8", "surrogatepass"), f) & (SIZE - 1) for x, f in zip(parts, _FRONT, strict=False)]
+    return ids + [SIZE] * (WIDTH - len(ids))
 
 
 def _begins(token: str) -> list[str]:
@@ -53,16 +61,37 @@ def unlike(rows: list[tuple[str | None, int]]) -> list[tuple[str | None, int]]:
     return list({(" ".join((t or "").split()).lower(), y): (t, y) for t, y in reversed(rows)}.values())[::-1]
 
 
-def token_labels(rows: list[tuple[str | None, int]], share: float = 0.03, odds: float = 4.0) -> list[tuple[list[str], list[int]]]:
-    """Tokens and tags of each document, from the labels of the documents; a word counts from `share` of the toxic documents on, two at least."""
-    seen = {0: Counter(), 1: Counter()}
-    docs = [((t or "").split(), y) for t, y in rows]
-    n = Counter(y for _, y in docs)
-    for tokens, y in docs:
-        seen[y].update({b for w in set(tokens) for b in _begins(w)})
+class Tokens:
+    """Documents as numbers of distinct tokens: `docs` holds an array for each, `words` the tokens, `rows` their features."""
+
+    def __init__(self, texts: list[str | None]):
+        known: dict[str, int] = {}
+        self.docs = [np.array([known.setdefault(w, len(known)) for w in (t or "").split()], dtype=np.int32) for t in texts]
+        self.words = list(known)
+        self.rows = np.array([features(w) for w in self.words], dtype=np.int32).reshape(-1, WIDTH)
+
+
+def toxic_words(tokens: Tokens, y: np.ndarray, share: float = 0.03, odds: float = 4.0) -> np.ndarray:
+    """For each distinct token whether it is toxic, from the labels of the documents: its word, or a beginning of it, stands in toxic
+    documents by these log-odds more often than in others, and in `share` of the toxic documents, two at least."""
+    names: dict[str, int] = {}
+    begins = [np.array([names.setdefault(b, len(names)) for b in _begins(w)], dtype=np.int32) for w in tokens.words]
+    seen = np.zeros((2, len(names) + 1), dtype=np.int32)
+    for doc, label in zip(tokens.docs, y.tolist(), strict=True):
+        if len(doc):
+            seen[label, np.unique(np.concatenate([begins[k] for k in np.unique(doc)]))] += 1
+    n = np.bincount(y, minlength=2)
     least = max(2, math.ceil(share * n[1]))
-    bad = {b for b, c in seen[1].items() if c >= least and math.log((c + 0.5) / (n[1] + 1)) - math.log((seen[0][b] + 0.5) / (n[0] + 1)) >= odds}
-    return [(tokens, [int(y == 1 and any(b in bad for b in _begins(w))) for w in tokens]) for tokens, y in docs]
+    ratio = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
+    bad = (seen[1] >= least) & (ratio >= odds)
+    return np.array([bad[b].any() for b in begins], dtype=bool)
+
+
+def token_labels(rows: list[tuple[str | None, int]], share: float = 0.03, odds: float = 4.0) -> list[tuple[list[str], list[int]]]:
+    """Tokens and tags of each document: those of toxic_words() in documents marked toxic."""
+    tokens, y = Tokens([t for t, _ in rows]), np.array([y for _, y in rows], dtype=np.int64)
+    bad = toxic_words(tokens, y, share, odds)
+    return [([tokens.words[k] for k in doc], (bad[doc] & (label == 1)).astype(int).tolist()) for doc, label in zip(tokens.docs, y.tolist(), strict=True)]
 
 
 def marginals(x: np.ndarray, sizes: np.ndarray, step: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
@@ -108,7 +137,7 @@ class Crf:
     """Weights of emissions (hashed) and transitions, and the document score's three numbers."""
 
     def __init__(self):
-        self.w, self.step, self.doc = np.zeros(SIZE), np.array([[0.0, -2.0], [-1.0, 0.0]]), (0.0, 0.0, -50.0)
+        self.w, self.step, self.doc = np.zeros(SIZE + 1), np.array([[0.0, -2.0], [-1.0, 0.0]]), (0.0, 0.0, -50.0)
 
     def train(self, rows: list[tuple[str | None, int]], rounds: int = 3, rate: float = 0.3, batch: int = 64, seed: int = 3) -> Crf:
         """Two thirds of the rows train the field; the others, whose words it hasn't seen, the document score."""
@@ -118,41 +147,42 @@ class Crf:
             tail = rows
         if len({y for _, y in rows}) < 2:
             return self
-        docs = token_labels([r for i, r in enumerate(rows) if i % 3 != 2] if tail is not rows else rows)
-        if not any(any(tags) for _, tags in docs):
+        field = [r for i, r in enumerate(rows) if i % 3 != 2] if tail is not rows else rows
+        tokens, y = Tokens([t for t, _ in field]), np.array([y for _, y in field], dtype=np.int64)
+        bad = toxic_words(tokens, y)
+        if not any(bad[doc].any() for doc, label in zip(tokens.docs, y.tolist(), strict=True) if label):
             return self
-        memo: dict[str, list[int]] = {}
-        data = []
-        for tokens, tags in docs:
-            own = [memo[t] if t in memo else memo.setdefault(t, features(t)) for t in tokens]
-            data.append((np.fromiter(chain.from_iterable(own), dtype=np.int64), np.array([len(o) for o in own], dtype=np.int64), np.array(tags, dtype=np.int64)))
-        rng, past, past_step = np.random.default_rng(seed), np.full(SIZE, 1e-6), np.full((2, 2), 1e-6)
+        rng, past, past_step = np.random.default_rng(seed), np.full(SIZE + 1, 1e-6), np.full((2, 2), 1e-6)
+        some = np.array([k for k, doc in enumerate(tokens.docs) if len(doc)])
         for _ in range(rounds):
-            order = rng.permutation(len(data))
+            order = rng.permutation(some)
             for i in range(0, len(order), batch):
-                part = [data[k] for k in order[i : i + batch] if len(data[k][2])]
-                if not part:
-                    continue
-                ids, counts, tags = (np.concatenate(z) for z in zip(*part, strict=True))
-                sizes = np.array([len(p[2]) for p in part])
-                owner = np.repeat(np.arange(len(counts)), counts)
-                x = np.exp(np.clip(np.bincount(owner, self.w[ids], len(counts)), -30, 30))
+                own = order[i : i + batch]
+                part = np.concatenate([tokens.docs[k] for k in own])
+                sizes = np.array([len(tokens.docs[k]) for k in own])
+                tags = (bad[part] & np.repeat(y[own] == 1, sizes)).astype(np.int64)
+                kinds, place = np.unique(part, return_inverse=True)
+                x = np.exp(np.clip(self.w[tokens.rows[kinds]].sum(axis=1), -30, 30))[place]
                 p, pairs = marginals(x, sizes, np.exp(self.step))
-                g = np.bincount(ids, (p - tags)[owner], SIZE) / len(part)
+                by_kind = np.bincount(place, p - tags, len(kinds))
+                g = np.bincount(tokens.rows[kinds].ravel(), np.repeat(by_kind, WIDTH), SIZE + 1) / len(own)
+                g[SIZE] = 0.0
                 past += g * g
                 self.w -= rate * g / np.sqrt(past) + 1e-5 * self.w
                 inner = np.ones(len(tags), dtype=bool)
                 inner[np.cumsum(sizes) - 1] = False
                 at = np.flatnonzero(inner)
                 seen = np.bincount(2 * tags[at] + tags[at + 1], minlength=4).reshape(2, 2)
-                gs = (pairs - seen) / len(part)
+                gs = (pairs - seen) / len(own)
                 past_step += gs * gs
                 self.step -= 0.1 * gs / np.sqrt(past_step)
         self._fit_score(tail)
         return self
 
-    def emissions(self, token: str) -> float:
-        return math.exp(min(30.0, max(-30.0, float(self.w[features(token)].sum()))))
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """exp of the emission weight of "toxic" against "other" for each word."""
+        rows = np.array([features(w) for w in words], dtype=np.int32).reshape(-1, WIDTH)
+        return np.exp(np.clip(self.w[rows].sum(axis=1), -30, 30))
 
     def _evidence(self, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p, _ = marginals(x, sizes, np.exp(self.step), pairs=False)
@@ -166,9 +196,9 @@ class Crf:
 
     def _fit_score(self, rows: list[tuple[str | None, int]], rounds: int = 400) -> None:
         y = np.array([y for _, y in rows], dtype=float)
-        tokens = [(t or "").split() for t, _ in rows]
-        store = Emissions(self, 1 << 20)
-        _, total, most = self._evidence(np.array([store[t] for w in tokens for t in w]), np.array([len(w) for w in tokens]))
+        tokens = Tokens([t for t, _ in rows])
+        x = np.exp(np.clip(self.w[tokens.rows].sum(axis=1), -30, 30))
+        _, total, most = self._evidence(x[np.concatenate(tokens.docs)], np.array([len(d) for d in tokens.docs]))
         m = np.stack([np.log1p(total), most, np.ones(len(y))], axis=1)
         v = np.zeros(3)
         weigh = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -186,6 +216,7 @@ class Crf:
         """Marginals of all tokens laid end to end, tokens of each text, and each text's largest marginal and score."""
         tokens = [t.split() if t else [] for t in texts]
         sizes = np.array([len(w) for w in tokens], dtype=np.int64)
+        store.learn(set(chain.from_iterable(tokens)))
         x = np.fromiter(map(store.__getitem__, chain.from_iterable(tokens)), dtype=np.float64, count=int(sizes.sum()))
         p, total, most = self._evidence(x, sizes)
         return p, sizes, most, 1 / (1 + np.exp(-(np.log1p(total) * self.doc[0] + most * self.doc[1] + self.doc[2])))
@@ -210,21 +241,17 @@ class Crf:
 
 
 class Emissions(dict):
-    """Emission of each token of fewer than 64 characters, kept for the last `cached` to twice as many tokens: some 20 MB."""
-
-    def __init__(self, crf: Crf, cached: int = 60_000):
-        self.crf, self.cached, self.old = crf, cached, {}
-
-    def __missing__(self, token: str) -> float:
-        got = self.old.get(token)
-        if got is None:
-            got = self.crf.emissions(token)
-        if len(token) < 64:
-            if len(self) >= self.cached:
-                self.old = dict(self)
-                self.clear()
-            self[token] = got
-        return got
+    """Emission of each token met; emptied before a slice when `cached` have come: some 20 MB, and what a slice brings."""
+
+    def __init__(self, crf: Crf, cached: int = 100_000):
+        self.crf, self.cached = crf, cached
+
+    def learn(self, tokens: set[str]) -> None:
+        """Emissions of those tokens that aren't known, all in one step."""
+        if len(self) >= self.cached:
+            self.clear()
+        if new := [t for t in tokens if t not in self]:
+            self.update(zip(new, self.crf.emissions(new).tolist(), strict=True))
 
 
 def model(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 4000) -> Crf:
