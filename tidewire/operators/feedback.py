@@ -13,7 +13,11 @@ def fold_toggles(events: DataFrame) -> DataFrame:
 
     Switching a vote on drops the opposite one of up and down; switching on what is on changes nothing. So a vote stands
     if its last event is "on" and no later "on" of the opposite came. Saves stand by themselves."""
-    last = events.groupBy("item_id", "user_id", "vote").agg(F.max(F.struct("id", "on")).alias("last"), F.max(F.when(F.col("on"), F.col("id"))).alias("on_id"))
+    return standing(events.groupBy("item_id", "user_id", "vote").agg(F.max(F.struct("id", "on")).alias("last"), F.max(F.when(F.col("on"), F.col("id"))).alias("on_id")))
+
+
+def standing(last: DataFrame) -> DataFrame:
+    """The votes that stand, from the last event and the last "on" of each (item_id, user_id, vote)."""
     other = F.max(F.when(F.col("vote") != "save", F.struct("on_id", "vote"))).over(Window.partitionBy("item_id", "user_id"))
     # of up and down, the one that was switched on later drops the other
     rows = last.withColumn("latest", other)

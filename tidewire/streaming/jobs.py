@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.sources.shared import shared_dir
@@ -48,3 +48,59 @@ def sessions(stream: DataFrame, gap: str = "6 hours") -> DataFrame:
     """Runs of a user's events with less than `gap` between neighbours."""
     w = F.session_window("at", gap)
     return stream.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("began"), "n")
+
+
+def voted(spark: SparkSession, sf_dir: str, n_items: int, folder: str | None = None) -> DataFrame:
+    """The votes that stand after all toggles, kept by key as they stream in: for each (item, user, vote) the last event and the last "on".
+
+    Each batch is folded by key and then with what was there, so that a batch is small whatever the history; the fold is the same one
+    that feedback.fold_toggles() does over a whole table."""
+    from tidewire.operators.feedback import standing
+
+    stream = events(spark, sf_dir).where("event_type IN ('click', 'error', 'purchase')").select(
+        F.col("event_id").alias("id"), F.expr(f"event_id % {int(n_items)}").alias("item_id"), "user_id", F.expr("CASE event_type WHEN 'click' THEN 'up' WHEN 'error' THEN 'down' ELSE 'save' END").alias("vote"), F.expr("event_id % 4 <> 3").alias("on")
+    )
+    last = stream.groupBy("item_id", "user_id", "vote").agg(F.max(F.struct("id", "on")).alias("last"), F.max(F.when(F.col("on"), F.col("id"))).alias("on_id"))
+    return standing(drain(last, "complete", folder))
+
+
+def healthy(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Health counters of each source as its fetches stream in: successes in all, and failures since the last success.
+
+    Stateful by key: a count of successes, the number of the last one, and the numbers of the failures after it."""
+
+    def fold(key, frames, state):
+        import pandas as pd
+
+        ok, total, fails = state.get if state.exists else (-1, 0, [])
+        fails = list(fails)
+        for pdf in frames:
+            good = pdf.loc[pdf["event_type"] != "error", "event_id"]
+            ok, total = max([ok, *good.tolist()]), total + len(good)
+            fails = [x for x in [*fails, *pdf.loc[pdf["event_type"] == "error", "event_id"].tolist()] if x > ok]
+        state.update((ok, total, fails))
+        yield pd.DataFrame({"source_id": [key[0]], "failures": [len(fails)], "total": [total]})
+
+    keyed = stream.select(F.expr("concat('u', user_id % 50)").alias("source_id"), "event_id", "event_type")
+    out = keyed.groupBy("source_id").applyInPandasWithState(fold, "source_id string, failures long, total long", "ok long, total long, fails array<long>", "update", "NoTimeout")
+    spark = stream.sparkSession
+    folder = folder or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    out.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    return rows.groupBy("source_id").agg(F.max_by(F.struct("failures", "total"), "batch").alias("s")).select("source_id", "s.failures", "s.total")
+
+
+def cohorts(stream: DataFrame, kinds: tuple[str, ...] = ("purchase",), folder: str | None = None) -> DataFrame:
+    """Each item with the day it belongs to by its own date, however late it comes: there is no watermark that would drop it."""
+    rows = stream.where(F.col("event_type").isin(*kinds)).select(F.col("event_id").alias("id"), F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("cohort"))
+    return drain(rows, "append", folder)
+
+
+def due(now: Column, cadence: str = "cadence") -> Column:
+    """Whether a fetch of a cadence is due in the hour of `now`: hourly always, daily in the first hour of a day, weekly in that of a Monday."""
+    first = F.hour(now) == 0
+    return F.when(F.col(cadence) == "hourly", True).when(F.col(cadence) == "daily", first).when(F.col(cadence) == "weekly", first & (F.weekday(now) == 0)).otherwise(False)
