@@ -26,7 +26,7 @@ doc_id takes part, and counts as greater than any id when the least is named (nu
 repeat a doc_id are rows of their own; ties go to the least doc_id; extra columns are ignored; an empty table gives an
 empty result.
 Scale: 8 bytes for each row and tree are shuffled for each length; signatures of the rows under mixed nodes, once for each
-such node and block; texts of grouped rows once. Hot copies fall together in the class aggregate, map-side; large nodes
+such node and block (overlapping large nodes are taken as one where that makes fewer pairs); texts of grouped rows once. Hot copies fall together in the class aggregate, map-side; large nodes
 and large groups of near copies are spread over their block pairs.
 """
 
@@ -158,8 +158,9 @@ def _compared(rows: DataFrame, length: int, least: float, threshold: float) -> D
             if near.any():
                 other, alike = other[near], alike[near]
                 ends += [(a, b) for b in other.tolist()]
-                # a pair is seen under each node that it shares: in all it counts once
-                np.add.at(met, (alike * BINS).astype(np.int64), times / (front[other] == front[a]).sum(axis=1))
+                # a pair is seen under each node that it shares: in all it counts once, and not where it shares none
+                shares = (front[other] == front[a]).sum(axis=1)
+                np.add.at(met, (alike * BINS).astype(np.int64), times / np.maximum(shares, 1) if times else np.minimum(shares, 1))
         if ends:
             pairs = np.array(ends)
             yield from ((int(node[k]), int(node[t]), None, None) for k, t in enumerate(_forest(len(node), pairs[:, 0], pairs[:, 1])) if t != k)
@@ -194,6 +195,25 @@ def _compared(rows: DataFrame, length: int, least: float, threshold: float) -> D
     return mapped(rows, run, "a long, b long, bin int, met double")
 
 
+def _units(some: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """(at, times, m, node, root): what is compared with what, in m blocks each: the rows under each node; or, where nodes of more than a
+    block overlap so much that the rows of all of them together make fewer pairs, these rows at once, as a unit of its own with `times` 0."""
+    plain = some.join(nodes, "at").select("at", "times", F.ceil(F.col("c") / block).cast("int").alias("m"), "node", "root", "c")
+    wide = nodes.filter(F.col("c") > block)
+    if not wide.limit(1).count():
+        return plain.drop("c")
+    held = staged(some.join(wide.select("at", "c"), "at"), "wide")
+    hub = held.groupBy("at").agg(F.min("node").alias("hub"))
+    linked = components(held.join(hub, "at").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    of = staged(held.join(linked.withColumnRenamed("root", "unit"), "node"), "units")
+    pairs = of.select("unit", "at", "c").distinct().groupBy("unit").agg(F.sum(F.col("c") * F.col("c")).alias("by_node"))
+    size = of.groupBy("unit").agg(F.count_distinct("node").alias("n"))
+    whole = staged(size.join(pairs, "unit").filter(F.col("n") * F.col("n") < F.col("by_node")).select("unit", F.ceil(F.col("n") / block).cast("int").alias("m")), "whole")
+    gone = of.join(whole, "unit", "left_semi").select("at").distinct()
+    once = of.join(whole, "unit").groupBy("unit", "m", "node").agg(F.min("root").alias("root"))
+    return plain.join(gone, "at", "left_anti").drop("c").unionByName(once.select(F.xxhash64("unit", F.lit("unit")).alias("at"), F.lit(0).alias("times"), "m", "node", "root"))
+
+
 def _grouped(classes: DataFrame, threshold: float, trees: int, recall: float, margin: float, block: int) -> DataFrame:
     """(node, root) of the classes that have company, by the forest: see above. `classes` has node and signatures."""
     spark = classes.sparkSession
@@ -218,6 +238,8 @@ def _grouped(classes: DataFrame, threshold: float, trees: int, recall: float, ma
         return rows.groupBy("at").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
 
     def joined(got: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if not got.limit(1).count():
+            return edges, groups
         new = edges.union(got.select("a", "b"))
         return new, staged(components(new), "groups")
 
@@ -231,10 +253,12 @@ def _grouped(classes: DataFrame, threshold: float, trees: int, recall: float, ma
     while True:
         rows = under(length)
         some = rows.join(mixed(rows).select("at"), "at")
+        some = staged(some, "under")
         # nodes of one length with the same members show the same pairs: one of them is enough
         nodes = some.groupBy("at").agg(F.count("*").alias("c"), F.min("node").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
-        nodes = nodes.groupBy("c", "n", "who").agg(F.min("at").alias("at"), F.count("*").alias("times")).select("at", "times", F.ceil(F.col("c") / block).cast("int").alias("m"))
-        rows = some.join(nodes, "at").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        nodes = staged(nodes.groupBy("c", "n", "who").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("times")).select("at", "times", "c"), "nodes")
+        units = _units(some, nodes, block)
+        rows = units.withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         rows = rows.select("at", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "root", "times").join(classes, "node")
         got = staged(_compared(rows.repartition(parts, "at", "i", "j").sortWithinPartitions("at", "i", "j"), length, threshold - margin, threshold), "met")
         edges, groups = joined(got.filter("a IS NOT NULL"))
