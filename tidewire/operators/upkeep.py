@@ -35,7 +35,8 @@ def claimed(items: DataFrame, clusters: DataFrame, assigned: DataFrame, now: str
     # whoever is linked to a new pair goes with it; a member that joins an event takes only itself there
     alone = assigned.where("action = 'single'").select(F.col("id").alias("a_id"))
     rows = items.join(joins, F.col("id") == F.col("j_id"), "left").join(own, F.col("id") == F.col("p_id"), "left").join(alone, F.col("id") == F.col("a_id"), "left")
-    after = rows.withColumn("cluster_id", F.coalesce("cluster_id", "j_to", "p_to", "a_id")).withColumn("came", F.coalesce("j_id", "p_id", "a_id").isNotNull()).drop("j_id", "j_to", "p_id", "p_to", "a_id")
+    rows = rows.withColumn("came", F.col("cluster_id").isNull() & F.coalesce("j_id", "p_id", "a_id").isNotNull())
+    after = rows.withColumn("cluster_id", F.coalesce("cluster_id", "j_to", "p_to", "a_id")).drop("j_id", "j_to", "p_id", "p_to", "a_id")
     n = after.where("cluster_id IS NOT NULL").groupBy(F.col("cluster_id").alias("n_id")).agg(
         F.count("*").alias("n"), F.bool_or("came").alias("new"), F.min("published_at").alias("first"), F.max("published_at").alias("last"), F.min("id").alias("lead")
     )
