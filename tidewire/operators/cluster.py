@@ -201,8 +201,9 @@ def histogram(pairs: DataFrame, edges: tuple[float, ...]) -> DataFrame:
 
 
 def sample_pairs(pairs: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n pairs at random, without replacement, the same for a seed."""
-    return pairs.orderBy(F.xxhash64("id", "other_id", F.lit(seed)), "id", "other_id").limit(n)
+    """n pairs at random, without replacement, the same for a seed: those with the least hashes."""
+    key = F.md5(F.concat_ws(":", F.lit(seed), "id", "other_id"))
+    return pairs.orderBy(key, "id", "other_id").limit(n)
 
 
 def orchestrate(stages: list[tuple[str, object]]) -> list[tuple[str, object, str | None]]:

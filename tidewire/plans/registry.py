@@ -54,7 +54,7 @@ add_feed("feed_page_3", ALL, tier="all", limit=20, offset=40)
 add_feed("lexical_search", f"{ALL} AND ({TEXT.format('event 1')})", tier="all", search="event 1")
 add_feed("lexical_search_wildcard", f"{ALL} AND ({TEXT.format('t_e%an')})", tier="all", search="t_e%an", limit=100)
 add_feed("curated_feed", f"{ALL} AND s_curated", tier="all", curated_only=True)
-add_feed("papers_feed", f"{ALL} AND {PAPERS}", tier="all", include_tags=("arxiv", "paper"))
+add_feed("papers_feed", f"{ALL} AND {PAPERS}", tier="all", include_tags=feed.tag_list(" arxiv, paper,,"))
 add_feed("news_feed", f"{FEATURED} AND NOT {PAPERS}", exclude_tags=("arxiv", "paper"))
 HOME = f"{FEATURED} AND NOT {PAPERS} AND (eff >= 80 OR published_at >= {DAY} - INTERVAL 2 DAY)"
 add(
@@ -450,6 +450,11 @@ add(
     "snapshot_sample",
     "source string, ts string, digest string",
     lambda v: snapshots.sample(v.table("events").select(F.col("event_type").alias("source"), "ts", F.md5("props").alias("digest"))).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
+    """SELECT * FROM (WITH RECURSIVE s AS (SELECT event_type AS source, ts, md5(props) AS digest FROM events WHERE ts IS NOT NULL),
+       r(source, ts, digest, seen) AS (SELECT source, m.ts, m.digest, [m.digest] FROM (SELECT source, min({'ts': ts, 'digest': digest}) AS m FROM s GROUP BY source)
+         UNION ALL SELECT source, m.ts, m.digest, list_append(seen, m.digest) FROM (SELECT r.source, any_value(r.seen) AS seen, min({'ts': s.ts, 'digest': s.digest}) AS m
+           FROM r JOIN s ON r.source = s.source AND s.ts >= r.ts + INTERVAL 84 HOURS AND NOT coalesce(list_contains(r.seen, s.digest), false) GROUP BY r.source))
+       SELECT source, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, digest FROM r)""",
 )
 
 from tidewire.plans import intake, upkeep  # noqa: E402  they add to the same registry

@@ -142,8 +142,11 @@ add(
         g AS (SELECT a, min(b) AS m FROM r GROUP BY a) SELECT id, coalesce(m, id) AS cluster_id FROM items LEFT JOIN g ON id = a WHERE embedding IS NOT NULL AND enriched_at IS NOT NULL)""",
     "items",
 )
+_ALL_NEAR = """near AS (SELECT a.id, b.id AS o_id, a.cluster_id, b.cluster_id AS o_cluster_id, round(1 - list_dot_product(a.embedding, b.embedding) / (sqrt(list_dot_product(a.embedding, a.embedding)) * sqrt(list_dot_product(b.embedding, b.embedding))), 6) AS distance FROM items a JOIN items b
+    ON a.id <> b.id AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 72 * 3600000000)"""
 add("singles_moved", "id long, old long, new long", lambda v: upkeep.singles_moved(v.vectors, distance=0.75))
-add("sampled_pairs", "id long, other_id long", lambda v: cluster.sample_pairs(cluster.new_merges(v.vectors, 0.8), 50, seed=3))
+add("sampled_pairs", "id long, other_id long", lambda v: cluster.sample_pairs(cluster.new_merges(v.vectors, 0.8), 50, seed=3), f"""SELECT * FROM (WITH {_ALL_NEAR} SELECT id, o_id AS other_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, o_id) AS rank FROM near)
+    WHERE rank <= 3 AND id < o_id AND distance <= 0.8 AND cluster_id IS DISTINCT FROM o_cluster_id ORDER BY md5('3:' || id || ':' || o_id), id LIMIT 50)""", "items")
 
 # -- small state ------------------------------------------------------------------------------------------------------
 
