@@ -18,14 +18,18 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5."""
+    """Documents whose toxicity score is below 0.5.
+
+    Null, empty and blank texts score as without evidence, and stay; repeated rows are judged alike, each for itself; without
+    labels of both kinds all rows stay; an empty table stays empty. Ids that are no whole numbers are an error, in each stage."""
     return toxicity.keep_clean(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked documents: that of the least doc_id, null ones last, then of the least text hash.
 
-    Of rows that repeat this doc_id and text the least by the other columns stays. Texts without words all stay."""
+    Of rows that repeat this doc_id and text the least by the other columns stays, of wholly equal rows any one. Null, empty and
+    word-free texts are linked to nothing: all of them stay, repeated ones too. An empty table stays empty."""
     docs = docs.select(*COLUMNS)
     kept = forest.survivors(docs).select(F.col("doc_id").alias("_kept"), F.col("th").alias("_found"), "alone")
     rows = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
@@ -36,17 +40,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the units that an earlier document or line has."""
+    """Texts without the lines that an earlier document or line has: earlier by doc_id, null first, then by place in the text.
+
+    All rows stay, with what is left of their text; null and empty texts stay as they are; rows that repeat a doc_id and text keep alike
+    what that document keeps. An empty table stays empty."""
     return lines.remove(docs.select(*COLUMNS))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without benchmark passages; documents that are mostly such passages go."""
+    """Texts without benchmark passages; documents of which more than half of the words stand in such passages go.
+
+    Null, empty and word-free texts have no passages, and stay; so do all rows, untouched, with an empty benchmark. Repeated rows are
+    treated alike, each for itself. An empty table stays empty."""
     return decontaminate.strip(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and digests of the ids and of the text that they decode to."""
+    """doc_id and digests of the ids and of the text that they decode to, a row for each row; null and empty texts have no ids."""
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
