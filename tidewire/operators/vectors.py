@@ -58,18 +58,6 @@ def search(items: DataFrame, query: list[float], limit: int = 20) -> DataFrame:
     return near.orderBy(F.asc("distance"), F.asc("id")).limit(limit)
 
 
-def band_join(left: DataFrame, right: DataFrame, on_left: str, on_right: str, hours: int) -> DataFrame:
-    """Pairs of rows with |on_left - on_right| within `hours`, as an equi-join on time buckets.
-
-    A bucket is `hours` wide, and the right side is put into its own and the two next to it; so a pair meets in exactly
-    one bucket. Column names of the two sides must differ. A theta join would compare all with all in nested loops."""
-    width = hours * 3600 * 1_000_000
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    a = left.withColumn("_bucket", F.floor(micros(on_left) / width))
-    b = right.withColumn("_near", F.explode(F.array(*[F.floor(micros(on_right) / width) + k for k in (-1, 0, 1)])))
-    return a.join(b, a["_bucket"] == b["_near"]).where(F.abs(micros(on_left) - micros(on_right)) <= width).drop("_bucket", "_near")
-
-
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Vectors of one length as rows of doubles of length 1."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
