@@ -94,10 +94,21 @@ def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordB
             yield batch.slice(a, b - a)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of `rows` rows, unless the session has its own setting: the default of 10,000 takes tens of
+    megabytes of each task's memory on either side."""
+    if spark.conf.get(ARROW_ROWS, None) is None:
+        spark.conf.set(ARROW_ROWS, rows)
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, column: str | None = None, size: int = 4_000_000) -> DataFrame:
     """As df.mapInPandas(run, schema), but whole numbers come as nullable integers, so that ids beyond 2 ** 53 stay exact beside nulls.
 
     With `column`, `run` gets slices of about `size` bytes of that column."""
+    small_arrow_batches(df.sparkSession)
     kind = T.StructType.fromDDL(schema)
     names, arrow = kind.names, to_arrow_schema(kind)
 
@@ -120,6 +131,7 @@ def edited(rows: DataFrame, docs: DataFrame, edit: Callable[..., tuple[list[str
 
     edit(texts, *columns) gives the new texts and, unless all rows stay, which do. n_chars, if there, is counted anew
     where a text changed."""
+    small_arrow_batches(docs.sparkSession)
     names, kind = docs.columns, docs.schema
     arrow = to_arrow_schema(kind)
 
