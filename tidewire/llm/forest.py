@@ -5,13 +5,14 @@ equal sets are one class; the class's least row stands for it. A representative
 `depth` = 8 minima of 8 bits each, the first one most significant, in one 64-bit number: signatures sorted as numbers are a
 tree's prefix trie, and a trie node at length d is what agrees in the first d bytes.
 
-The matched prefix is shortened step by step, from `depth` on. At each length the rows under one node are compared by all
-their trees x depth minima, block by block, but only where they are not yet in one group: pairs whose minima agree in
-about `threshold` of all places (less a margin of more than five standard deviations, so that no link is lost by it) join
-their groups. Each step also estimates its recall from the data: a pair of similarity s meets at length d with
-probability p = 1 - (1 - s ** d) ** trees, so that pairs found stand for (1 - p) / p missed ones. When the found are at
-least `recall` of both, or single minima are reached, the shortening ends. Tight groups fall together at the first
-lengths, and crowded short nodes of one group are never compared again.
+The matched prefix is shortened step by step. At the whole length each row under a node is compared with the node's least
+one by all their trees x depth minima: pairs whose minima agree in about `threshold` of all places (less a margin of more
+than five standard deviations, so that no link is lost by it) are in one group. So tight groups fall together. From their
+similarities the recall of each length follows: a pair of similarity s meets at length d with probability
+p = 1 - (1 - s ** d) ** trees, so that each pair found stands for (1 - p) / p missed ones. The next length is the longest at
+which the found are `recall` of both; there all rows under one node are compared in the same way, block by block, but
+only where they are not yet in one group. What is found joins the estimate, and the shortening goes on until it reaches
+`recall`, or single minima.
 
 Groups, which chains of similar pairs hold together, are verified exactly: a group is cut into blocks of at most about
 `block` members by a hash; every pair of blocks is one small group of rows, in which exact set intersections are a matrix
@@ -251,6 +252,10 @@ def _grouped(classes: DataFrame, threshold: float, trees: int, recall: float, ma
     note(got.filter(F.col("alike") >= threshold).groupBy(F.floor(F.col("alike") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("met")))
     length = DEPTH
     while True:
+        reach = {d: met.sum() / (met / meets(at_bin.clip(threshold, 1.0), d, trees)).sum() for d in range(1, length + 1)}
+        if length < DEPTH and (length == 1 or reach[length] >= recall):
+            return groups
+        length = max((d for d in range(1, length) if reach[d] >= recall), default=1)
         rows = under(length)
         some = rows.join(mixed(rows).select("at"), "at")
         some = staged(some, "under")
@@ -263,10 +268,6 @@ def _grouped(classes: DataFrame, threshold: float, trees: int, recall: float, ma
         got = staged(_compared(rows.repartition(parts, "at", "i", "j").sortWithinPartitions("at", "i", "j"), length, threshold - margin, threshold), "met")
         edges, groups = joined(got.filter("a IS NOT NULL"))
         note(got.filter("bin IS NOT NULL").groupBy("bin").agg(F.sum("met").alias("met")))
-        reach = {d: met.sum() / (met / meets(at_bin.clip(threshold, 1.0), d, trees)).sum() for d in range(1, length + 1)}
-        if length == 1 or reach[length] >= recall:
-            return groups
-        length = max((d for d in range(1, length) if reach[d] >= recall), default=1)
 
 
 def _links(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
