@@ -51,6 +51,8 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.digits = {i: str(i) for i in self.names}
+        #: one object for each id: the stores below hold no numbers of their own
+        self.own = {i: i for i in self.names}
         self.end = model["end_of_word_suffix"]
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         #: (left id, right id) as one number -> (rank, id of the joined token) as one number
@@ -60,7 +62,7 @@ class Bpe:
         self.words = regex.compile(split["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cached, self.cache = cached, Stretches(self, cached)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def word(self, text: str) -> list[int]:
         """Ids of one word: boundaries and adjacent ranks side by side, least rank first, leftmost of equal ranks."""
@@ -121,10 +123,10 @@ class Bpe:
             ids = self.known.get(w)
             if ids is None:
                 ids = self.word(w)
-                if len(self.known) >= self.cached:
-                    self.known.clear()
                 if len(w) < 64:
-                    self.known[w] = ids
+                    if len(self.known) >= self.cached // 4:
+                        self.known.clear()
+                    self.known[w] = ids = tuple(map(self.own.__getitem__, ids))
             out += ids
         return out
 
@@ -154,8 +156,8 @@ class Stretches(dict):
     def __init__(self, bpe: Bpe, cached: int):
         self.bpe, self.cached = bpe, cached
 
-    def __missing__(self, c: str) -> list[int]:
-        got = self.bpe.chunk(c)
+    def __missing__(self, c: str) -> tuple[int, ...]:
+        got = tuple(map(self.bpe.own.__getitem__, self.bpe.chunk(c)))
         if len(c) < 64:
             if len(self) >= self.cached:
                 self.clear()

@@ -57,7 +57,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Grams(dict):
     """Hashes of words, kept up to a bound; grams() gives the sorted distinct gram hashes of a text."""
 
-    def __init__(self, n: int = 5, cached: int = 300_000):
+    def __init__(self, n: int = 5, cached: int = 100_000):
         self.n, self.cached = n, cached
 
     def __missing__(self, word: bytes) -> int:
@@ -270,25 +270,21 @@ def _grouped(classes: DataFrame, threshold: float, trees: int, recall: float, ma
         note(got.filter("bin IS NOT NULL").groupBy("bin").agg(F.sum("met").alias("met")))
 
 
+GRAMS = 300_000
+
+
 def _links(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with a Jaccard similarity of at least `threshold`, exactly; within sets_a (i < j) if sets_b is None."""
-    all_sets = sets_a + (sets_b or [])
+    """Index pairs with a Jaccard similarity of at least `threshold`, exactly; within sets_a (i < j) if sets_b is None.
+
+    Intersections are counted by ranges of gram hashes with about `GRAMS` grams each, so that long texts don't take more memory."""
+    all_sets, na = sets_a + (sets_b or []), len(sets_a)
     size = np.array([len(s) for s in all_sets])
-    flat, owner = np.concatenate(all_sets), np.repeat(np.arange(len(all_sets)), size)
-    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count[number] > 1
-    number, owner = number[shared], owner[shared]
-    order = np.argsort(number, kind="stable")
-    number, owner = number[order], owner[order]
-    column = np.cumsum(np.concatenate([[0], (np.diff(number) > 0).astype(np.int64)])) if len(number) else number
-    na = len(sets_a)
     both = np.zeros((na, len(all_sets) - na if sets_b is not None else na), dtype=np.float32)
-    width = 4096
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [lo, lo + width])
-        m = np.zeros((len(all_sets), width), dtype=np.float32)
-        m[owner[a:b], column[a:b] - lo] = 1
-        both += m[:na] @ (m[na:] if sets_b is not None else m[:na]).T
+    parts = int(size.sum()) // GRAMS + 1
+    bounds = [np.uint64((1 << 64) * k // parts) for k in range(1, parts)]
+    cuts = np.array([[0, *np.searchsorted(s, bounds).tolist(), len(s)] for s in all_sets])
+    for k in range(parts):
+        _count([s[a:b] for s, a, b in zip(all_sets, cuts[:, k], cuts[:, k + 1], strict=True)], na, sets_b is None, both)
     other = size[na:] if sets_b is not None else size[:na]
     # counts are whole numbers below 2 ** 24: exact
     shared_n = both.astype(np.int64)
@@ -298,6 +294,24 @@ def _links(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, threshold:
     return np.nonzero(hit)
 
 
+def _count(all_sets: list[np.ndarray], na: int, alone: bool, both: np.ndarray, width: int = 2048) -> None:
+    """Adds the sizes of the intersections of the first `na` sets with each other, or with the rest, to `both`."""
+    flat, owner = np.concatenate(all_sets), np.repeat(np.arange(len(all_sets), dtype=np.int32), [len(s) for s in all_sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, dtype=bool)
+    start = np.flatnonzero(new)
+    shared = np.diff(np.append(start, len(flat))) > 1
+    keep = np.repeat(shared, np.diff(np.append(start, len(flat))))
+    owner = owner[keep]
+    column = np.cumsum(new[keep]) - 1
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        m = np.zeros((len(all_sets), width), dtype=np.float32)
+        m[owner[a:b], column[a:b] - lo] = 1
+        both += m[:na] @ (m[:na] if alone else m[na:]).T
+
+
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     """The least member of each one's component."""
     up = list(range(n))
