@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, forest, gif, lines, quality, repeats, tokenpack, toxicity, urls
+from . import bpe, conversations, decontaminate, forest, gif, lines, quality, repeats, tokenpack, toxicity, urls
 from .common import shared_dir, table
 
 TOKENIZER, VOCAB = "word_bpe_49k.json", 49_408
@@ -56,7 +56,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_lines, op2_decontaminate, op3_jaccard_forest, op4_toxicity, op5_token_output, op6_gif, op7_quality, op8_suffix_repeats, op9_url_filter, op10_bpe)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lines, op2_decontaminate, op3_jaccard_forest, op4_toxicity, op5_token_output, op6_gif, op7_quality, op8_suffix_repeats, op9_url_filter, op10_bpe, op13_conversation_repair)
+}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -87,4 +94,46 @@ items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT it
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover ON d.doc_id = cover.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+    # crc32 by its table; costs to go backward, row by row, as [start, system, user, assistant]; then one edit a step forward
+    "op13_conversation_repair": r"""
+WITH RECURSIVE bits AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+coded AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS c FROM conversations, tab),
+rows0 AS (SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN c = 1 THEN '' WHEN c = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN c = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded WHERE c <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM rows0),
+judged AS (SELECT *, left(role, 1) AS r, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM placed),
+f AS (SELECT *, CASE WHEN seen = '' THEN 'b' WHEN again THEN 'd' WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'f' END AS fault,
+    lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS after FROM judged),
+g AS (SELECT *, fault IN ('b', 'd') AS dead, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS m FROM f),
+sizes AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (r || after NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+bw AS (SELECT conv_id, n + 1 AS i, [0, 6, 3, 0]::BIGINT[] AS v FROM sizes
+  UNION ALL SELECT conv_id, i, [least(w[1], 3 + w[3], 6 + w[4]), least(w[2], 3 + w[3], 6 + w[4]), least(w[3], 3 + w[4]), least(w[4], 3 + w[3])]
+  FROM (SELECT b.conv_id, g.i, CASE WHEN dead THEN [4 + v[1], 4 + v[2], 4 + v[3], 4 + v[4]] ELSE [
+      least(4 + v[1], CASE WHEN r = 's' THEN m + v[2] ELSE 999999999 END, CASE WHEN r = 'u' THEN m ELSE 3 + m END + v[3]),
+      least(4 + v[2], CASE WHEN r = 'u' THEN m ELSE 3 + m END + v[3]),
+      least(4 + v[3], CASE WHEN r = 'a' THEN m ELSE 3 + m END + v[4]),
+      least(4 + v[4], CASE WHEN r = 'u' THEN m ELSE 3 + m END + v[3])] END AS w
+    FROM bw b JOIN g ON g.conv_id IS NOT DISTINCT FROM b.conv_id AND g.i = b.i - 1)),
+fw AS (SELECT conv_id, 1::BIGINT AS i, 1 AS s, '' AS audit, []::VARCHAR[] AS turns, false AS over FROM sizes
+  UNION ALL SELECT conv_id, CASE WHEN e IN ('I', 'E') THEN i ELSE i + 1 END,
+    CASE WHEN e = 'E' OR e = 'D' THEN s WHEN e = 'K' AND s = 1 AND r = 's' THEN 2 WHEN s = 3 THEN 4 ELSE 3 END,
+    CASE WHEN e = 'E' THEN audit ELSE audit || e END,
+    CASE e WHEN 'I' THEN list_append(turns, CASE WHEN s = 3 THEN 'assistant:' ELSE 'user:' END) WHEN 'K' THEN list_append(turns, role || ':' || text)
+           WHEN 'R' THEN list_append(turns, CASE WHEN s = 3 THEN 'assistant:' ELSE 'user:' END || text) ELSE turns END, e = 'E'
+  FROM (SELECT p.*, g.role, g.text, g.r, CASE WHEN g.i IS NULL AND s IN (1, 4) THEN 'E' WHEN here.v[s] = 4 + next.v[s] THEN 'D'
+      WHEN here.v[s] = 3 + here.v[CASE WHEN s = 3 THEN 4 ELSE 3 END] THEN 'I'
+      WHEN s = 1 AND r = 's' AND here.v[1] = m + next.v[2] OR r = CASE WHEN s = 3 THEN 'a' ELSE 'u' END THEN 'K' ELSE 'R' END AS e
+    FROM fw p JOIN bw here ON here.conv_id IS NOT DISTINCT FROM p.conv_id AND here.i = p.i LEFT JOIN bw next ON next.conv_id IS NOT DISTINCT FROM p.conv_id AND next.i = p.i + 1
+    LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id AND g.i = p.i WHERE NOT p.over))
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.v[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN bw b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.i = 1 LEFT JOIN fw ON fw.conv_id IS NOT DISTINCT FROM c.conv_id AND over""",
 }
