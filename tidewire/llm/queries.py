@@ -6,8 +6,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, conversations, decontaminate, forest, gif, lines, quality, repeats, tokenpack, toxicity, urls
+from . import bpe, conversations, decontaminate, forest, gif, lines, negatives, pii, quality, repeats, tokenpack, toxicity, urls
 from .common import shared_dir, table
 
 TOKENIZER, VOCAB = "word_bpe_49k.json", 49_408
@@ -56,13 +57,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.quantised(table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", F.when(F.col("id") == negatives.NO_ID, F.col("label")).otherwise(moved)))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.train(pii.sampled(docs)))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(conversations.damaged(table(spark, sf_dir, "conversations")))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lines, op2_decontaminate, op3_jaccard_forest, op4_toxicity, op5_token_output, op6_gif, op7_quality, op8_suffix_repeats, op9_url_filter, op10_bpe, op13_conversation_repair)
+    for f in (op1_lines, op2_decontaminate, op3_jaccard_forest, op4_toxicity, op5_token_output, op6_gif, op7_quality, op8_suffix_repeats, op9_url_filter, op10_bpe, op11_hard_negatives, op12_personal_data, op13_conversation_repair)
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -94,6 +106,15 @@ items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT it
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover ON d.doc_id = cover.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+    "op11_hard_negatives": """
+WITH x AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT a.id AS a, a.v AS av, o.id AS o, o.label = a.label AS same, o.id = a.id AND o.v = a.v AND o.label = a.label AS own, list_dot_product(a.v, o.v)::BIGINT AS score
+  FROM x a, x o WHERE a.id % 50 = 0),
+p AS (SELECT a, av, o, score FROM s WHERE same AND NOT own QUALIFY row_number() OVER (PARTITION BY a, av ORDER BY score DESC, o) <= 5),
+n AS (SELECT p.a, p.o AS pos, p.score AS ps, s.o AS neg, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.av, p.o, p.score ORDER BY s.score DESC, s.o) AS rank
+  FROM p JOIN s ON p.a = s.a AND p.av = s.av AND NOT same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, pos AS positive_id, rank::INTEGER AS rank, neg AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 3""",
     # crc32 by its table; costs to go backward, row by row, as [start, system, user, assistant]; then one edit a step forward
     "op13_conversation_repair": r"""
 WITH RECURSIVE bits AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
