@@ -1,10 +1,12 @@
-"""Functions on fetched texts: markup and entities, payload ladders, prompts, labels, addresses. Column expressions all, but for the line diff."""
+"""Functions on fetched texts: markup and entities, payload ladders, prompts, labels, addresses: column expressions."""
 
 from __future__ import annotations
 
+import ipaddress
+from functools import reduce
 from html.entities import name2codepoint
+from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,19 +166,37 @@ def version_age(at: str, now: str) -> Column:
     return F.when(hours < 1, "just now").when(hours < 24, F.concat(hours.cast("string"), F.lit(" hrs ago"))).otherwise(F.concat(_half_up(hours / 24).cast("string"), F.lit(" d ago")))
 
 
-def private_address(ip: str) -> Column:
-    """Whether an IP address is one that a fetcher must not reach: private, loopback, link-local, shared, reserved. False for what is none."""
+#: Networks that a fetcher must not reach (private, loopback, link-local, shared, benchmarks, multicast and reserved).
+CLOSED = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/3", "::/128", "::1/128", "fc00::/7", "fe80::/10")
+
 
-    def four(text: Column) -> Column:
-        octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-        a, b = (F.regexp_extract(text, rf"^{octet}\.{octet}\.{octet}\.{octet}$", k).try_cast("int") for k in (1, 2))
-        bad = a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19)) | (a >= 224)
-        return F.coalesce(bad, F.lit(False))
+def _ranges() -> list[tuple[str, str]]:
+    """First and last address of each closed network, as 32 hexadecimal digits; those of version 4 as they are mapped into version 6."""
+    nets = [ipaddress.ip_network(n) for n in CLOSED]
+    return [tuple(f"{(0xFFFF << 32 if n.version == 4 else 0) + int(x):032x}" for x in (n.network_address, n.broadcast_address)) for n in nets]
 
-    low = F.lower(F.col(ip))
-    six = low.rlike(r"^[0-9a-f:]*:[0-9a-f:]*:[0-9a-f:.]*$")
-    own = low.isin("::1", "::") | low.rlike("^(fc|fd|fe[89ab])") | (low.startswith("::ffff:") & four(F.substring(low, 8, 15)))
-    return F.coalesce(F.when(six, own).otherwise(four(low)), F.lit(False))
+
+def _address(ip: Column) -> Column:
+    """An IP address as 32 hexadecimal digits, null for what is none."""
+    low = F.lower(ip)
+    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    quad = rf"{octet}\.{octet}\.{octet}\.{octet}$"
+    tail = F.lower(F.concat(*[F.lpad(F.hex(F.regexp_extract(low, quad, k).try_cast("long")), 2, "0") for k in (1, 2, 3, 4)]))
+    # the dotted end of a long form is two groups
+    long = F.when(low.rlike(rf":{quad}"), F.concat(F.regexp_extract(low, r"^(.*:)[0-9.]+$", 1), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))).otherwise(low)
+    halves = F.transform(F.split(long, "::"), lambda h: F.filter(F.split(h, ":"), lambda g: g != ""))
+    head, foot = (F.coalesce(F.try_element_at(halves, F.lit(k)), F.array().cast("array<string>")) for k in (1, 2))
+    gap = F.lit(8) - F.size(head) - F.size(foot)
+    groups = F.concat(head, F.when(gap > 0, F.array_repeat(F.lit("0"), gap)).otherwise(F.array().cast("array<string>")), foot)
+    fits = long.rlike(r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$") & F.when(long.contains("::"), gap > 0).otherwise(gap == 0)
+    six = F.when(fits, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+    return F.when(low.rlike(rf"^{quad}"), F.concat(F.lit("0" * 20 + "ffff"), tail)).otherwise(six)
+
+
+def private_address(ip: str) -> Column:
+    """Whether an IP address, in any way of writing it, lies in a closed network. False for what is no address."""
+    known = _address(F.col(ip))
+    return F.coalesce(reduce(or_, [known.between(a, b) for a, b in _ranges()]), F.lit(False))
 
 
 def digest_line(ident: str, meta: Column, title: Column, tags: Column, summary: Column, note: Column) -> Column:
@@ -217,47 +237,6 @@ def simple_html(markdown: str) -> Column:
     return F.array_join(F.transform(F.split(text, r"\n\s*\n"), block), "\n")
 
 
-def _diff(a: list[str], b: list[str], around: int) -> list[dict]:
-    n, m = len(a), len(b)
-    common = [[0] * (m + 1) for _ in range(n + 1)]  # lines in common from (i, j) on
-    for i in reversed(range(n)):
-        for j in reversed(range(m)):
-            common[i][j] = common[i + 1][j + 1] + 1 if a[i] == b[j] else max(common[i + 1][j], common[i][j + 1])
-    lines, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
-            lines.append(("context", a[i]))
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and common[i + 1][j] >= common[i][j + 1]):
-            lines.append(("remove", a[i]))
-            i += 1
-        else:
-            lines.append(("add", b[j]))
-            j += 1
-    near = {k + d for k, (kind, _) in enumerate(lines) if kind != "context" for d in range(-around, around + 1)}
-    out, last = [], None
-    for k, (kind, content) in enumerate(lines):
-        if k in near:
-            if last is not None and k != last + 1:
-                out.append({"kind": "meta", "content": "..."})
-            out.append({"kind": kind, "content": content})
-            last = k
-    return out
-
-
-def line_diff(before: str, after: str, around: int = 3) -> Column:
-    """Lines added, removed and kept between two texts by their longest common subsequence, with `around` lines of context; "..." for gaps.
-
-    Takes time and memory by the product of the two texts' lines: for versions of one document, not for a corpus."""
-    around = max(0, around)
-
-    @F.pandas_udf("array<struct<kind:string,content:string>>")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_diff((a or "").split("\n"), (b or "").split("\n"), around) for a, b in zip(x, y, strict=True)])
-
-    return run(before, after)
-
-
 def narrative_diff(changes: str, held: str, changes_label: str, held_label: str) -> Column:
     """A proposal's summary as added lines, and what it leaves alone (array of struct item, reason) as removed ones."""
     line = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("content"))

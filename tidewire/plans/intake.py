@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import content, text
+from tidewire.functions.diffs import line_diff
 from tidewire.operators import detail, digest, feed, normalize, stats, vectors
 from tidewire.plans.base import DAY, add
 from tidewire.plans.views import NOW, Views
@@ -303,11 +304,40 @@ add(
        || CASE WHEN editor_note_en IS NOT NULL THEN chr(10) || '  editor_note: ' || editor_note_en ELSE '' END) AS line FROM items WHERE tier IS NOT NULL""",
     "items",
 )
+
+
+def _versions(v: Views) -> DataFrame:
+    """Each text, and a version of it without every third line and with a new one behind every fifth."""
+    own = F.split(F.coalesce("text", F.lit("")), "\n")
+    after = F.flatten(
+        F.transform(
+            own,
+            lambda x, i: F.concat(
+                F.when(i % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(x)),
+                F.when(i % 5 == 0, F.array(F.concat(F.lit("new "), F.col("doc_id"), F.lit(" "), i))).otherwise(F.array().cast("array<string>")),
+            ),
+        )
+    )
+    return v.table("documents").select(F.col("doc_id").alias("n"), F.array_join(own, "\n").alias("x"), F.array_join(after, "\n").alias("y"))
+
+
+def _diffs(v: Views) -> DataFrame:
+    """Numbers of lines, and both texts as the whole diff gives them back."""
+    of = lambda *kinds: F.filter("d", lambda r: r["kind"].isin(*kinds))
+    back = lambda *kinds: F.md5(F.array_join(F.transform(of(*kinds), lambda r: r["content"]), "\n").cast("binary"))
+    whole = _versions(v).select("n", line_diff("x", "y", None).alias("d"))
+    return whole.select("n", *[F.size(of(k)).alias(k) for k in ("context", "remove", "add")], back("context", "remove").alias("before"), back("context", "add").alias("after"))
+
+
+# the new lines stand nowhere else, so that the lines that were left are a longest common subsequence
 add(
     "line_diffs",
-    "n long, lines int, digest string",
-    lambda v: texts(v).select("n", F.expr("concat('a\\nb ', n, '\\nc\\nd\\ne\\nf\\ng\\nh\\ni')").alias("x"), F.expr("concat('a\\nc\\nd\\ne\\nf\\ng\\nh\\nnew ', n, '\\ni')").alias("y")).select("n", content.line_diff("x", "y", 1).alias("d")).select("n", F.size("d").alias("lines"), F.array_join(F.transform("d", lambda r: F.concat(r["kind"], F.lit(":"), r["content"])), "|").alias("digest")),
-    "SELECT doc_id AS n, 7 AS lines, 'context:a|remove:b ' || doc_id || '|context:c|meta:...|context:h|add:new ' || doc_id || '|context:i' AS digest FROM documents",
+    "n long, context int, remove int, add int, before string, after string",
+    _diffs,
+    r"""WITH t AS (SELECT doc_id AS n, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+    l AS (SELECT n, x, len(x) AS size, flatten(list_transform(range(len(x)), lambda i: list_concat(CASE WHEN i % 3 = 0 THEN [] ELSE [x[i + 1]] END, CASE WHEN i % 5 = 0 THEN ['new ' || n || ' ' || i] ELSE [] END))) AS y FROM t)
+    SELECT n, CAST(size - (size + 2) // 3 AS INTEGER) AS context, CAST((size + 2) // 3 AS INTEGER) AS remove, CAST((size + 4) // 5 AS INTEGER) AS add,
+        md5(array_to_string(x, chr(10))) AS before, md5(array_to_string(y, chr(10))) AS after FROM l""",
 )
 _DAYS = "transform(sequence(1, CAST(n % 3 AS INT)), i -> named_struct('item', concat('it', i), 'reason', 'r'))"
 add(
