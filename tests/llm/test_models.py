@@ -7,7 +7,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pytest
 
-from tidewire.llm import quality, toxicity, urls
+from tidewire.llm import labelled, quality, toxicity, urls
 
 from .conftest import cases
 
@@ -188,3 +188,20 @@ def test_url_table_is_neutral(spark):
     known = {label for h in hosts for label in h.split(".")} - {"com", "org", "net", "www"}
     own = {urls.parts(u)[0] for u, _ in urls.labelled_urls()}
     assert not known & {label for h in own for label in h.split(".")} and not known & set(urls.BLOCKED + urls.WANTED)
+
+
+@pytest.mark.parametrize("long_at", [0, 7, 19])
+def test_one_long_text_leaves_the_sample(spark, long_at):
+    """A text beyond its share is passed over, wherever it stands; the others stay, with both labels, within the bound."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:60]
+    rows = [(i, ("w%d " % i) * (3000 if k == long_at else 20)) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame([*rows, rows[1], (None, "x")], "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(i, k % 3 == 0) for k, i in enumerate(ids)], "doc_id long, toxic boolean").selectExpr("doc_id", "int(toxic) toxic")
+    got = labelled.sample(docs, marks, "toxic", 4000, 40_000)
+    assert sorted(t for t, _ in got) == sorted(t for k, (_, t) in enumerate(rows) if k != long_at)
+    small = labelled.sample(docs, marks, "toxic", 4000, 2400)
+    assert 0 < sum(len(t) for t, _ in small) <= 2400 and {y for _, y in small} == {0, 1} and set(small) < set(got)
+    assert len(labelled.sample(docs, marks, "toxic", 10, 40_000)) == 10
+    with pytest.raises(ValueError, match="longer"):
+        labelled.sample(docs, marks, "toxic", 10, 200)
+    assert labelled.sample(docs, marks.filter("toxic = 1"), "toxic", 4000, 40_000) and labelled.sample(docs, marks.limit(0), "toxic", 10) == []

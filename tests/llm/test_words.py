@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -224,3 +225,50 @@ def test_queries_run_through_operators(spark, sf_dir, tok):
         by[r["doc_id"]] = r["n_tokens"] - 1
         n["rows"] += 1
     assert n["rows"] == len(docs) and by == sizes
+
+
+def runs_by_force(rows, run):
+    """Lines and runs of sentences that go, by plain lists: rows are (doc_id, text) in order of doc_id."""
+    known, seen = {}, {}
+    digest = lambda t: " ".join(t.split()).lower()
+    parts = []
+    for n, (_, text) in enumerate(rows):
+        own = [m for m in re.finditer(r"[^\n]+\n?", text or "") if m[0].split()]
+        some = [m for m in re.finditer(r"[^\n.!?]+[.!?]*", text or "") if m[0].split()]
+        parts.append((own, some))
+        for m in own:
+            known.setdefault(digest(m[0]), (n, m.start()))
+        for m in some:
+            seen.setdefault(digest(m[0]), (n, m.start()))
+    out = []
+    for n, (own, some) in enumerate(parts):
+        gone = [m.span() for m in own if known[digest(m[0])] != (n, m.start())]
+        repeated = [seen[digest(m[0])] != (n, m.start()) and not any(a <= m.start() < b for a, b in gone) for m in some]
+        k, runs = 0, []
+        while k < len(some):
+            e = k
+            while e < len(some) and repeated[e]:
+                e += 1
+            if e > k and sum(len(m[0].split()) for m in some[k:e]) >= run:
+                runs.append((some[k].start(), some[e - 1].end()))
+            k = max(e, k + 1)
+        out.append((gone, runs))
+    return out
+
+
+@pytest.mark.parametrize("run", [3, 12])
+def test_runs(spark, none, run):
+    r = random.Random(run)
+    sentence = lambda: " ".join(r.choice("abcd") for _ in range(r.randint(1, 4))) + r.choice([".", "!", "?", "...", " \n", "\n\n", ". "])
+    rows = [(i, "".join(sentence() for _ in range(r.randint(0, 14)))) for i in range(60)]
+    passage = " the one. and the other passage of words! it goes on? so it does."
+    rows += [(100 + i, f"x{i} y{i}." + passage + f" z{i}") for i in range(4)] + [(200, None), (201, ""), (202, ". . !\n?")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "k", 1, "a", 2, "b", 3.0) for i, t in rows], none.schema).repartition(4)
+    want = {}
+    for (i, t), (gone, runs) in zip(rows, runs_by_force(rows, run)):
+        want[i] = (len(gone), len(runs), ",".join(f"{a}-{b}" for a, b in sorted(gone + runs)), sha(without(t or "", gone + runs)))
+    got = {x["doc_id"]: (x["n_removed"], x["n_runs"], x["removed"], x["kept_sha256"]) for x in lines.report(docs, run=run).collect()}
+    assert got == want and any(x[1] for x in got.values())
+    assert {x["doc_id"]: None if x["text"] is None else sha(x["text"]) for x in lines.remove(docs, run=run).collect()} == {i: None if t is None else want[i][3] for i, t in rows}
+    assert passage.strip() not in " ".join(x["text"] or "" for x in lines.remove(docs, run=12).filter("doc_id between 101 and 103").collect())
+    assert lines.report(none, run=run).count() == 0 and lines.remove(none, run=run).count() == 0

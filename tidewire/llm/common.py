@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from itertools import count
 
 import numpy as np
@@ -94,6 +97,14 @@ def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordB
             yield batch.slice(a, b - a)
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system at the end of a task: idle Python workers live on beside those of the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -119,9 +130,12 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
                     if part.num_rows:
                         yield part.to_pandas(types_mapper=_WHOLE.get)
 
-        for pdf in run(frames()):
-            if len(pdf):
-                yield pa.RecordBatch.from_pandas(pdf[names], schema=arrow, preserve_index=False)
+        try:
+            for pdf in run(frames()):
+                if len(pdf):
+                    yield pa.RecordBatch.from_pandas(pdf[names], schema=arrow, preserve_index=False)
+        finally:
+            _give_back()
 
     return df.mapInArrow(over, kind)
 
@@ -148,5 +162,6 @@ def edited(rows: DataFrame, docs: DataFrame, edit: Callable[..., tuple[list[str
                         out["n_chars"] = pa.array([h if a is b else len(b) for h, a, b in zip(had, old, new, strict=True)], arrow.field("n_chars").type)
                 done = pa.RecordBatch.from_arrays([c.cast(arrow.field(n).type) for n, c in out.items()], schema=arrow)
                 yield done if stay is None else done.filter(pa.array(stay, pa.bool_()))
+        _give_back()
 
     return rows.mapInArrow(run, kind)

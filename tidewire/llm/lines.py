@@ -9,6 +9,9 @@ With `sentences`, a number of words, sentences of so many words or more within t
 behind ".", "!" and "?"): for passages spliced into other lines. A line goes where the same line, or a sentence equal to
 it, stands earlier; sentences go only from lines that stay.
 
+With `run`, a number of words, runs of sentences that all stand earlier too go from lines that stay, if they have so many
+words together: passages spliced into other lines go, sentences that repeat by chance stay.
+
 Defined cases: null and empty texts have no units and stay as they are; rows that repeat a doc_id and text are one
 document and keep alike what that document keeps (equal texts under different ids leave their units to the first); a null
 id or rank sorts first; an empty table gives an empty result; columns of any name may stand beside doc_id and text.
@@ -55,31 +58,77 @@ def units(text: str | None, sentences: int | None = None) -> list[tuple[int, int
     return out
 
 
-def _rows(docs: DataFrame, sentences: int | None, rank: str | None) -> DataFrame:
+def pieces(text: str | None) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, digest's halves, words) of each sentence that has a word; digests are other ones than those of lines."""
+    out = []
+    for m in PIECE.finditer(text or ""):
+        if words := m[0].split():
+            d1, d2 = _digest(words)
+            out.append((m.start(), m.end(), d1 ^ 1, d2, len(words)))
+    return out
+
+
+def _runs(found: list[tuple[int, int, int, int]], lines: list[tuple[int, int]], run: int) -> list[tuple[int, int]]:
+    """Ranges of the runs of `run` or more words, from repeated sentences (number, start, end, words) that lie in none of `lines`."""
+    out, held = [], []
+    inside = iter(sorted(lines))
+    line = next(inside, None)
+    for k, a, b, w in sorted(found):
+        while line and line[1] <= a:
+            line = next(inside, None)
+        if line and line[0] <= a:
+            continue
+        if held and held[-1][0] + 1 != k:
+            out.append(held)
+            held = []
+        held.append((k, a, b, w))
+    return [(h[0][1], h[-1][2]) for h in [*out, held] if sum(x[3] for x in h) >= run]
+
+
+def _rows(docs: DataFrame, sentences: int | None, run_words: int | None, rank: str | None) -> DataFrame:
     rows = docs.select(ids(docs).alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(rank) if rank else F.lit(0)).alias("rank")).withColumn("th", F.xxhash64("text"))
     kind = rows.schema["rank"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            own = [units(t, sentences) for t in pdf["text"]]
+            own = [[(*u, -1, 0) for u in units(t, sentences)] + [(*u[:4], k, u[4]) for k, u in enumerate(pieces(t) if run_words else ())] for t in pdf["text"]]
             size = [len(u) for u in own]
             if not sum(size):
                 continue
             cols = np.array([u for us in own for u in us], dtype=np.int64)
             out = pdf[["doc_id", "th", "rank"]].loc[pdf.index.repeat(size)].reset_index(drop=True)
-            yield out.assign(a=cols[:, 0], b=cols[:, 1], d1=cols[:, 2], d2=cols[:, 3])
+            yield out.assign(a=cols[:, 0], b=cols[:, 1], d1=cols[:, 2], d2=cols[:, 3], k=cols[:, 4], w=cols[:, 5])
+
+    return mapped(rows, run, f"doc_id long, th long, rank {kind}, a int, b int, d1 long, d2 long, k int, w int", "text")
 
-    return mapped(rows, run, f"doc_id long, th long, rank {kind}, a int, b int, d1 long, d2 long", "text")
 
+SPANS = "array<struct<a:int,b:int>>"
 
-def find(docs: DataFrame, sentences: int | None = None, rank: str | None = None) -> DataFrame:
-    """(doc_id, th, spans) of the rows that lose units: spans are character ranges [a, b), by start; a line's holds its sentences'."""
-    rows = _rows(docs, sentences, rank)
+
+def find(docs: DataFrame, sentences: int | None = None, rank: str | None = None, run: int | None = None) -> DataFrame:
+    """(doc_id, th, n_units, spans) of the rows that lose something: spans are character ranges [a, b), by start; a line's holds its
+    sentences'; n_units of them are lines (or sentences by `sentences`), the others runs."""
+    rows = _rows(docs, sentences, run, rank)
     groups = rows.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("rank", "doc_id", "th", "a")).alias("one")).filter("c > 1").drop("c")
     is_first = F.col("one.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("one.th") == F.col("th")) & (F.col("one.a") == F.col("a"))
-    gone = rows.join(groups, ["d1", "d2"]).filter(~is_first).select("doc_id", "th", "a", "b").distinct()
+    gone = rows.join(groups, ["d1", "d2"]).filter(~is_first).select("doc_id", "th", "a", "b", "k", "w").distinct()
     # the units of one text: bounded by the text
-    return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    whole = F.array_sort(F.collect_list(F.when(F.col("k") < 0, F.struct("a", "b"))))
+    some = F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "a", "b", "w")))
+    found = gone.groupBy("doc_id", "th").agg(whole.alias("spans"), some.alias("some")).withColumn("n_units", F.size("spans"))
+    if not run:
+        return found.drop("some")
+
+    @F.pandas_udf(SPANS)
+    def with_runs(spans: pd.Series, some: pd.Series) -> pd.Series:
+        out = []
+        for own, more in zip(spans, some, strict=True):
+            own = [(x["a"], x["b"]) for x in own]
+            runs = _runs([(x["k"], x["a"], x["b"], x["w"]) for x in more], own, run)
+            out.append([{"a": a, "b": b} for a, b in sorted(own + runs)])
+        return pd.Series(out, dtype=object)
+
+    return found.withColumn("spans", with_runs("spans", "some")).drop("some").filter(F.size("spans") > 0)
 
 
 def _without(text: str, spans) -> str:
@@ -91,23 +140,27 @@ def _without(text: str, spans) -> str:
     return "".join(out)
 
 
-def remove(docs: DataFrame, sentences: int | None = None, rank: str | None = None) -> DataFrame:
+def remove(docs: DataFrame, sentences: int | None = None, rank: str | None = None, run: int | None = None) -> DataFrame:
     """All rows and columns of `docs`, text without the removed units; n_chars, if there, is counted anew where a text changed."""
-    rows, (spans,) = with_found(docs, find(docs, sentences, rank), "spans")
+    rows, (spans,) = with_found(docs, find(docs, sentences, rank, run), "spans")
     return edited(rows, docs, lambda texts, found: ([t if s is None else _without(t, s) for t, s in zip(texts, found, strict=True)], None), (spans,))
 
 
-def report(docs: DataFrame, sentences: int | None = None, rank: str | None = None) -> DataFrame:
-    """doc_id, n_units, n_removed (units), chars_removed, removed ("a-b,..." in characters), kept_sha256, changed."""
-    rows, (spans,) = with_found(plain(docs), find(docs, sentences, rank), "spans")
+#: Words of a run of repeated sentences that goes, in the query and the pipeline.
+RUN = 20
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def report(docs: DataFrame, sentences: int | None = None, rank: str | None = None, run: int | None = None) -> DataFrame:
+    """doc_id, n_units, n_removed (units), n_runs (of sentences), chars_removed, removed ("a-b,..." in characters), kept_sha256, changed."""
+    rows, (spans, whole) = with_found(plain(docs), find(docs, sentences, rank, run), "spans", "n_units")
+
+    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for i, t, s in zip(pdf["doc_id"], pdf["text"], pdf[spans], strict=True):
+            for i, t, s, n in zip(pdf["doc_id"], pdf["text"], pdf[spans], pdf[whole].fillna(0), strict=True):
                 t, s = t or "", [] if s is None else s
                 kept = _without(t, s)
-                out.append((i, len(units(t, sentences)), len(s), len(t) - len(kept), ",".join(f"{x['a']}-{x['b']}" for x in s), hashlib.sha256(kept.encode()).hexdigest(), len(s) > 0))
-            yield pd.DataFrame(out, columns=["doc_id", "n_units", "n_removed", "chars_removed", "removed", "kept_sha256", "changed"])
+                out.append((i, len(units(t, sentences)), int(n), len(s) - int(n), len(t) - len(kept), ",".join(f"{x['a']}-{x['b']}" for x in s), hashlib.sha256(kept.encode()).hexdigest(), len(s) > 0))
+            yield pd.DataFrame(out, columns=["doc_id", "n_units", "n_removed", "n_runs", "chars_removed", "removed", "kept_sha256", "changed"])
 
-    return mapped(rows, run, "doc_id long, n_units long, n_removed long, chars_removed long, removed string, kept_sha256 string, changed boolean", "text")
+    return mapped(rows, told, "doc_id long, n_units long, n_removed long, n_runs long, chars_removed long, removed string, kept_sha256 string, changed boolean", "text")

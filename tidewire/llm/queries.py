@@ -15,7 +15,7 @@ TOKENIZER, VOCAB = "word_bpe_49k.json", 49_408
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(table(spark, sf_dir, "documents"))
+    return lines.report(table(spark, sf_dir, "documents"), run=lines.RUN)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,18 +80,30 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    # lines by their text; sentences likewise, and islands of neighbours that all stand earlier
     "op1_lines": r"""
 WITH p AS (SELECT doc_id, i, ps[i] AS piece FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i
              FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n]+\n?|\n') AS ps FROM documents))),
 u AS (SELECT doc_id, i, piece, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
              lower(trim(regexp_replace(piece, '\s+', ' ', 'g'))) AS norm FROM p),
-w AS (SELECT *, norm <> '' AS counts, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, a) > 1 AS gone FROM u),
-r AS (SELECT doc_id, count(*) FILTER (counts) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(piece)) FILTER (gone), 0) AS chars_removed,
-             coalesce(string_agg(CAST(a AS BIGINT) || '-' || CAST(a + length(piece) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS removed,
-             coalesce(string_agg(piece, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM w GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(chars_removed, 0) AS BIGINT) AS chars_removed,
-       coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_removed, 0) > 0 AS changed
-FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id""",
+w AS (SELECT *, a + length(piece) AS b, norm <> '' AS counts, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, a) > 1 AS gone FROM u),
+q AS (SELECT doc_id, i, ps[i] AS piece FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i
+             FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n.!?]+[.!?]*|[\n.!?]') AS ps FROM documents))),
+v AS (SELECT doc_id, piece, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+             lower(trim(regexp_replace(piece, '\s+', ' ', 'g'))) AS norm, NOT regexp_matches(piece, '^[\n.!?]$') AS whole FROM q),
+s AS (SELECT doc_id, a, a + length(piece) AS b, len(string_split(norm, ' ')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k,
+             row_number() OVER (PARTITION BY norm ORDER BY doc_id, a) > 1 AS gone FROM v WHERE norm <> '' AND whole),
+g AS (SELECT s.*, s.k - row_number() OVER (PARTITION BY s.doc_id ORDER BY s.k) AS island FROM s ASOF JOIN w ON s.doc_id = w.doc_id AND s.a >= w.a WHERE s.gone AND NOT w.gone),
+runs AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM g GROUP BY doc_id, island HAVING sum(n) >= 20),
+spans AS (SELECT doc_id, a, b, true AS line FROM w WHERE gone UNION ALL SELECT doc_id, a, b, false FROM runs),
+cuts AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS last FROM spans),
+r AS (SELECT c.doc_id, count(*) FILTER (line) AS n_removed, count(*) FILTER (NOT line) AS n_runs, sum(b - a) AS chars_removed, max(b) AS upto,
+             string_agg(CAST(a AS BIGINT) || '-' || CAST(b AS BIGINT), ',' ORDER BY a) AS removed,
+             string_agg(substring(text, CAST(last + 1 AS BIGINT), CAST(a - last AS BIGINT)), '' ORDER BY a) AS kept FROM cuts c JOIN documents d ON c.doc_id = d.doc_id GROUP BY c.doc_id),
+n AS (SELECT doc_id, count(*) FILTER (counts) AS n_units FROM w GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, CAST(coalesce(chars_removed, 0) AS BIGINT) AS chars_removed,
+       coalesce(removed, '') AS removed, sha256(coalesce(kept, '') || substring(coalesce(text, ''), CAST(coalesce(upto, 0) + 1 AS BIGINT))) AS kept_sha256, r.doc_id IS NOT NULL AS changed
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON d.doc_id = r.doc_id""",
     "op2_decontaminate": rf"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
