@@ -40,11 +40,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document or line has: earlier by doc_id, null first, then by place in the text.
+    """Texts without the lines, and the runs of 20 words or more of sentences, that an earlier document or line has: earlier by doc_id, null first, then by place in the text.
 
     All rows stay, with what is left of their text; null and empty texts stay as they are; rows that repeat a doc_id and text keep alike
     what that document keeps. An empty table stays empty."""
-    return lines.remove(docs.select(*COLUMNS))
+    return lines.remove(docs.select(*COLUMNS), run=lines.RUN)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
