@@ -6,7 +6,10 @@ import random
 import numpy as np
 import pytest
 
-from tidewire.operators import cluster, state, upkeep, vectors
+from tidewire.operators import cluster, search, state, upkeep, vectors
+from tidewire.operators.feed import FeedQuery
+from tidewire.plans.views import Views
+from tidewire.sources import fixtures as fx
 
 DAY = "2024-01-{:02d} 00:00:00"
 ITEM = "id long, published_at timestamp_ntz, embedding array<double>, cluster_id long, source_id string, enriched_at timestamp_ntz, cluster_verified_at timestamp_ntz"
@@ -66,7 +69,7 @@ def test_singles_moved(spark, seed):
     assert sorted(map(tuple, upkeep.singles_moved(df, 0.2).collect())) == want
 
 
-def test_search_index(spark):
+def test_search_index(spark, tmp_path):
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(20, 16))
     data = [(i, (centre[i % 20] + rng.normal(size=16) * 0.3).tolist()) for i in range(2000)]
@@ -78,13 +81,58 @@ def test_search_index(spark):
         d = np.round(-(x @ x[q]), 6)
         assert near == sorted(range(2000), key=lambda k: (d[k], k))[:10]
     assert sorted(map(tuple, vectors.search_all(df, asked, 10, block=7).collect())) == sorted(map(tuple, exact.collect()))
-    centres = vectors.fit_cells(df, cells=20)
-    index = vectors.indexed(df, centres)
-    probes = vectors.probes_for(exact, index, asked, centres, 0.95)
-    near = vectors.search_cells(index, asked, centres, probes, 10)
-    assert probes < 20 and index.count() == 2000
-    assert exact.join(near, ["q_id", "id"]).count() >= 0.95 * exact.count()
+    index = vectors.Index(df, f"file://{tmp_path}/cells", 10, 0.95, cells=20, apart="id % 50 <> 0")
+    near = index.search(asked)
+    assert index.probes < 20 and index.stored.count() == 2000
+    assert exact.join(near, ["q_id", "id"]).count() >= 0.9 * exact.count()  # on other askers than those it was tuned on
+    assert sorted(map(tuple, index.search(asked, probes=20).collect())) == sorted(map(tuple, exact.collect()))
     assert vectors.search_all(df, asked.limit(0), 10).count() == 0 and vectors.search_all(df.limit(0), asked, 10).count() == 0
+    assert vectors.Index(df.limit(0), f"file://{tmp_path}/none").search(asked).count() == 0 and index.search(asked.limit(0)).count() == 0
+
+
+def test_vectors_that_cannot_be_compared(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "q_id long, vector array<double>")
+    assert [tuple(r)[:2] for r in vectors.search_all(df, asked, 1).collect()] == [(7, 1)]
+    with pytest.raises(Exception, match="can't be compared"):
+        vectors.search_all(df.union(spark.createDataFrame([(4, [1.0])], df.schema)).coalesce(1), asked, 1).collect()
+    with pytest.raises(Exception, match="can't be compared"):
+        vectors.search_all(df, spark.createDataFrame([(7, [1.0, 0.0, 0.0])], asked.schema), 1).collect()
+
+
+@pytest.mark.parametrize("block", [5, 1024])
+def test_neighbours_in_all_cells(spark, block):
+    """With every cell asked, the band join by cells is the exact one; with those that tuning chose, most of it."""
+    rows, df = items(spark, 150, 4)
+    near = vectors.timed(df)
+    flat = df.where("embedding IS NOT NULL").select("id", near, "embedding")
+    centres = vectors.fit_cells(df, cells=8)
+    asked = vectors.with_cells(flat, "embedding", centres, 8, "cells").selectExpr("id q_id", "at", "embedding vector", "cells")
+    got = vectors.in_cells(vectors.indexed(flat, centres), asked, 3, cosine=True, hours=72, block=block)
+    exact = vectors.neighbours(df, 72, 3).selectExpr("id q_id", "o_id id", "distance", "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exact.collect())) and exact.count()
+    some = vectors.neighbours_in_cells(df, 72, 3, cells=8)
+    assert exact.join(some, ["q_id", "id"]).count() >= 0.9 * exact.count()
+    assert vectors.neighbours_in_cells(df.limit(0), 72, 3).count() == 0
+
+
+def test_search_modes(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    asked = v.table("embeddings").where("vec_id % 50 = 0").selectExpr("vec_id q_id", "embedding vector")
+    q = FeedQuery(now=fx.NOW, tier="all", search="event", limit=7)
+    got = search.search("semantic", q, v.vectors, v.sources, v.clusters, asked)
+    assert {r["count"] for r in got.groupBy("q_id").count().collect()} == {7}
+    exact = vectors.search_all(v.found(include_excluded=True), asked, 7)
+    assert sorted((r["q_id"], r["rank"], r["id"]) for r in got.collect()) == sorted((r["q_id"], r["rank"], r["id"]) for r in exact.collect())
+    own = {r["id"]: r for r in v.items.collect()}
+    for r in got.collect():
+        item = own[r["id"]]
+        assert r["title"] == (item["title_en"] or item["title_zh"] or item["title"]) and r["tier"] == (item["tier"] or "all") and r["importance"] == (item["importance"] or 0)
+    assert search.search("semantic", FeedQuery(now=fx.NOW, search=" "), v.vectors, v.sources, v.clusters, asked).count() == 0
+    lexical = search.search("lexical", q, v.items, v.sources, v.clusters, asked)
+    assert sorted(r["id"] for r in lexical.collect()) == sorted(r["id"] for r in v.feed(tier="all", search="event", limit=7).collect())
+    with pytest.raises(ValueError, match="mode"):
+        search.search("other", q, v.items, v.sources, v.clusters, asked)
 
 
 def test_survivors_of_a_long_chain(spark):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import search_all
+from .feed import FeedQuery, feed, flat_tags
+from .vectors import Index, search_all
 
 
 def searchable(items: DataFrame, sources: DataFrame, clusters: DataFrame, source_id: str | None = None, source_group: str | None = None, source_kind: str | None = None, date_from: str | None = None, date_to: str | None = None, include_excluded: bool = False) -> DataFrame:
@@ -31,3 +32,31 @@ def searchable(items: DataFrame, sources: DataFrame, clusters: DataFrame, source
 def by_vectors(words: str, queries: DataFrame, found: DataFrame, limit: int = 20) -> DataFrame:
     """The nearest of `found` for each query vector, 1 to 100 of them; none for blank words."""
     return search_all(found.limit(0) if not words.strip() else found, queries, max(1, min(100, limit)))
+
+
+def results(near: DataFrame, items: DataFrame, sources: DataFrame, locale: str = "en") -> DataFrame:
+    """What was found (q_id, id, distance, rank) as a reader sees it: each item's own title, tier and importance, never its event's.
+
+    Only found rows meet the items: the ranking was done on ids and vectors alone."""
+    a, b = ("en", "zh") if locale == "en" else ("zh", "en")
+    rows = near.join(items, "id").join(F.broadcast(sources.select(F.col("id").alias("s_id"), F.col(f"name_{a}").alias("publisher"), F.col("grp").alias("source_group"), F.col("kind").alias("source_kind"))), F.col("source_id") == F.col("s_id"))  # a row a source
+    return rows.select(
+        "q_id", "rank", "id", "distance", F.coalesce(f"title_{a}", f"title_{b}", "title").alias("title"), F.coalesce(f"summary_{a}", f"summary_{b}", F.lit("")).alias("summary"), "publisher", "source_id", "source_group", "source_kind",
+        F.coalesce("tier", F.lit("all")).alias("tier"), F.coalesce("importance", F.lit(0)).alias("importance"), F.struct("hkr_h", "hkr_k", "hkr_r").alias("hkr"), flat_tags("capabilities", "entities", "topics", 4).alias("tags"),
+        "url", "published_at", F.coalesce(f"editor_note_{a}", f"editor_note_{b}").isNotNull().alias("commented"), "cluster_id",
+    )
+
+
+def search(mode: str, q: FeedQuery, items: DataFrame, sources: DataFrame, clusters: DataFrame, queries: DataFrame, index: Index | None = None) -> DataFrame:
+    """A search of mode "lexical", the feed that q asks for, or "semantic": results() for each of `queries` (q_id, vector) among what q's
+    source and dates leave, excluded items only with tier "all"; from an `index` of those rows if there is one."""
+    if mode == "lexical":
+        return feed(items, sources, clusters, q)
+    if mode != "semantic":
+        raise ValueError(f"no mode of search: {mode}")
+    if index is not None and (q.search or "").strip():
+        near = index.search(queries, max(1, min(100, q.limit)))
+    else:
+        found = searchable(items, sources, clusters, q.source_id, q.source_group, q.source_kind, q.date_from, q.date_to, q.tier == "all")
+        near = by_vectors(q.search or "", queries, found, q.limit)
+    return results(near, items, sources, q.locale)

@@ -58,10 +58,24 @@ def search(items: DataFrame, query: list[float], limit: int = 20) -> DataFrame:
     return near.orderBy(F.asc("distance"), F.asc("id")).limit(limit)
 
 
+def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors as rows of doubles; an error unless all are of one length."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = flat.value_lengths().to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError(f"vectors of {int(sizes.min())} and of {int(sizes.max())} numbers can't be compared")
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if len(a) and len(b) and a.shape[1] != b.shape[1]:
+        raise ValueError(f"vectors of {a.shape[1]} and of {b.shape[1]} numbers can't be compared")
+    return a @ b.T
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Vectors of one length as rows of doubles of length 1."""
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    x = _rows(column)
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
 
 
@@ -181,6 +195,7 @@ def search_all(items: DataFrame, queries: DataFrame, k: int = 20, block: int = 4
 
     The queries are a stated set: they are broadcast in blocks of at most `block` vectors, and every block takes one scan of the items with a
     local top-k in each batch, so that only k rows a query and batch are shuffled."""
+    queries = queries.where("vector IS NOT NULL")
     n = queries.count()
     parts = -(-n // block) or 1
     sc, out = items.sparkSession.sparkContext, []
@@ -190,7 +205,7 @@ def search_all(items: DataFrame, queries: DataFrame, k: int = 20, block: int = 4
         got = some.select("q_id", "vector").collect()  # at most about `block` vectors
         if not got:
             continue
-        sent = sc.broadcast((np.array([r["q_id"] for r in got], dtype=np.int64), np.array([r["vector"] for r in got], dtype=np.float64)))
+        sent = sc.broadcast((np.array([r["q_id"] for r in got], dtype=np.int64), _rows(pa.array([list(r["vector"]) for r in got], pa.list_(pa.float64())))))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
@@ -198,8 +213,7 @@ def search_all(items: DataFrame, queries: DataFrame, k: int = 20, block: int = 4
                 for lo in range(0, batch.num_rows, 2048):
                     part = batch.slice(lo, 2048)
                     ids = part.column(0).to_numpy()
-                    vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-                    d = np.round(-(q @ vectors.T), 6)
+                    d = np.round(-_product(q, _rows(part.column(1))), 6)
                     bound = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
                     r, c = np.nonzero(d <= bound[:, None])
                     order = np.lexsort((ids[c], d[r, c], r))
@@ -223,8 +237,7 @@ def fit_cells(items: DataFrame, cells: int = 64, sample: int = 10_000, rounds: i
     got = items.where("embedding IS NOT NULL").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("embedding").collect()
     if not got:
         return np.empty((0, 0))
-    x = np.array([r["embedding"] for r in got], dtype=np.float64)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    x = _matrix(pa.array([list(r["embedding"]) for r in got], pa.list_(pa.float64())))
     rng = np.random.default_rng(seed)
     centres = x[rng.permutation(len(x))[: min(cells, len(x))]]
     for _ in range(rounds):
@@ -236,43 +249,140 @@ def fit_cells(items: DataFrame, cells: int = 64, sample: int = 10_000, rounds: i
     return centres
 
 
-def _cell_order(rows: DataFrame, vector: str, centres: np.ndarray, most: int) -> Column:
-    """The `most` nearest cells of each vector, the nearest first."""
+def with_cells(rows: DataFrame, vector: str, centres: np.ndarray, most: int, name: str) -> DataFrame:
+    """`rows` with a vector, and the `most` nearest cells of each, the nearest first, as `name`."""
+    rows = rows.where(F.col(vector).isNotNull())
     sent = rows.sparkSession.sparkContext.broadcast(centres)  # at most `cells` vectors
 
     @F.pandas_udf("array<int>")
     def cells(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=object)
-        x = np.stack(vectors.to_list()).astype(np.float64) @ sent.value.T
+        x = _product(_rows(pa.array([list(v) for v in vectors], pa.list_(pa.float64()))), sent.value)
         return pd.Series(list(np.argsort(-x, axis=1, kind="stable")[:, :most].astype(np.int32)))
 
-    return cells(vector)
+    return rows.withColumn(name, cells(vector))
+
 
+def indexed(items: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Every embedded row with the number of its cell, to be written partitioned by it."""
+    return with_cells(items, "embedding", centres, 1, "_cells").withColumn("cell", F.explode("_cells")).drop("_cells")
+
+
+def in_cells(stored: DataFrame, asked: DataFrame, k: int, cosine: bool, hours: int | None = None, block: int = 1024) -> DataFrame:
+    """(q_id, id, distance, rank): the `k` rows of `stored` (id, at, embedding, cell) nearest to each of `asked` (q_id, at, vector, cells) among
+    those of its cells, and with `hours` among those at most so many hours away; a row isn't compared with an asker of its own id then.
+
+    Rows are shuffled once by time bucket, cell and, where a cell of a bucket holds more than `block` rows, by a hash in it; an asker once for each such
+    part of its cells. A part's rows are held, its askers stream by, and their local best are shuffled: rows times cells asked, never rows times rows."""
+    width = None if hours is None else hours * 3600 * 1_000_000
+    bucket = F.lit(0).cast("long") if width is None else F.floor(F.col("at") / width)
+    stored = stored.where("embedding IS NOT NULL").select("id", "at", "embedding", "cell", bucket.alias("b"))
+    sizes = stored.groupBy("b", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
+    near = F.array(bucket) if width is None else F.array(bucket - 1, bucket, bucket + 1)
+    asks = asked.where("vector IS NOT NULL").select("q_id", "at", "vector", F.explode("cells").alias("cell"), near.alias("bs"))
+    asks = asks.select("q_id", "at", "vector", "cell", F.explode("bs").alias("b")).join(sizes, ["b", "cell"]).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    held = stored.join(sizes, ["b", "cell"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    vector = lambda c: F.col(c).cast("array<double>").alias("v")
+    rows = held.select("b", "cell", "p", F.lit(0).alias("side"), "id", "at", vector("embedding")).unionByName(asks.select("b", "cell", "p", F.lit(1).alias("side"), F.col("q_id").alias("id"), "at", vector("vector")))
+    key = ["b", "cell", "p"]
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, "side")
+    out = "q_id long, id long, distance double"
+    arrow = to_arrow_schema(T.StructType.fromDDL(out))
 
-def probes_for(exact: DataFrame, index: DataFrame, queries: DataFrame, centres: np.ndarray, recall: float) -> int:
-    """The number of cells that must be searched so that this share of `exact` (q_id, id, from search_all()) is in them, measured on it."""
-    order = queries.select("q_id", _cell_order(queries, "vector", centres, len(centres)).alias("order"))
-    place = exact.join(index.select("id", "cell"), "id").join(order, "q_id").select(F.array_position("order", F.col("cell").cast("int")).alias("place"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, parts, last = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                some, at = batch.slice(lo, hi - lo), tuple(keys[lo, :3])
+                if keys[lo, 3] == 0:
+                    if at != last:
+                        parts = []
+                    parts.append(some)
+                    own, last = None, at
+                    continue
+                if at != last:
+                    continue  # askers of a part without rows
+                if own is None:
+                    t = pa.Table.from_batches(parts)
+                    own = t["id"].to_numpy(), t["at"].to_numpy(), (_matrix if cosine else _rows)(t["v"])
+                ids, times, x = own
+                for s in range(0, some.num_rows, 1024):
+                    part = some.slice(s, 1024)
+                    q, when, y = part.column(4).to_numpy(), part.column(5).to_numpy(), (_matrix if cosine else _rows)(part.column(6))
+                    d = np.round((1.0 if cosine else 0.0) - _product(y, x), 6)
+                    if width is not None:
+                        d = np.where((np.abs(when[:, None] - times[None, :]) <= width) & (q[:, None] != ids[None, :]), d, np.inf)
+                    kth = min(k, len(ids)) - 1
+                    r, c = np.nonzero((d <= np.partition(d, kth, axis=1)[:, kth][:, None]) & np.isfinite(d))
+                    order = np.lexsort((ids[c], d[r, c], r))
+                    r, c = r[order], c[order]
+                    top = np.arange(len(r)) - np.searchsorted(r, r) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(q[r[top]]), pa.array(ids[c[top]]), pa.array(d[r[top], c[top]])], schema=arrow)
+
+    local = dealt.mapInArrow(run, out)
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "id"))
+    return local.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def probes_for(exact: DataFrame, stored: DataFrame, asked: DataFrame, cells: int, recall: float) -> int:
+    """The number of nearest cells of an asker that hold this share of `exact` (q_id, id), measured on it. `asked` has all cells in order."""
+    place = exact.join(stored.select("id", "cell"), "id").join(asked.select("q_id", "cells"), "q_id").select(F.array_position("cells", F.col("cell").cast("int")).alias("place"))
     by = place.groupBy("place").agg(F.count("*").alias("n")).orderBy("place").collect()  # a row a cell at most
     total, seen = sum(r["n"] for r in by), 0
     for r in by:
         seen += r["n"]
         if seen >= recall * total:
             return int(r["place"])
-    return max(1, len(centres))
+    return max(1, cells)
 
 
-def indexed(items: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Every embedded row with the number of its cell, to be written partitioned by it."""
-    rows = items.where("embedding IS NOT NULL")
-    return rows.withColumn("cell", F.explode(_cell_order(rows, "embedding", centres, 1)))
+class Index:
+    """Vectors (id, embedding) in cells, each row indexed; how many cells a search takes is measured on bounded samples.
 
+    `recall` is the aim over the sample of askers for tuning (at most `tuning` rows by a hash of the id, other ones than `apart` says):
+    the searches' own recall is to be measured on other askers."""
 
-def search_cells(index: DataFrame, queries: DataFrame, centres: np.ndarray, probes: int, k: int = 20) -> DataFrame:
-    """As search_all(), in the `probes` nearest cells of each query only: an equi-join on the cell. Recall is below 1: measure it."""
-    asked = queries.select("q_id", "vector").withColumn("cell", F.explode(_cell_order(queries, "vector", centres, probes)))
-    pairs = index.select("id", "embedding", "cell").join(asked, "cell")
-    near = pairs.select("q_id", "id", F.round(-dot("embedding", "vector"), 6).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    def __init__(self, items: DataFrame, path: str, k: int = 20, recall: float = 0.95, cells: int = 64, tuning: int = 256, apart: str = "true"):
+        rows = items.where("embedding IS NOT NULL").select("id", "embedding")
+        self.k, self.centres = k, fit_cells(rows, cells)
+        indexed(rows, self.centres).write.partitionBy("cell").parquet(path)
+        self.stored = rows.sparkSession.read.schema("id long, embedding array<double>, cell int").parquet(path).withColumn("at", F.lit(0).cast("long"))
+        tried = rows.where(apart).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(tuning).select(F.col("id").alias("q_id"), F.col("embedding").alias("vector"))
+        order = with_cells(tried, "vector", self.centres, max(1, len(self.centres)), "cells")
+        self.probes = probes_for(search_all(rows, tried, k), self.stored, order, len(self.centres), recall)
+
+    def search(self, queries: DataFrame, k: int | None = None, probes: int | None = None) -> DataFrame:
+        """(q_id, id, distance, rank) as search_all(), from the nearest cells of each query."""
+        if not len(self.centres):
+            return queries.sparkSession.createDataFrame([], "q_id long, id long, distance double, rank int")
+        asked = with_cells(queries.select("q_id", "vector"), "vector", self.centres, probes or self.probes, "cells").withColumn("at", F.lit(0).cast("long"))
+        return in_cells(self.stored, asked, k or self.k, cosine=False)
+
+
+def nearest_of(rows: DataFrame, some: DataFrame, hours: int, k: int) -> DataFrame:
+    """(q_id, id): exactly the `k` nearest of `rows` within `hours` for each of `some` (id, at, embedding), a bounded number of them: one scan."""
+    one = F.lit(0)
+    held = some.select("id", "at", "embedding", one.alias("cell"))
+    return in_cells(rows.select("id", "at", "embedding", one.alias("cell")), held.select(F.col("id").alias("q_id"), "at", F.col("embedding").alias("vector"), F.array("cell").alias("cells")), k, cosine=True, hours=hours)
+
+
+def neighbours_in_cells(items: DataFrame, hours: int, k: int, recall: float = 0.95, cells: int = 64, tuning: int = 256, apart: str = "true") -> DataFrame:
+    """(q_id, id, distance, rank): as neighbours(), but each item is only compared with those within `hours` that lie in its nearest cells.
+
+    How many cells that takes is measured exactly for at most `tuning` items (by a hash of the id, where `apart` holds); recall is below 1."""
+    have = items.where("embedding IS NOT NULL")
+    rows = have.select("id", timed(have), "embedding")
+    centres = fit_cells(rows, cells)
+    if not len(centres):
+        return rows.sparkSession.createDataFrame([], "q_id long, id long, distance double, rank int")
+    stored = indexed(rows, centres)
+    tried = rows.where(apart).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(tuning)
+    order = with_cells(tried, "embedding", centres, len(centres), "cells").select(F.col("id").alias("q_id"), "cells")
+    probes = probes_for(nearest_of(rows, tried, hours, k), stored, order, len(centres), recall)
+    asked = with_cells(rows, "embedding", centres, probes, "cells").select(F.col("id").alias("q_id"), "at", F.col("embedding").alias("vector"), "cells")
+    return in_cells(stored, asked, k, cosine=True, hours=hours)

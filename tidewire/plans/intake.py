@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import content, text
 from tidewire.functions.diffs import line_diff
-from tidewire.operators import detail, digest, feed, normalize, stats, vectors
+from tidewire.operators import detail, digest, feed, normalize, search, stats, vectors
 from tidewire.plans.base import DAY, add
 from tidewire.plans.views import NOW, Views
 from tidewire.sources import archive, feeds, sinks
@@ -424,22 +424,61 @@ add(
 )
 
 
-def recall(v: Views) -> DataFrame:
-    """How many of the exact 20 nearest the index finds, over all stated queries."""
+def _index(v: Views) -> vectors.Index:
+    """Tuned on other vectors than the stated queries."""
     rows = v.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    centres = vectors.fit_cells(rows)
-    index = vectors.indexed(rows, centres)
-    path = f"{shared_dir(v.spark)}/cells-{uuid.uuid4().hex}"
-    index.write.partitionBy("cell").parquet(path)
-    exact = vectors.search_all(rows, asked(v), 20)
-    cells = v.spark.read.parquet(path)
-    probes = vectors.probes_for(exact, cells, asked(v), centres, 0.9)
-    near = vectors.search_cells(cells, asked(v), centres, probes)
-    found = exact.join(near.select("q_id", "id", F.lit(True).alias("hit")), ["q_id", "id"], "left")
+    return vectors.Index(rows, f"{shared_dir(v.spark)}/cells-{uuid.uuid4().hex}", apart="id % 50 <> 0")
+
+
+def recalled(exact: DataFrame, near: DataFrame) -> DataFrame:
+    """How many rows (q_id, id) there are, and whether 0.9 of them are in `near`."""
+    found = exact.select("q_id", "id").join(near.select("q_id", "id", F.lit(True).alias("hit")), ["q_id", "id"], "left")
     return found.agg(F.count("*").alias("n"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
-add("search_index_recall", "n long, enough boolean", recall, "SELECT count(*) * least(20, (SELECT count(*) FROM embeddings)) AS n, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def _recall(v: Views) -> DataFrame:
+    rows = v.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return recalled(vectors.search_all(rows, asked(v), 20), _index(v).search(asked(v)))
+
+
+add("search_index", "q_id long, id long, distance double, rank int", lambda v: _index(v).search(asked(v)))
+add("search_index_recall", "n long, enough boolean", _recall, "SELECT count(*) * least(20, (SELECT count(*) FROM embeddings)) AS n, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+
+
+def _in_cells(v: Views) -> DataFrame:
+    return vectors.neighbours_in_cells(v.vectors, 72, 3, apart="id % 50 <> 0")
+
+
+def _band_recall(v: Views) -> DataFrame:
+    """Over the items with an id divisible by 50, against the exact neighbours."""
+    exact = vectors.neighbours(v.vectors, 72, 3).where("id % 50 = 0").select(F.col("id").alias("q_id"), F.col("o_id").alias("id"))
+    return recalled(exact, _in_cells(v))
+
+
+add("knn_cells", "q_id long, id long, distance double, rank int", _in_cells)
+add(
+    "knn_cells_recall",
+    "n long, enough boolean",
+    _band_recall,
+    """SELECT sum(least(3, k))::BIGINT AS n, true AS enough FROM (SELECT a.id, count(*) AS k FROM items a JOIN items b ON a.id <> b.id AND abs(epoch(a.published_at) - epoch(b.published_at)) <= 72 * 3600
+        WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND a.id % 50 = 0 GROUP BY a.id)""",
+    "items",
+)
+
+
+def _found_items(v: Views) -> DataFrame:
+    return search.results(search.by_vectors("words", asked(v), v.found(include_excluded=True), 20), v.items, v.sources)
+
+
+add(
+    "semantic_items",
+    "q_id long, rank int, id long, distance double, title string, publisher string, tier string, importance int, tags string, url string, commented boolean",
+    lambda v: _found_items(v).withColumn("tags", F.array_join("tags", ",")),
+    "SELECT f.q_id, f.rank, f.id, f.distance, coalesce(title_en, title_zh, title) AS title, s_name_en AS publisher, coalesce(tier, 'all') AS tier, coalesce(importance, 0) AS importance, "
+    "array_to_string(list_slice(list_concat(list_concat(capabilities, entities), topics), 1, 4), ',') AS tags, url, coalesce(editor_note_en, editor_note_zh) IS NOT NULL AS commented "
+    "FROM (" + _NEAR.format("SELECT * FROM j WHERE embedding IS NOT NULL AND enriched_at IS NOT NULL AND (cluster_id IS NULL OR c_lead = id)") + ") f JOIN j ON f.id = j.id",
+    "j",
+)
 add(
     "search_modes",
     "mode string, n long",
