@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text
-from tidewire.operators import cluster, feedback, state, upkeep
+from tidewire.operators import cluster, feedback, replay, state, upkeep
 from tidewire.plans.base import add
 from tidewire.plans.views import NOW, Views, tier
 from tidewire.sources import fixtures as fx
@@ -144,6 +144,20 @@ add(
 )
 _ALL_NEAR = """near AS (SELECT a.id, b.id AS o_id, a.cluster_id, b.cluster_id AS o_cluster_id, round(1 - list_dot_product(a.embedding, b.embedding) / (sqrt(list_dot_product(a.embedding, a.embedding)) * sqrt(list_dot_product(b.embedding, b.embedding))), 6) AS distance FROM items a JOIN items b
     ON a.id <> b.id AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 72 * 3600000000)"""
+# one item a step: ev holds each item's event by its number, 0 for none
+_REPLAY = """WITH RECURSIVE own AS (SELECT id, published_at, embedding, row_number() OVER (ORDER BY id) AS n FROM items WHERE embedding IS NOT NULL AND enriched_at IS NOT NULL),
+    pairs AS (SELECT a.n, b.n AS o, round(1 - list_dot_product(a.embedding, b.embedding) / (sqrt(list_dot_product(a.embedding, a.embedding)) * sqrt(list_dot_product(b.embedding, b.embedding))), 6) AS distance
+      FROM own a JOIN own b ON a.n <> b.n AND abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 72 * 3600000000),
+    close AS MATERIALIZED (SELECT n, list(o ORDER BY distance, o) AS os FROM pairs WHERE distance <= 0.75 GROUP BY n),
+    walk(n, ev) AS (SELECT 0::BIGINT, list_transform(range((SELECT count(*) FROM own)), lambda x: 0::BIGINT)
+      UNION ALL SELECT n, CASE WHEN ev[n] <> 0 THEN ev WHEN there IS NOT NULL THEN list_concat(list_concat(ev[:n - 1], [ev[there]]), ev[n + 1:])
+          ELSE list_transform(ev, lambda e, i: CASE WHEN i = n OR i = free THEN n ELSE e END) END
+      FROM (SELECT w.n + 1 AS n, ev, list_filter(coalesce(os, []), lambda o: ev[o] <> 0)[1] AS there, coalesce(list_filter(coalesce(os, []), lambda o: ev[o] = 0)[1], 0) AS free
+        FROM walk w LEFT JOIN close c ON c.n = w.n + 1 WHERE w.n < {}))
+    SELECT o.id, k.id AS cluster_id FROM (SELECT unnest(ev) AS e, generate_subscripts(ev, 1) AS n FROM walk WHERE n = {}) l JOIN own o ON l.n = o.n JOIN own k ON k.n = l.e"""
+_ALL_OWN = "(SELECT count(*) FROM own)"
+add("replay_in_order", "id long, cluster_id long", lambda v: replay.in_order(v.vectors, distance=0.75), f"SELECT * FROM ({_REPLAY.format(_ALL_OWN, _ALL_OWN)})", "items")
+add("replay_pass", "id long, cluster_id long", lambda v: replay.in_order(v.vectors, distance=0.75, most=200), f"SELECT * FROM ({_REPLAY.format(f'least(200, {_ALL_OWN})', f'least(200, {_ALL_OWN})')})", "items")
 add("singles_moved", "id long, old long, new long", lambda v: upkeep.singles_moved(v.vectors, distance=0.75))
 add("sampled_pairs", "id long, other_id long", lambda v: cluster.sample_pairs(cluster.new_merges(v.vectors, 0.8), 50, seed=3), f"""SELECT * FROM (WITH {_ALL_NEAR} SELECT id, o_id AS other_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, o_id) AS rank FROM near)
     WHERE rank <= 3 AND id < o_id AND distance <= 0.8 AND cluster_id IS DISTINCT FROM o_cluster_id ORDER BY md5('3:' || id || ':' || o_id), id LIMIT 50)""", "items")
