@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from tidewire.operators import snapshots
 from tidewire.plans.registry import QUERIES
 from tidewire.sources import archive
@@ -51,3 +53,23 @@ def test_resume(spark, tmp_path):
         rows(ids).write.mode("append").parquet(src)
         stream = spark.readStream.schema("user_id long, at timestamp").parquet(src)
         assert jobs.drain(jobs.first_seen(stream, ("user_id",)), "append", folder).count() == want
+
+
+def test_upserts_touch_changed_keys_only(spark, tmp_path):
+    """Batch by batch the table is that of the whole, and a batch writes the keys that it changed."""
+    src, folder = str(tmp_path / "in"), "file://" + str(tmp_path / "job")
+    everything = []
+    for n, ids in enumerate((range(4), range(4, 6), range(6, 9))):
+        rows = [(i % 3 if n != 1 else 7, dt.datetime(2024, 1, 1, i, 30), "click", float(i)) for i in ids]
+        everything += rows
+        spark.createDataFrame(rows, "user_id long, at timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("user_id long, at timestamp, event_type string, value double").parquet(src)
+        total = stream.groupBy("user_id").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+        got = jobs.upserted(total, ("user_id",), folder)
+        want = {}
+        for u, _, _, v in everything:
+            want[u] = (want.get(u, (0, 0))[0] + v, want.get(u, (0, 0))[1] + 1)
+        assert {r["user_id"]: (r["total"], r["n"]) for r in got.select("user_id", "total", "n").collect()} == want
+        assert jobs.upserted(total, ("user_id",), folder).count() == len(want)  # a rerun changes nothing
+    sizes = [spark.read.parquet(f"{folder}/out/batch={n}").count() for n in range(3)]
+    assert sizes == [3, 1, 3]

@@ -429,7 +429,7 @@ _HOUR = "date_format(hour, 'yyyy-MM-dd HH:mm')"
 add(
     "stream_hourly",
     "hour string, event_type string, n long, cents long",
-    lambda v: jobs.drain(jobs.hourly(jobs.events(v.spark, v.sf_dir)), "complete").withColumn("hour", F.expr(_HOUR)),
+    lambda v: jobs.upserted(jobs.hourly(jobs.events(v.spark, v.sf_dir)), ("hour", "event_type")).withColumn("hour", F.expr(_HOUR)),
     "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM events GROUP BY ALL",
 )
 add(

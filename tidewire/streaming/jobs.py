@@ -33,6 +33,23 @@ def drain(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def upserted(stream: DataFrame, keys: tuple[str, ...], folder: str | None = None) -> DataFrame:
+    """Run an aggregation in update mode over all that is there; its table: each key's row of the last batch that changed it.
+
+    A batch writes only the keys that it changed, to a place of its own, which a batch that is run again replaces: nothing that was
+    written before is rewritten, and a lost batch leaves the table of the one before."""
+    spark = stream.sparkSession
+    folder = folder or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("now")).select(*keys, *[F.col("now")[c].alias(c) for c in rest])
+
+
 def hourly(stream: DataFrame) -> DataFrame:
     """Events and summed value in cents of each hour and type."""
     at = F.window("at", "1 hour")
@@ -53,15 +70,15 @@ def sessions(stream: DataFrame, gap: str = "6 hours") -> DataFrame:
 def voted(spark: SparkSession, sf_dir: str, n_items: int, folder: str | None = None) -> DataFrame:
     """The votes that stand after all toggles, kept by key as they stream in: for each (item, user, vote) the last event and the last "on".
 
-    Each batch is folded by key and then with what was there, so that a batch is small whatever the history; the fold is the same one
-    that feedback.fold_toggles() does over a whole table."""
+    The state is two numbers a key; a batch writes the keys that it touched, whatever the history. The fold is the same one that
+    feedback.fold_toggles() does over a whole table."""
     from tidewire.operators.feedback import standing
 
     stream = events(spark, sf_dir).where("event_type IN ('click', 'error', 'purchase')").select(
         F.col("event_id").alias("id"), F.expr(f"event_id % {int(n_items)}").alias("item_id"), "user_id", F.expr("CASE event_type WHEN 'click' THEN 'up' WHEN 'error' THEN 'down' ELSE 'save' END").alias("vote"), F.expr("event_id % 4 <> 3").alias("on")
     )
     last = stream.groupBy("item_id", "user_id", "vote").agg(F.max(F.struct("id", "on")).alias("last"), F.max(F.when(F.col("on"), F.col("id"))).alias("on_id"))
-    return standing(drain(last, "complete", folder))
+    return standing(upserted(last, ("item_id", "user_id", "vote"), folder))
 
 
 def healthy(stream: DataFrame, folder: str | None = None) -> DataFrame:
@@ -83,15 +100,7 @@ def healthy(stream: DataFrame, folder: str | None = None) -> DataFrame:
 
     keyed = stream.select(F.expr("concat('u', user_id % 50)").alias("source_id"), "event_id", "event_type")
     out = keyed.groupBy("source_id").applyInPandasWithState(fold, "source_id string, failures long, total long", "ok long, total long, fails array<long>", "update", "NoTimeout")
-    spark = stream.sparkSession
-    folder = folder or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-
-    out.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{folder}/out")
-    return rows.groupBy("source_id").agg(F.max_by(F.struct("failures", "total"), "batch").alias("s")).select("source_id", "s.failures", "s.total")
+    return upserted(out, ("source_id",), folder)
 
 
 def cohorts(stream: DataFrame, kinds: tuple[str, ...] = ("purchase",), folder: str | None = None) -> DataFrame:
