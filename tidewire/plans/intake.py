@@ -424,7 +424,7 @@ add(
 )
 
 
-def _index(v: Views) -> vectors.Index:
+def _vector_index(v: Views) -> vectors.Index:
     """Tuned on other vectors than the stated queries."""
     rows = v.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return vectors.Index(rows, f"{shared_dir(v.spark)}/cells-{uuid.uuid4().hex}", apart="id % 50 <> 0")
@@ -438,10 +438,10 @@ def recalled(exact: DataFrame, near: DataFrame) -> DataFrame:
 
 def _recall(v: Views) -> DataFrame:
     rows = v.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return recalled(vectors.search_all(rows, asked(v), 20), _index(v).search(asked(v)))
+    return recalled(vectors.search_all(rows, asked(v), 20), _vector_index(v).search(asked(v)))
 
 
-add("search_index", "q_id long, id long, distance double, rank int", lambda v: _index(v).search(asked(v)))
+add("search_index", "q_id long, id long, distance double, rank int", lambda v: _vector_index(v).search(asked(v)))
 add("search_index_recall", "n long, enough boolean", _recall, "SELECT count(*) * least(20, (SELECT count(*) FROM embeddings)) AS n, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
 
 
