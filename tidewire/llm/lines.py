@@ -10,7 +10,8 @@ behind ".", "!" and "?"): for passages spliced into other lines. A line goes whe
 it, stands earlier; sentences go only from lines that stay.
 
 With `run`, a number of words, runs of sentences that all stand earlier too go from lines that stay, if they have so many
-words together: passages spliced into other lines go, sentences that repeat by chance stay.
+words together: passages spliced into other lines go, sentences that repeat by chance stay. Their digests are 64 bits: of
+10^10 sentences some three pairs are taken for equal, which matters where one of them completes a run.
 
 Defined cases: null and empty texts have no units and stay as they are; rows that repeat a doc_id and text are one
 document and keep alike what that document keeps (equal texts under different ids leave their units to the first); a null
@@ -59,12 +60,11 @@ def units(text: str | None, sentences: int | None = None) -> list[tuple[int, int
 
 
 def pieces(text: str | None) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, digest's halves, words) of each sentence that has a word; digests are other ones than those of lines."""
+    """(start, end, digest, 0, words) of each sentence that has a word."""
     out = []
     for m in PIECE.finditer(text or ""):
         if words := m[0].split():
-            d1, d2 = _digest(words)
-            out.append((m.start(), m.end(), d1 ^ 1, d2, len(words)))
+            out.append((m.start(), m.end(), _digest(words)[0], 0, len(words)))
     return out
 
 
@@ -86,20 +86,23 @@ def _runs(found: list[tuple[int, int, int, int]], lines: list[tuple[int, int]],
 
 
 def _rows(docs: DataFrame, sentences: int | None, run_words: int | None, rank: str | None) -> DataFrame:
-    rows = docs.select(ids(docs).alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(rank) if rank else F.lit(0)).alias("rank")).withColumn("th", F.xxhash64("text"))
-    kind = rows.schema["rank"].dataType.simpleString()
+    """(rank if there is one, doc_id, th, p, q, d1, d2) of each unit: p is its range, start and end in 31 bits each, q the number and words of a
+    sentence in 32 bits each, or -1. These rows are shuffled twice, so they are small."""
+    rows = docs.select(*([F.col(rank).alias("rank")] if rank else []), ids(docs).alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    row = [c for c in rows.columns if c != "text"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            own = [[(*u, -1, 0) for u in units(t, sentences)] + [(*u[:4], k, u[4]) for k, u in enumerate(pieces(t) if run_words else ())] for t in pdf["text"]]
+            own = [[(u[0] << 31 | u[1], -1, *u[2:]) for u in units(t, sentences)] + [(u[0] << 31 | u[1], k << 32 | u[4], *u[2:4]) for k, u in enumerate(pieces(t) if run_words else ())] for t in pdf["text"]]
             size = [len(u) for u in own]
             if not sum(size):
                 continue
             cols = np.array([u for us in own for u in us], dtype=np.int64)
-            out = pdf[["doc_id", "th", "rank"]].loc[pdf.index.repeat(size)].reset_index(drop=True)
-            yield out.assign(a=cols[:, 0], b=cols[:, 1], d1=cols[:, 2], d2=cols[:, 3], k=cols[:, 4], w=cols[:, 5])
+            out = pdf[row].loc[pdf.index.repeat(size)].reset_index(drop=True)
+            yield out.assign(p=cols[:, 0], q=cols[:, 1], d1=cols[:, 2], d2=cols[:, 3])
 
-    return mapped(rows, run, f"doc_id long, th long, rank {kind}, a int, b int, d1 long, d2 long, k int, w int", "text")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in row)
+    return mapped(rows, run, f"{kinds}, p long, q long, d1 long, d2 long", "text")
 
 
 SPANS = "array<struct<a:int,b:int>>"
@@ -109,12 +112,14 @@ def find(docs: DataFrame, sentences: int | None = None, rank: str | None = None,
     """(doc_id, th, n_units, spans) of the rows that lose something: spans are character ranges [a, b), by start; a line's holds its
     sentences'; n_units of them are lines (or sentences by `sentences`), the others runs."""
     rows = _rows(docs, sentences, run, rank)
-    groups = rows.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("rank", "doc_id", "th", "a")).alias("one")).filter("c > 1").drop("c")
-    is_first = F.col("one.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("one.th") == F.col("th")) & (F.col("one.a") == F.col("a"))
-    gone = rows.join(groups, ["d1", "d2"]).filter(~is_first).select("doc_id", "th", "a", "b", "k", "w").distinct()
+    groups = rows.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct(*[c for c in rows.columns if c in ("rank", "doc_id", "th", "p")])).alias("one")).filter("c > 1").drop("c")
+    is_first = F.col("one.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("one.th") == F.col("th")) & (F.col("one.p") == F.col("p"))
+    gone = rows.join(groups, ["d1", "d2"]).filter(~is_first).select("doc_id", "th", "p", "q").distinct()
     # the units of one text: bounded by the text
-    whole = F.array_sort(F.collect_list(F.when(F.col("k") < 0, F.struct("a", "b"))))
-    some = F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "a", "b", "w")))
+    high, low = lambda c, n: F.shiftright(c, n).cast("int"), lambda c, n: F.col(c).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+    a, b = high("p", 31).alias("a"), low("p", 31).alias("b")
+    whole = F.array_sort(F.collect_list(F.when(F.col("q") < 0, F.struct(a, b))))
+    some = F.collect_list(F.when(F.col("q") >= 0, F.struct(high("q", 32).alias("k"), a, b, low("q", 32).alias("w"))))
     found = gone.groupBy("doc_id", "th").agg(whole.alias("spans"), some.alias("some")).withColumn("n_units", F.size("spans"))
     if not run:
         return found.drop("some")
