@@ -41,6 +41,16 @@ def daily_pool(items: DataFrame, sources: DataFrame, now: str, hot: int = 25, mo
     return pool.withColumn("n", n).where(F.col("n") >= least).select("id", "cluster_id", "importance", (F.col("pool") == 0).alias("from_curated"))
 
 
+def written_pool(items: DataFrame, sources: DataFrame, now: str, folder: str, **sizes: int) -> DataFrame:
+    """All pools written in `folder` so far (window, and daily_pool()'s columns), after that of `now`'s window is.
+
+    The key is the window's end, the full hour: a run again within the hour replaces that window's rows alone, also when the pool is empty by then."""
+    pool = daily_pool(items, sources, now, **sizes)
+    end = items.sparkSession.range(1).select(F.date_format(day_window(now)[1], "yyyy-MM-dd-HH").alias("end")).head()["end"]
+    pool.coalesce(1).write.mode("overwrite").parquet(f"{folder}/window={end}")  # `most` rows at most
+    return items.sparkSession.read.schema(pool.schema.add("window", "string")).parquet(folder)
+
+
 def newsletter(items: DataFrame, now: str, top: int = 75, least: int = 3) -> DataFrame:
     """The top items of the month's window; none if fewer than `least`."""
     start, end = month_window(now)

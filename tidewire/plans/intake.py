@@ -566,14 +566,26 @@ def errors(v: Views) -> DataFrame:
 add("error_log", "id string, level string, code string, message string", errors, """SELECT id, CASE WHEN consecutive_failures >= 3 THEN 'error' ELSE 'warn' END AS level, CASE WHEN consecutive_failures % 2 = 0 THEN 'http_5xx' ELSE 'error' END AS code, 'went wrong ' || id AS message
     FROM (SELECT s.id, h.consecutive_failures, CAST(substr(s.id, 4) AS INT) AS k FROM sources s JOIN health h ON s.id = h.source_id WHERE enabled AND status <> 'ok') ORDER BY k, id LIMIT 20""", "health")
 add("transcript_queue", "id long, rank int", lambda v: digest.transcript_queue(v.plain.withColumn("url", F.expr("CASE id % 4 WHEN 0 THEN concat('https://www.youtube.com/watch?v=', id) WHEN 1 THEN concat('https://youtu.be/', id) ELSE url END"))), "SELECT id, CASE tier WHEN 'featured' THEN 0 WHEN 'p1' THEN 1 WHEN 'all' THEN 2 WHEN 'excluded' THEN 3 ELSE 4 END AS rank FROM items WHERE body_md IS NULL AND id % 4 < 2 ORDER BY rank, published_at DESC, id LIMIT 50", "items")
-add("digest_window", "kind string, since string, until string", lambda v: _windows(v), f"SELECT 'daily' AS kind, strftime(date_trunc('hour', {NOW} + INTERVAL 37 MINUTES) - INTERVAL 24 HOURS, '%Y-%m-%d %H:%M') AS since, strftime(date_trunc('hour', {NOW} + INTERVAL 37 MINUTES), '%Y-%m-%d %H:%M') AS until UNION ALL SELECT 'monthly', strftime({DAY} - INTERVAL 30 DAYS, '%Y-%m-%d %H:%M'), strftime({DAY}, '%Y-%m-%d %H:%M')")
-
-
 def _windows(v: Views) -> DataFrame:
-    now = F.expr(f"{fx.NOW_SQL} + INTERVAL 37 MINUTES")
+    """The windows of digests that are run 37 minutes into each hour that has events."""
+    hours = v.table("events").where("ts IS NOT NULL").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).distinct()
+    now = F.col("h") + F.expr("INTERVAL 37 MINUTES")
     hour, day = F.date_trunc("hour", now).cast("timestamp_ntz"), F.date_trunc("day", now).cast("timestamp_ntz")
-    row = lambda kind, since, until: F.struct(F.lit(kind).alias("kind"), F.date_format(since, "yyyy-MM-dd HH:mm").alias("since"), F.date_format(until, "yyyy-MM-dd HH:mm").alias("until"))
-    return v.spark.range(1).select(F.explode(F.array(row("daily", hour - F.expr("INTERVAL 24 HOURS"), hour), row("monthly", day - F.expr("INTERVAL 30 DAYS"), day))).alias("w")).select("w.*")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    row = lambda kind, since, until: F.struct(F.lit(kind).alias("kind"), text(since).alias("since"), text(until).alias("until"))
+    both = F.array(row("daily", hour - F.expr("INTERVAL 24 HOURS"), hour), row("monthly", day - F.expr("INTERVAL 30 DAYS"), day))
+    return hours.select(text("h").alias("hour"), F.explode(both).alias("w")).select("hour", "w.*")
+
+
+_HOURS = "(SELECT DISTINCT date_trunc('hour', ts) AS h FROM events WHERE ts IS NOT NULL)"
+_text = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M')"
+add(
+    "digest_window",
+    "hour string, kind string, since string, until string",
+    _windows,
+    f"""SELECT {_text("h")} AS hour, 'daily' AS kind, {_text("h - INTERVAL 24 HOURS")} AS since, {_text("h")} AS until FROM {_HOURS}
+        UNION ALL SELECT {_text("h")}, 'monthly', {_text("date_trunc('day', h) - INTERVAL 30 DAYS")}, {_text("date_trunc('day', h)")} FROM {_HOURS}""",
+)
 
 
 add("items_by_day", "day string, n int, ids string", lambda v: v.plain.where("tier = 'p1'").groupBy(F.date_format("published_at", "yyyy-MM-dd").alias("day")).agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("t"), "id"))).alias("l")).select("day", F.size("l").alias("n"), F.array_join(F.transform("l", lambda r: r["id"].cast("string")), ",").alias("ids")), "SELECT strftime(published_at, '%Y-%m-%d') AS day, count(*) AS n, string_agg(id, ',' ORDER BY published_at DESC, id) AS ids FROM items WHERE tier = 'p1' GROUP BY day", "items")

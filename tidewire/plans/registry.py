@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from tidewire.plans.base import AGO, DAY, QUERIES, SQL, add
 from tidewire.plans.views import NOW, Views, tier
 from tidewire.sources import archive
 from tidewire.sources import fixtures as fx
+from tidewire.sources.shared import cut, shared_dir
 from tidewire.streaming import jobs
 
 # -- the feed ---------------------------------------------------------------------------------------------------------
@@ -245,6 +248,23 @@ add(
         WHERE i.embedding IS NOT NULL AND i.cluster_id IS NULL AND i.enriched_at IS NOT NULL"""),
     "items",
 )
+
+
+def _placed(v: Views) -> DataFrame:
+    members = cut(v.vectors.where("cluster_id IS NOT NULL").select("id", "cluster_id", "published_at", "embedding"))
+    return jobs.placed(jobs.pending_items(v.spark, v.sf_dir, members), members, distance=0.75)
+
+
+add(
+    "stream_placed",
+    "id long, event long, distance double",
+    _placed,
+    with_near("""SELECT i.id, c.o_cluster_id AS event, c.distance FROM items i
+        LEFT JOIN (SELECT * FROM near WHERE distance <= 0.75 AND o_cluster_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, o_id) = 1) c ON i.id = c.id
+        WHERE i.embedding IS NOT NULL AND i.cluster_id IS NULL AND i.enriched_at IS NOT NULL"""),
+    "items",
+)
+
 add(
     "arbitration_candidates",
     "id long, member_count long, updated_at string",
@@ -312,16 +332,33 @@ add(
 
 # -- digests and queues -----------------------------------------------------------------------------------------------
 
-add(
-    "daily_pool",
-    "id long, cluster_id long, importance int, from_curated boolean",
-    lambda v: digest.daily_pool(v.items, v.sources, fx.NOW),
-    f"""SELECT * FROM (WITH w AS (SELECT * FROM j WHERE published_at >= date_trunc('hour', {NOW}) - INTERVAL 24 HOURS AND published_at < date_trunc('hour', {NOW}) AND NOT {PAPERS} AND enriched_at IS NOT NULL),
+def pool_sql(now: str) -> str:
+    """digest.daily_pool() of the window that `now` falls in."""
+    return f"""SELECT * FROM (WITH w AS (SELECT * FROM j WHERE published_at >= date_trunc('hour', {now}) - INTERVAL 24 HOURS AND published_at < date_trunc('hour', {now}) AND NOT {PAPERS} AND enriched_at IS NOT NULL),
         b AS (SELECT id, 0 AS pool FROM w WHERE s_curated UNION ALL SELECT * FROM (SELECT id, 1 AS pool FROM w ORDER BY importance DESC NULLS LAST, published_at DESC, id LIMIT 25)),
         o AS (SELECT w.*, p.pool FROM w JOIN (SELECT id, min(pool) AS pool FROM b GROUP BY id) p ON w.id = p.id),
         f AS (SELECT *, row_number() OVER (PARTITION BY coalesce(cluster_id, -1 - id) ORDER BY pool, importance DESC NULLS LAST, published_at DESC, id) AS k FROM o),
         t AS (SELECT * FROM f WHERE k = 1 ORDER BY pool, importance DESC NULLS LAST, published_at DESC, id LIMIT 20)
-        SELECT id, cluster_id, importance, pool = 0 AS from_curated FROM t WHERE (SELECT count(*) FROM t) >= 5)""",
+        SELECT id, cluster_id, importance, pool = 0 AS from_curated FROM t WHERE (SELECT count(*) FROM t) >= 5)"""
+
+
+add("daily_pool", "id long, cluster_id long, importance int, from_curated boolean", lambda v: digest.daily_pool(v.items, v.sources, fx.NOW), pool_sql(NOW), "j")
+
+
+def _pools(v: Views) -> DataFrame:
+    """Three runs, two of them within one hour."""
+    folder = f"{shared_dir(v.spark)}/pools-{uuid.uuid4().hex}"
+    items = v.items.select("id", "cluster_id", "source_id", "importance", "published_at", "enriched_at")
+    for now in ("2024-01-30 00:07:00", "2024-01-31 00:05:00", "2024-01-31 00:37:00"):
+        pools = digest.written_pool(items, v.sources, now, folder)
+    return pools.withColumnRenamed("window", "until")
+
+
+add(
+    "digest_runs",
+    "until string, id long, cluster_id long, importance int, from_curated boolean",
+    _pools,
+    f"""SELECT '2024-01-30-00' AS until, * FROM ({pool_sql(f"{NOW} - INTERVAL 1 DAY")}) UNION ALL SELECT '2024-01-31-00', * FROM ({pool_sql(NOW)})""",
     "j",
 )
 add(

@@ -313,7 +313,7 @@ add(
 add(
     "stream_health",
     "source_id string, failures long, total long",
-    lambda v: jobs.healthy(jobs.events(v.spark, v.sf_dir)),
+    lambda v: jobs.healthy(jobs.fetches(jobs.events(v.spark, v.sf_dir))),
     """SELECT 'u' || (user_id % 50) AS source_id, count(*) FILTER (event_type = 'error' AND event_id > coalesce(ok, -1)) AS failures, count(*) FILTER (event_type <> 'error') AS total FROM
        (SELECT *, max(CASE WHEN event_type <> 'error' THEN event_id END) OVER (PARTITION BY user_id % 50) AS ok FROM events) GROUP BY user_id % 50""",
 )
@@ -323,4 +323,28 @@ add(
     lambda v: jobs.cohorts(jobs.events(v.spark, v.sf_dir)),
     "SELECT event_id AS id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS cohort FROM events WHERE event_type = 'purchase'",
 )
-add("due_buckets", "cadence string, due boolean", lambda v: v.spark.createDataFrame([(c,) for c in fx.CADENCES], "cadence string").withColumn("due", jobs.due(F.lit("2024-01-29 00:07:00").cast("timestamp_ntz"))), "SELECT * FROM (VALUES ('hourly', true), ('daily', true), ('weekly', true)) t(cadence, due)")
+
+_CADENCE_RUNS = """SELECT '{c}' AS cadence, 'u' || (user_id % 50) AS source_id, strftime(date_trunc('{p}', ts), '%Y-%m-%d %H:%M') AS began,
+       strftime(date_trunc('{p}', ts) + {l}, '%Y-%m-%d %H:%M') AS due_at, count(*) AS n, max(event_id) AS last_id FROM events WHERE user_id % 3 = {k} AND ts IS NOT NULL GROUP BY ALL"""
+add(
+    "cadence_runs",
+    "cadence string, source_id string, began string, due_at string, n long, last_id long",
+    lambda v: jobs.cadence_runs(jobs.fetches(jobs.events(v.spark, v.sf_dir))).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm") for c in ("began", "due_at")}),
+    " UNION ALL ".join(_CADENCE_RUNS.format(c=c, p=p, l=l, k=k) for k, (c, (p, l)) in enumerate(jobs.BUCKETS.items())),
+)
+
+
+def _due(v: Views) -> DataFrame:
+    """Which cadences are due in each hour that has events."""
+    hours = v.table("events").where("ts IS NOT NULL").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).distinct()
+    every = hours.withColumn("cadence", F.explode(F.array(*[F.lit(c) for c in fx.CADENCES])))
+    return every.select(F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), "cadence", jobs.due(F.col("hour") + F.expr("INTERVAL 7 MINUTES")).alias("due"))
+
+
+add(
+    "due_buckets",
+    "hour string, cadence string, due boolean",
+    _due,
+    """SELECT strftime(h, '%Y-%m-%d %H:%M') AS hour, cadence, CASE cadence WHEN 'hourly' THEN true WHEN 'daily' THEN hour(h) = 0 ELSE hour(h) = 0 AND isodow(h) = 1 END AS due
+       FROM (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events WHERE ts IS NOT NULL) CROSS JOIN (VALUES ('hourly'), ('daily'), ('weekly')) t(cadence)""",
+)

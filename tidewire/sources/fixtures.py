@@ -18,6 +18,8 @@ KINDS = ("rss", "atom", "x-api", "rsshub", "api")
 GROUPS = ("vendor-official", "media", "newsletter", "research", "social", "product", "podcast", "policy", "market")
 CADENCES = ("hourly", "daily", "weekly")
 LOCALES = ("en", "zh", "multi")
+#: when the item of a document was published
+PUBLISHED = f"({NOW_SQL} - make_interval(0, 0, 0, 0, CAST((doc_id * 37) % 720 AS INT), 0, 0))"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +61,7 @@ def items(spark: SparkSession, sf_dir: str, clustered: bool = True, embedded: bo
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id"), "quality")
     rows = docs.join(labels, docs.doc_id == labels.l_id, "left")
-    pub = f"({NOW_SQL} - make_interval(0, 0, 0, 0, CAST((doc_id * 37) % 720 AS INT), 0, 0))"
+    pub = PUBLISHED
     imp = "CASE WHEN doc_id % 17 = 0 THEN NULL ELSE CAST((doc_id * 31) % 101 AS INT) END"
     tier = f"CASE WHEN doc_id % 29 = 0 THEN NULL ELSE {tier_of(f'coalesce({imp}, 0)')} END"
     title = "left(substring_index(text, '\\n', 1), 120)"
