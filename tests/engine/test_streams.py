@@ -6,6 +6,7 @@ import math
 import pytest
 
 from tidewire.operators import digest
+from tidewire.sources.backfill import Paged
 from tidewire.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -93,3 +94,40 @@ def test_pool_of_a_window_is_replaced(spark, tmp_path):
     both = read(digest.written_pool(items(12), src, "2024-01-01 11:00:00", folder))
     assert both == {("2024-01-01-10", i) for i in range(8)} | {("2024-01-01-11", i) for i in range(11)}
     assert read(digest.written_pool(items(2), src, "2024-01-01 10:59:59", folder)) == {("2024-01-01-11", i) for i in range(11)}  # too few now
+
+
+def test_paged_backfill(spark, tmp_path):
+    """Pages by range, a hard cap, a window of dates; a run again reads nothing twice, and what was added comes next."""
+    spark.dataSource.register(Paged)
+    at = lambda i: None if i % 7 == 3 else T0 + dt.timedelta(hours=i)
+    schema = "n long, at timestamp_ntz, other string, `select` string"
+    src, out, progress = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "progress")
+    put = lambda ids: spark.createDataFrame([(i, at(i or 0), f"x{i}", None) for i in ids], schema).repartition(3).write.mode("append").parquet(src)
+    put([*range(5, 60), None, 12, 12])
+    options = {"path": src, "key": "n", "size": "10"}
+    ids = lambda df: sorted(r["n"] for r in df.collect())
+    full = spark.read.format("paged").options(**options).load()
+    assert ids(full) == sorted([*range(5, 60), 12, 12]) and full.rdd.getNumPartitions() == 6
+    assert full.where("n = 9").select("at", "other", "select").head() == (at(9), "x9", None)
+    window = {"at": "at", "since": "2024-01-01T10:00:00", "until": "2024-01-02"}
+    assert ids(spark.read.format("paged").options(**options, **window).load()) == sorted([i for i in range(5, 60) if i % 7 == 3 or 10 <= i <= 24] + [12, 12])
+    assert ids(spark.read.format("paged").options(**options, most="15").load()) == list(range(45, 60))
+    assert ids(spark.read.format("paged").options(**options, most="0").load()) == []
+    with pytest.raises(Exception, match="need the column"):
+        spark.read.format("paged").options(**options, since="2024-01-01").load().count()
+
+    def run():
+        stream = spark.readStream.format("paged").options(**options, most="15").load()
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+        return ids(spark.read.parquet(out))
+
+    assert run() == list(range(45, 60)) == run()
+    put(range(60, 93))
+    assert run() == list(range(45, 93)) == run()
+
+
+def test_paged_backfill_of_an_empty_table(spark, tmp_path):
+    spark.dataSource.register(Paged)
+    spark.createDataFrame([], "n long, at timestamp_ntz").write.parquet(str(tmp_path / "in"))
+    df = spark.read.format("paged").options(path=str(tmp_path / "in"), key="n").load()
+    assert df.columns == ["n", "at"] and df.count() == 0

@@ -12,9 +12,10 @@ from tidewire.functions.diffs import line_diff
 from tidewire.operators import detail, digest, feed, normalize, search, stats, vectors
 from tidewire.plans.base import DAY, add
 from tidewire.plans.views import NOW, Views
-from tidewire.sources import archive, feeds, sinks
+from tidewire.sources import archive, backfill, feeds, sinks
 from tidewire.sources import fixtures as fx
 from tidewire.sources.shared import shared_dir
+from tidewire.streaming import jobs
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 _AT = "(TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(n % 720 AS INT), 0, 0))"
@@ -107,6 +108,28 @@ add(
         UNION ALL SELECT doc_id, NULL, 'https://a.example/', '-', 'E' FROM documents WHERE doc_id % 2 = 0""",
 )
 
+WINDOW = ("2024-01-05", "2024-01-20T12:00:00")
+
+
+def _paged(v: Views) -> dict[str, str]:
+    v.spark.dataSource.register(backfill.Paged)
+    return {"path": f"{v.sf_dir}/events.parquet", "key": "event_id", "size": "5000", "at": "ts", "since": WINDOW[0], "until": WINDOW[1]}
+
+
+_IN_WINDOW = f"SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS taken, event_type, props FROM events WHERE event_id IS NOT NULL AND (ts IS NULL OR ts BETWEEN TIMESTAMP '{WINDOW[0]}' AND TIMESTAMP '{WINDOW[1]}')"
+add(
+    "paged_backfill",
+    "event_id long, taken string, event_type string, props string",
+    lambda v: v.spark.read.format("paged").options(**_paged(v)).load().withColumn("taken", F.date_format("ts", STAMP)),
+    _IN_WINDOW,
+)
+add(
+    "stream_backfill",
+    "event_id long, taken string, event_type string, props string",
+    lambda v: jobs.drain(v.spark.readStream.format("paged").options(**_paged(v)).load(), "append").withColumn("taken", F.date_format("ts", STAMP)),
+    _IN_WINDOW,
+)
+
 # -- normalising ------------------------------------------------------------------------------------------------------
 
 
