@@ -10,6 +10,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewire.functions.blocks import main_block
+
 _EDGE = r"^[\s ]+|[\s ]+$"
 
 
@@ -42,12 +44,15 @@ def strip_markup(html: str | Column) -> Column:
 
 
 def readable(html: str, fallback: Column | None = None) -> Column:
-    """title, body, author, excerpt of an article page: its <article>, else <main>, else <body>, without scripts, styles, navigation and
-    the like. A page without any text has an empty body, and the fallback title, or "(untitled)"."""
+    """title, body, author, excerpt of an article page: its <article>, else <main>, else its main block by text and link density (blocks.py), else
+    <body>, without scripts, styles, navigation and the like. A page without any text has an empty body, and the fallback title, or "(untitled)".
+
+    Only pages without <article> and <main> go through Python."""
     page = F.coalesce(F.col(html), F.lit(""))
     within = lambda tag: F.nullif(F.regexp_extract(page, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1), F.lit(""))
     meta = lambda name: F.nullif(trimmed(decode_entities(F.regexp_extract(page, rf"(?is)<meta[^>]+(?:name|property)=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)", 1))), F.lit(""))
-    inner = F.coalesce(within("article"), within("main"), within("body"), page)
+    marked = F.coalesce(within("article"), within("main"))
+    inner = F.coalesce(marked, F.nullif(main_block(F.when(marked.isNull(), page)), F.lit("")), within("body"), page)
     clean = inner
     for tag in ("script", "style", "nav", "header", "footer", "aside", "form", "noscript"):
         clean = F.regexp_replace(clean, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")

@@ -197,6 +197,15 @@ add(
 )
 
 
+def _unmarked(v: Views) -> DataFrame:
+    """The pages with their <article> as a plain <div>: what is read is the main block."""
+    pages = v.table("pages").select("page_id", F.regexp_replace("html", r"<(/?)(article|main)\b[^>]*>", "<$1div>").alias("html"))
+    return pages.select("page_id", content.readable("html").alias("r")).select("page_id", "r.title", "r.body", "r.excerpt")
+
+
+add("readable_blocks", "page_id long, title string, body string, excerpt string", _unmarked)
+
+
 def appended(v: Views) -> DataFrame:
     """The table after three inserts of overlapping rows, repeats within them included."""
     path = f"{shared_dir(v.spark)}/raw-{uuid.uuid4().hex}"
