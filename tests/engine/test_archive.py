@@ -1,12 +1,13 @@
 """Archive indexes, snapshot sampling, and streams that go on where they stopped."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from tidewire.operators import snapshots
 from tidewire.plans.registry import QUERIES
-from tidewire.sources import archive
+from tidewire.sources import archive, shared
 from tidewire.streaming import jobs
 
 
@@ -46,6 +47,25 @@ def test_sample_hot_source(spark):
     assert sorted(map(tuple, snapshots.sample(df, 0).collect()), key=str) == sorted(walk(rows, 0), key=str)
 
 
+def test_sample_random_walks(spark):
+    """Few digests and many, ties of time, dense and sparse times, times before 1970: always the walk."""
+    pick = random.Random(5)
+    for n, digests, span in ((400, 4, 900), (300, 60, 3000), (200, 25, 300)):
+        rows = [(pick.choice("ab"), dt.datetime(1969, 12, 20) + dt.timedelta(minutes=15 * pick.randrange(4 * span)), pick.choice([None, *map(str, range(digests))])) for _ in range(n)]
+        df = spark.createDataFrame(rows, "source string, ts timestamp_ntz, digest string")
+        assert sorted(map(tuple, snapshots.sample(df, 36).collect()), key=str) == sorted(walk(rows, 36), key=str)
+
+
+def test_sample_rounds(spark, monkeypatch):
+    """600 rows kept of a page that changes now and then: rounds follow the logarithm of the chain, not the rows kept."""
+    rounds = []
+    monkeypatch.setattr(snapshots, "stored", lambda df: rounds.append(1) or shared.stored(df))
+    rows = [("s", dt.datetime(2015, 1, 1) + dt.timedelta(hours=20 * i), f"d{i // 3}") for i in range(1800)]
+    got = snapshots.sample(spark.createDataFrame(rows, "source string, ts timestamp_ntz, digest string"), 24)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(walk(rows, 24), key=str) and got.count() == 600
+    assert len(rounds) < 60, len(rounds)
+
+
 def test_resume(spark, tmp_path):
     rows = lambda ids: spark.createDataFrame([(i % 3, dt.datetime(2024, 1, 1, i)) for i in ids], "user_id long, at timestamp")
     src, folder = str(tmp_path / "in"), "file://" + str(tmp_path / "job")

@@ -42,6 +42,16 @@ def test_strip_markup(spark, html, want):
     assert one(spark, content.strip_markup("t"), t=html) == want
 
 
+@pytest.mark.parametrize(
+    ("raw", "text", "attribute"),
+    [
+        ("AT&T &amp; co", "AT&T & co", "AT&T & co"), ("&check;&NotEqualTilde;&hearts;", "✓≂̸♥", "✓≂̸♥"), ("a&ltb &copy 1", "a<b © 1", "a&ltb © 1"), ("?a=1&copy=2&notit;", "?a=1©=2¬it;", "?a=1&copy=2&notit;"), ("&#128;&#xD800;&#65 &#x41;", "€�A A", "€�A A"), ("&", "&", "&"), ("", "", ""), (None, None, None),
+    ],
+)
+def test_references(spark, raw, text, attribute):
+    assert (one(spark, content.decode_entities(F.col("t")), t=raw), one(spark, content.decode_entities(F.col("t"), True), t=raw)) == (text, attribute)
+
+
 @pytest.mark.parametrize(
     ("payload", "want"),
     [('{"content:encoded":"<b>x</b>","content":"y"}', "<b>x</b>"), ('{"content:encoded":"","description":{"#text":"d"}}', "d"), ('{"content":{"other":1},"summary":"s"}', "s"), ("{}", ""), ("no json", ""), (None, "")],

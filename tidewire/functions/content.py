@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 from functools import reduce
-from html.entities import name2codepoint
+from html import unescape
+from html.entities import html5
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewire.functions.blocks import main_block
 
@@ -20,19 +24,31 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, _EDGE, "")
 
 
-def decode_entities(text: Column) -> Column:
-    """Character references as the characters: numeric ones, and the named ones of HTML 4; others stay as they are."""
-    names = F.create_map(*[F.lit(x) for n, c in sorted({**name2codepoint, "apos": 39}.items()) for x in (n, chr(c))])
+def decode_entities(text: Column, attribute: bool = False) -> Column:
+    """Character references as the characters, as a page's parser reads them: numeric ones, and the named ones of HTML 5, with or without
+    their ";" where HTML allows that; others stay as they are. In an attribute's value a name without ";" before "=", a letter or a digit
+    stays too. Numbers of no character become U+FFFD, those of control characters that HTML forbids go. Null stays null.
 
-    def piece(p: Column, i: Column) -> Column:
-        name = F.regexp_extract(p, r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z0-9]+);", 1)
-        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7))
-        number = digits.cast("int")
-        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        char = F.when(name.startswith("#"), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))).otherwise(F.try_element_at(names, name))
-        return F.when(i == 0, p).when((name != "") & char.isNotNull(), F.concat(char, F.substr(p, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), p))
+    Only texts with "&" go through Python."""
+    decoded = (_in_attribute if attribute else _in_text)(F.when(text.contains("&"), text))
+    return F.coalesce(decoded, text)
 
-    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), piece), "")).otherwise(text)
+
+@F.pandas_udf(StringType())
+def _in_text(texts: pd.Series) -> pd.Series:
+    return texts.map(unescape, na_action="ignore")
+
+
+_REFERENCE = re.compile(r"&(?:#[xX]?[0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*(?:;|(?![=A-Za-z0-9])))")
+
+
+@F.pandas_udf(StringType())
+def _in_attribute(texts: pd.Series) -> pd.Series:
+    def char(found: re.Match) -> str:
+        name = found[0]
+        return unescape(name) if name[1] == "#" else html5.get(name[1:], name)
+
+    return texts.map(lambda t: _REFERENCE.sub(char, t), na_action="ignore")
 
 
 def strip_markup(html: str | Column) -> Column:
@@ -50,7 +66,7 @@ def readable(html: str, fallback: Column | None = None) -> Column:
     Only pages without <article> and <main> go through Python."""
     page = F.coalesce(F.col(html), F.lit(""))
     within = lambda tag: F.nullif(F.regexp_extract(page, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1), F.lit(""))
-    meta = lambda name: F.nullif(trimmed(decode_entities(F.regexp_extract(page, rf"(?is)<meta[^>]+(?:name|property)=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)", 1))), F.lit(""))
+    meta = lambda name: F.nullif(trimmed(decode_entities(F.regexp_extract(page, rf"(?is)<meta[^>]+(?:name|property)=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)", 1), attribute=True)), F.lit(""))
     marked = F.coalesce(within("article"), within("main"))
     inner = F.coalesce(marked, F.nullif(main_block(F.when(marked.isNull(), page)), F.lit("")), within("body"), page)
     clean = inner

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder: what follows doesn't go back before them."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, for loops: a checkpoint hands on what Catalyst infers about its columns,
+    which grows from join to join until planning takes longer than the work; a table read again starts anew."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
