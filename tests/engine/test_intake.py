@@ -1,5 +1,9 @@
 """Parsers, normalising and writing: what the registered queries don't reach."""
 
+import random
+from html import unescape
+from html.entities import html5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +56,21 @@ def test_references(spark, raw, text, attribute):
     assert (one(spark, content.decode_entities(F.col("t")), t=raw), one(spark, content.decode_entities(F.col("t"), True), t=raw)) == (text, attribute)
 
 
+@pytest.mark.parametrize(("html", "want"), [("<title>a&amp</title><p>p{}</p>", "a&ampp{}"), ("<i>a&am</i>p{}", "a&amp{}"), ("<b>a &amp; &copy 1 &#65 &#65;</b>", "a & &copy 1 &#65 A")])
+def test_references_at_a_tag(spark, html, want):
+    """A reference cut off by a tag doesn't take the letters behind the tag for its name."""
+    assert one(spark, content.strip_markup("t"), t=html) == want
+
+
+def test_references_as_the_standard_library(spark):
+    rng = random.Random(1)
+    names = sorted(html5)
+    texts = ["&" + n for n in names] + [f"&{n}z=1" for n in names] + [f"&#{n};&#x{n:x}" for n in (*range(0x120), 0xD800, 0xFDD0, 0xFEFF, 0xFFFE, 0x10FFFF, 0x110000, 10**30)]
+    texts += ["".join(rng.choice([f"&{rng.choice(names)}", "&", "#", "x", ";", "=", "é", "\n", "not", "&#", "&#0065", "&;"]) for _ in range(6)) for _ in range(2000)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8).select("t", content.decode_entities(F.col("t")).alias("d")).collect()
+    assert [r["t"] for r in got if r["d"] != unescape(r["t"])] == []
+
+
 @pytest.mark.parametrize(
     ("payload", "want"),
     [('{"content:encoded":"<b>x</b>","content":"y"}', "<b>x</b>"), ('{"content:encoded":"","description":{"#text":"d"}}', "d"), ('{"content":{"other":1},"summary":"s"}', "s"), ("{}", ""), ("no json", ""), (None, "")],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,11 @@ TRACKING_PATTERN = r"^(utm_[^=]*|" + "|".join(TRACKING) + r")(=.*)?$"
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\s]+)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value computed once for each row: Spark repeats an expression wherever it stands in a CASE. No Python functions within `of`."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def canonical_url(url: str) -> Column:
     """Scheme and host in lower case, no fragment, no tracking parameters, no slash behind a bare host; what is no URL is trimmed."""
     text = F.trim(F.col(url))
