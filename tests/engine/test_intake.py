@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import content
 from tidewire.operators import detail, normalize
+from tidewire.plans.registry import QUERIES
 from tidewire.sources import feeds, shared, sinks
 
 
@@ -71,6 +72,12 @@ def test_references_as_the_standard_library(spark):
     assert [r["t"] for r in got if r["d"] != unescape(r["t"])] == []
 
 
+def test_normalize_computes_the_hash_twice_at_most(spark, sf_dir):
+    """Once where hashes are counted, once where rows get their outcome; and no text goes through Python."""
+    plan = QUERIES["normalize_outcomes"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 2 and "EvalPython" not in plan
+
+
 @pytest.mark.parametrize(
     ("payload", "want"),
     [('{"content:encoded":"<b>x</b>","content":"y"}', "<b>x</b>"), ('{"content:encoded":"","description":{"#text":"d"}}', "d"), ('{"content":{"other":1},"summary":"s"}', "s"), ("{}", ""), ("no json", ""), (None, "")],

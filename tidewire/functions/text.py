@@ -21,12 +21,16 @@ def let(value: Column, of: Callable[[Column], Column]) -> Column:
 
 def canonical_url(url: str) -> Column:
     """Scheme and host in lower case, no fragment, no tracking parameters, no slash behind a bare host; what is no URL is trimmed."""
-    text = F.trim(F.col(url))
-    take = lambda k: F.regexp_extract(text, _URL, k)
-    kept = F.array_join(F.filter(F.split(F.substring(take(4), 2, 1 << 20), "&"), lambda p: (p != "") & ~F.lower(p).rlike(TRACKING_PATTERN)), "&")
-    query = F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept))
-    path = F.when((take(3) == "") & (query != ""), "/").when((take(3) == "/") & (query == ""), "").otherwise(take(3))
-    return F.when(text.rlike(_URL), F.concat(F.lower(take(1)), F.lit("://"), F.lower(take(2)), path, query)).otherwise(text)
+
+    def of(text: Column) -> Column:
+        take = lambda k: F.regexp_extract(text, _URL, k)
+        kept = F.array_join(F.filter(F.split(F.substring(take(4), 2, 1 << 20), "&"), lambda p: (p != "") & ~F.lower(p).rlike(TRACKING_PATTERN)), "&")
+        query = let(kept, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+        path = lambda p, q: F.when((p == "") & (q != ""), "/").when((p == "/") & (q == ""), "").otherwise(p)
+        behind = let(query, lambda q: F.concat(let(take(3), lambda p: path(p, q)), q))
+        return F.when(text.rlike(_URL), F.concat(F.lower(take(1)), F.lit("://"), F.lower(take(2)), behind)).otherwise(text)
+
+    return let(F.trim(F.col(url)), of)
 
 
 def strip_html(html: str) -> Column:

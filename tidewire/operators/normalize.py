@@ -22,7 +22,8 @@ def normalize(raw: DataFrame, now: str, known: DataFrame | None = None) -> DataF
         strip_markup(payload_body("payload")).alias("body"), F.coalesce("published_at", F.lit(now).cast("timestamp_ntz")).alias("published_at"),
     ).withColumn("canonical_url", F.when(F.col("url") != "", canonical_url("url")))
     rows = rows.withColumn("content_hash", F.when(F.col("url") != "", content_hash(F.concat("canonical_url", F.lit("\n\n"), "title"), F.col("body"))))
-    first = rows.where("content_hash IS NOT NULL").groupBy(F.col("content_hash").alias("h")).agg(F.min("id").alias("first_id"))
+    # rows without a hash are known by their address, and the key can't be null: tests of the hash would be pushed down and compute it once more
+    first = rows.where("url <> ''").groupBy(F.coalesce("content_hash", F.lit("")).alias("h")).agg(F.min("id").alias("first_id"))
     if known is not None:
         old = known.select(F.col("content_hash").alias("h")).distinct().withColumn("old", F.lit(True))
         first = first.join(old, "h", "left")
