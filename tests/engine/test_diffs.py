@@ -1,12 +1,14 @@
 """Line diffs against a table of common subsequences; addresses against the standard library's networks."""
 
 import ipaddress
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewire.functions import content, diffs
+from tidewire.functions import batches, content, diffs
 
 LINES = st.lists(st.sampled_from("abcd"), max_size=12)
 
@@ -54,6 +56,25 @@ def test_column(spark):
     assert got == [[("context", "a"), ("remove", "b"), ("context", "c"), ("add", "d")], [("remove", ""), ("add", "x")], [], []]
 
 
+def test_column_with_gaps(spark):
+    x, y = [str(i) for i in range(30)], [str(i) for i in range(30) if i not in (4, 20)] + ["é"]
+    got = spark.createDataFrame([("\n".join(x), "\n".join(y))], "x string, y string").select(diffs.line_diff("x", "y", 2)).first()[0]
+    assert [(r["kind"], r["content"]) for r in got] == [(r["kind"], r["content"]) for r in diffs.changes(x, y, 2)]
+    assert sum(r["kind"] == "meta" for r in got) == 2
+
+
+def test_memory_follows_a_few_rows():
+    """4,000 pairs of texts of 40 lines: a number a line is kept, not a dictionary with a copy of the line (over 30 MB)."""
+    texts = pa.array(["\n".join(f"a line {k} of text {i}" for k in range(40)) for i in range(4000)])
+    other = pa.array(["\n".join(f"a line {k} of text {i}" for k in range(1, 41)) for i in range(4000)])
+    tracemalloc.start()
+    got = batches.by_few(lambda p, q: diffs.coded(p.split("\n"), q.split("\n"), None), pa.list_(pa.int32()), texts, other)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 4000 and len(got[0]) == 41 and peak < 3_000_000
+    assert batches.by_few(len, pa.int32(), texts[:0]).to_pylist() == []
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     addresses = ["0:0:0:0:0:0:0:1", "::ffff:7f00:1", "::ffff:0:8.8.8.8", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8", "fe80:0:0::1", "::", ":::", "64:ff9b::10.0.0.1", "::10.0.0.1", "1.2.3", "01.2.3.4", "fc00::", "fbff::1", "febf:ffff::", "fec0::", "g::1", "12345::", "1::", "::1:2:3:4:5:6:7", "::1:2:3:4:5:6:7:8"]
