@@ -269,27 +269,43 @@ def indexed(items: DataFrame, centres: np.ndarray) -> DataFrame:
     return with_cells(items, "embedding", centres, 1, "_cells").withColumn("cell", F.explode("_cells")).drop("_cells")
 
 
-def in_cells(stored: DataFrame, asked: DataFrame, k: int, cosine: bool, hours: int | None = None, block: int = 1024) -> DataFrame:
+AT_ONCE = 1 << 20  # distances of a part's rows and some of its askers: 8 MB of doubles
+
+
+def in_cells(stored: DataFrame, asked: DataFrame, k: int, cosine: bool, hours: int | None = None, block: int = 65_536, groups: int = 8) -> DataFrame:
     """(q_id, id, distance, rank): the `k` rows of `stored` (id, at, embedding, cell) nearest to each of `asked` (q_id, at, vector, cells) among
     those of its cells, and with `hours` among those at most so many hours away; a row isn't compared with an asker of its own id then.
 
-    Rows are shuffled once by time bucket, cell and, where a cell of a bucket holds more than `block` rows, by a hash in it; an asker once for each such
-    part of its cells. A part's rows are held, its askers stream by, and their local best are shuffled: rows times cells asked, never rows times rows."""
+    The cells of a time bucket are dealt over `groups` groups. Rows are shuffled once by bucket, group and, where a group of a bucket holds more than
+    `block` rows, by a hash in it; an asker once for each such part of its cells' groups, with the cells that it asks there. A part's rows are held, its
+    askers stream by, and their local best are shuffled: rows times groups, never rows times cells or rows times rows.
+    Vectors of floats are shuffled as they are and compared as doubles."""
     width = None if hours is None else hours * 3600 * 1_000_000
     bucket = F.lit(0).cast("long") if width is None else F.floor(F.col("at") / width)
-    stored = stored.where("embedding IS NOT NULL").select("id", "at", "embedding", "cell", bucket.alias("b"))
-    sizes = stored.groupBy("b", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
+    group = lambda cell: F.pmod(cell.cast("int"), F.lit(groups))
+    stored = stored.where("embedding IS NOT NULL").select("id", "at", "embedding", F.array(F.col("cell").cast("int")).alias("cells"), group(F.col("cell")).alias("g"), bucket.alias("b"))
+    sizes = stored.groupBy("b", "g").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
     near = F.array(bucket) if width is None else F.array(bucket - 1, bucket, bucket + 1)
-    asks = asked.where("vector IS NOT NULL").select("q_id", "at", "vector", F.explode("cells").alias("cell"), near.alias("bs"))
-    asks = asks.select("q_id", "at", "vector", "cell", F.explode("bs").alias("b")).join(sizes, ["b", "cell"]).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    held = stored.join(sizes, ["b", "cell"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    vector = lambda c: F.col(c).cast("array<double>").alias("v")
-    rows = held.select("b", "cell", "p", F.lit(0).alias("side"), "id", "at", vector("embedding")).unionByName(asks.select("b", "cell", "p", F.lit(1).alias("side"), F.col("q_id").alias("id"), "at", vector("vector")))
-    key = ["b", "cell", "p"]
+    asks = asked.where("vector IS NOT NULL").select("q_id", "at", "vector", F.col("cells").cast("array<int>").alias("cells"), near.alias("bs"), F.explode(F.array_distinct(F.transform("cells", group))).alias("g"))
+    asks = asks.select("q_id", "at", "vector", "g", F.filter("cells", lambda c: group(c) == F.col("g")).alias("cells"), F.explode("bs").alias("b"))
+    asks = asks.join(sizes, ["b", "g"]).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    held = stored.join(sizes, ["b", "g"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    floats = all(t == T.ArrayType(T.FloatType(), t.containsNull) for t in (stored.schema["embedding"].dataType, asked.schema["vector"].dataType))
+    vector = lambda c: F.col(c).cast("array<float>" if floats else "array<double>").alias("v")
+    rows = held.select("b", "g", "p", F.lit(0).alias("side"), "id", "at", vector("embedding"), "cells").unionByName(asks.select("b", "g", "p", F.lit(1).alias("side"), F.col("q_id").alias("id"), "at", vector("vector"), "cells"))
+    key = ["b", "g", "p"]
     dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, "side")
     out = "q_id long, id long, distance double"
     arrow = to_arrow_schema(T.StructType.fromDDL(out))
 
+    def place(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Ids, times and vectors of a part's rows by cell, and each cell with its first row and the row after its last."""
+        t = pa.Table.from_batches(parts)
+        cell = t["cells"].combine_chunks().flatten().to_numpy()
+        order = np.argsort(cell, kind="stable")
+        known, first = np.unique(cell[order], return_index=True)
+        return t["id"].to_numpy()[order], t["at"].to_numpy()[order], (_matrix if cosine else _rows)(t["v"])[order], list(zip(known.tolist(), first.tolist(), [*first[1:].tolist(), len(cell)], strict=True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, parts, last = None, [], None
         for batch in batches:
@@ -308,13 +324,18 @@ def in_cells(stored: DataFrame, asked: DataFrame, k: int, cosine: bool, hours: i
                 if at != last:
                     continue  # askers of a part without rows
                 if own is None:
-                    t = pa.Table.from_batches(parts)
-                    own = t["id"].to_numpy(), t["at"].to_numpy(), (_matrix if cosine else _rows)(t["v"])
-                ids, times, x = own
-                for s in range(0, some.num_rows, 1024):
-                    part = some.slice(s, 1024)
+                    own, parts = place(parts), []
+                ids, times, x, cells = own
+                few = max(1, AT_ONCE // len(ids))
+                for s in range(0, some.num_rows, few):
+                    part = some.slice(s, few)
                     q, when, y = part.column(4).to_numpy(), part.column(5).to_numpy(), (_matrix if cosine else _rows)(part.column(6))
-                    d = np.round((1.0 if cosine else 0.0) - _product(y, x), 6)
+                    asking, wanted = np.repeat(np.arange(len(q)), part.column(7).value_lengths().to_numpy()), part.column(7).flatten().to_numpy()
+                    d = np.full((len(q), len(ids)), np.inf)
+                    for cell, first, end in cells:
+                        r = asking[wanted == cell]
+                        if len(r):
+                            d[r, first:end] = np.round((1.0 if cosine else 0.0) - _product(y[r], x[first:end]), 6)
                     if width is not None:
                         d = np.where((np.abs(when[:, None] - times[None, :]) <= width) & (q[:, None] != ids[None, :]), d, np.inf)
                     kth = min(k, len(ids)) - 1
@@ -368,7 +389,7 @@ def nearest_of(rows: DataFrame, some: DataFrame, hours: int, k: int) -> DataFram
     """(q_id, id): exactly the `k` nearest of `rows` within `hours` for each of `some` (id, at, embedding), a bounded number of them: one scan."""
     one = F.lit(0)
     held = some.select("id", "at", "embedding", one.alias("cell"))
-    return in_cells(rows.select("id", "at", "embedding", one.alias("cell")), held.select(F.col("id").alias("q_id"), "at", F.col("embedding").alias("vector"), F.array("cell").alias("cells")), k, cosine=True, hours=hours)
+    return in_cells(rows.select("id", "at", "embedding", one.alias("cell")), held.select(F.col("id").alias("q_id"), "at", F.col("embedding").alias("vector"), F.array("cell").alias("cells")), k, cosine=True, hours=hours, block=8192)
 
 
 def neighbours_in_cells(items: DataFrame, hours: int, k: int, recall: float = 0.95, cells: int = 64, tuning: int = 256, apart: str = "true") -> DataFrame:
