@@ -172,6 +172,23 @@ def test_bpe_long_words(tok):
     assert len(own.encode("".join(r.choice(letters, 1_000_000)))) > 100_000  # in seconds, not hours
 
 
+def test_bpe_words_side_by_side(tok, monkeypatch):
+    r = random.Random(4)
+    names = ["".join(r.choice("aeiounrstlhdé") for _ in range(r.randint(1, 12))) for _ in range(6000)]
+    texts = [" ".join(r.choice((w, w.title(), w + ".", w + "'s", f"{w},{w}")) for w in names[k : k + 400]) for k in range(0, 6000, 300)]
+    texts += ["", None, "Σίσυφος ΣΑΣ <|endoftext|> e\u0301t\t\u0301x " + "Σ" * 70, "\n \n", "\u0378a b\u0378", *texts[:3]]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    one_by_one, scan = [], bpe.Bpe.word
+    monkeypatch.setattr(bpe.Bpe, "word", lambda self, w: one_by_one.append(w) or scan(self, w))
+    assert [x.tolist() for x in bpe.Bpe(PATH).encode_all(texts)] == want
+    assert len(one_by_one) < 100  # of 6,000
+    for cached, stretches in ((40, 1 << 16), (1000, 50), (100_000, 1000)):  # stores that are emptied, texts in parts
+        monkeypatch.setattr(bpe, "STRETCHES", stretches)
+        own = bpe.Bpe(PATH, cached)
+        assert [x.tolist() for x in own.encode_all(texts)] == want and list(own.encode_all([])) == []
+        assert own.decode(want[0]) == tok.decode(want[0], skip_special_tokens=False) and own.decode([*want[0], 1 << 20]) == own.decode(want[0])
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 32), st.lists(st.integers(0, (1 << 32) - 1), max_size=300))
 def test_pack(bits, ids):
