@@ -51,6 +51,16 @@ def test_repeats_crowd(spark):
         assert key(got) == key((x[0], *w) for x, w in zip(rows, force_repeats([t.encode() for _, t in rows], 120), strict=True))
 
 
+def test_repeats_length(spark):
+    """The contract's 400 bytes are the least that goes: passages of 51 words may be shorter, and stay."""
+    r = random.Random(6)
+    passages = [" ".join("".join(r.choices("abcdefgh", k=k)) for k in sizes) for sizes in ([5] * 51, [7] * 50, [7] * 50 + [0])]
+    assert [len(p) for p in passages] == [305, 399, 400]
+    rows = [(i, "".join(r.choices("klmnop", k=300)) + "qr"[i % 2] + passages[i // 2] + "st"[i % 2] + "".join(r.choices("klmnop", k=300))) for i in range(6)]
+    got = {x["doc_id"]: [(s["a"], s["b"]) for s in x["removed"]] for x in repeats.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [], 4: [(301, 701)], 5: [(301, 701)]}
+
+
 def force_links(rows, threshold=0.8, n=5):
     sets = []
     for _, t in rows:
