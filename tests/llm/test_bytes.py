@@ -61,6 +61,61 @@ def test_repeats_length(spark):
     assert got == {0: [], 1: [], 2: [], 3: [], 4: [(301, 701)], 5: [(301, 701)]}
 
 
+def force_passages(texts, n):
+    """Words inside strings of n words that another row has too, and their runs."""
+    split = [(t or "").encode().split() for t in texts]
+    where = {}
+    for k, w in enumerate(split):
+        for i in range(len(w) - n + 1):
+            where.setdefault(tuple(w[i : i + n]), set()).add(k)
+    out = []
+    for w in split:
+        hit = np.zeros(len(w) + 1, dtype=bool)
+        for i in range(len(w) - n + 1):
+            if len(where[tuple(w[i : i + n])]) > 1:
+                hit[i : i + n] = True
+        out.append((int(hit.sum()), int((np.diff(np.concatenate([[0], hit.astype(np.int8)])) == 1).sum())))
+    return out
+
+
+@pytest.mark.parametrize(("n", "gram", "crowd"), [(50, 16, 4096), (12, 4, 4096), (12, 4, 1)])
+def test_passages(spark, odd, none, n, gram, crowd):
+    got = repeats.remove(odd, passage=n, word_gram=gram, word_crowd=crowd)
+    plain = repeats.remove(odd)
+    assert key(got.select(plain.columns).collect()) == key(plain.collect())
+    want = force_passages([r[1] for r in cases()], n)
+    assert key(got.select("doc_id", "n_bytes", "n_shared_words", "n_passages").collect()) == key((r[0], len((r[1] or "").encode()), *w) for r, w in zip(cases(), want, strict=True))
+    assert repeats.remove(none, passage=n, word_gram=gram, word_crowd=crowd).count() == 0
+
+
+def test_passages_crowd(spark):
+    """One gram of words in many different surroundings, passages cut at every word, and repeats within one text alone, which don't count."""
+    r = random.Random(4)
+    hub = " ".join(prose(1, 9).split())
+    base = prose(2, 200).split()
+    rows = [(i, prose(100 + i, 20) + " " + hub + " " + (prose(500 + i % 3, 40) if i % 2 else "")) for i in range(60)]
+    rows += [(100 + i, "\t\n".join(base[(s := r.randrange(100)) : s + r.randrange(5, 90)])) for i in range(40)]
+    rows += [(200, (prose(77, 30) + "\n") * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = force_passages([t for _, t in rows], 14)
+    assert want[-1] == (0, 0)
+    for crowd in (4096, 5):
+        got = repeats.remove(docs, passage=14, word_gram=5, word_crowd=crowd).select("doc_id", "n_shared_words", "n_passages").collect()
+        assert key(got) == key((x[0], *w) for x, w in zip(rows, want, strict=True))
+
+
+def test_passages_query(spark, tmp_path):
+    """op8 tells passages of 51 words that two documents have, whatever bytes they have; of less than 400 bytes none is removed."""
+    from tidewire.llm.queries import QUERIES
+
+    r = random.Random(6)
+    passages = [" ".join("".join(r.choices("abcdefgh", k=k)) for _ in range(n)) for n, k in ((51, 3), (51, 5), (49, 5))]
+    rows = [(i, " ".join("".join(r.choices("klmnop", k=6)) for _ in range(60)) + " " + passages[i // 2] + "\n" + "".join(r.choices("klmnop", k=300))) for i in range(6)] + [(6, "".join(r.choices("abc ", k=900)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: (x["n_removed"], x["n_shared_words"], x["n_passages"]) for x in QUERIES["op8_suffix_repeats"](spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 51, 1), 1: (0, 51, 1), 2: (0, 51, 1), 3: (0, 51, 1), 4: (0, 0, 0), 5: (0, 0, 0), 6: (0, 0, 0)}
+
+
 def force_links(rows, threshold=0.8, n=5):
     sets = []
     for _, t in rows:

@@ -46,7 +46,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove(table(spark, sf_dir, "documents"))
+    return repeats.remove(table(spark, sf_dir, "documents"), passage=50)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,16 +17,20 @@ overlapping repeats within one text count; extra columns are ignored; an empty t
 Scale: one row of about 50 bytes for about every `(depth - gram) / 2` bytes of text is shuffled twice; texts are shuffled
 once, with the spans. No group is gathered: equal runs are counted map-side first, and crowds go by blocks of
 windows, a few rows for each kind.
+
+Passages: the same two digits over words instead of bytes (white space aside) find strings of `passage` words that another
+document has too, whatever bytes they have. They are counted, not removed. Only runs whose gram another text has go on from
+the first shuffle, by gram; words are compared by 64 bits of hash.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keyed, mapped, same_row, staged
@@ -68,6 +72,25 @@ class Prefix:
         return _mix((self.sums[k][end] - self.sums[k][start]) * _power(inverse, len(self.sums[k]))[start])
 
 
+_BLANK = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+_EDGE = np.ones(1, dtype=np.int8)
+
+
+class Words(Prefix):
+    """The same of any stretch of the words of some bytes, which ASCII white space parts."""
+
+    def __init__(self, data: bytes):
+        flat = np.frombuffer(data, dtype=np.uint8)
+        turn = np.diff(np.concatenate([_EDGE, _BLANK[flat].view(np.int8), _EDGE]))
+        start, end = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_CHARS[0][flat] * _power(_P, len(flat))[: len(flat)], dtype=np.uint64)])
+        inverse = np.uint64(pow(int(_P), -1, 1 << 64))
+        word = _mix((sums[end] - sums[start]) * _power(inverse, len(flat))[start])
+        self.n, self.sums = len(word), []
+        for base in (_P, _Q):
+            self.sums.append(np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(word * _power(base, len(word))[: len(word)], dtype=np.uint64)]))
+
+
 def _least(h: np.ndarray, span: int) -> np.ndarray:
     """Minimum of each `span` neighbours."""
     n = len(h) - span + 1
@@ -80,11 +103,16 @@ def _least(h: np.ndarray, span: int) -> np.ndarray:
 
 def runs(data: bytes, depth: int, gram: int) -> tuple[np.ndarray, ...] | None:
     """Runs of windows with one least gram: start, count, offset of the gram in the first, the gram's hash, digit 2 (two halves)."""
-    n = len(data)
-    if n < depth:
-        return None
-    flat = np.frombuffer(data, dtype=np.uint8)
-    prefix = Prefix(flat)
+    return _runs(Prefix(np.frombuffer(data, dtype=np.uint8)), len(data), depth, gram) if len(data) >= depth else None
+
+
+def word_runs(data: bytes, depth: int, gram: int) -> tuple[np.ndarray, ...] | None:
+    """The same of words: windows of `depth` words, grams of `gram` words."""
+    words = Words(data)
+    return _runs(words, words.n, depth, gram) if words.n >= depth else None
+
+
+def _runs(prefix: Prefix, n: int, depth: int, gram: int) -> tuple[np.ndarray, ...]:
     at = np.arange(n - gram + 1)
     grams = prefix.of(at, at + gram, 0)
     bits = max(1, int(n).bit_length())
@@ -103,12 +131,12 @@ def runs(data: bytes, depth: int, gram: int) -> tuple[np.ndarray, ...] | None:
 RUNS = "doc_id long, th long, start int, n int, gram long, d1 long, d2 long"
 
 
-def _list_runs(docs: DataFrame, depth: int, gram: int) -> DataFrame:
+def _list_runs(docs: DataFrame, depth: int, gram: int, of: Callable[[bytes, int, int], tuple[np.ndarray, ...] | None] = runs) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             parts = []
             for i, t, th in zip(pdf["doc_id"], pdf["text"], pdf["th"], strict=True):
-                got = runs(t.encode(), depth, gram) if t else None
+                got = of(t.encode(), depth, gram) if t else None
                 if got is not None:
                     parts.append((len(got[0]), i, th, got))
             if parts:
@@ -120,20 +148,30 @@ def _list_runs(docs: DataFrame, depth: int, gram: int) -> DataFrame:
     return mapped(docs, run, RUNS, "text")
 
 
-def _cut(docs: DataFrame, kinds: DataFrame, depth: int) -> DataFrame:
-    """The bytes that one run of each kind covers: (gram, d1, d2, crowd, bytes)."""
-    asked = kinds.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "d1", "d2", "many", "start", "n")).alias("asked"))
+ASKED = ("gram", "d1", "d2", "many", "start", "n", "lo", "hi")
+
+
+def _cut(docs: DataFrame, kinds: DataFrame, depth: int, passage: int | None = None) -> DataFrame:
+    """The bytes that one run of each kind covers: (gram, d1, d2, many, lo, hi, words, bytes); of runs of words the hashes of their windows."""
+    asked = kinds.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*ASKED, "words")).alias("asked"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for t, asked in zip(pdf["text"], pdf["asked"], strict=True):
                 flat = t.encode()
-                rows += [(a["gram"], a["d1"], a["d2"], a["many"], flat[a["start"] : a["start"] + a["n"] - 1 + depth]) for a in asked]
-            yield pd.DataFrame(rows, columns=["gram", "d1", "d2", "many", "bytes"])
+                words = Words(flat) if any(a["words"] for a in asked) else None
+                for a in asked:
+                    if a["words"]:
+                        at = np.arange(a["start"], a["start"] + a["n"])
+                        data = words.of(at, at + passage, 1).tobytes()
+                    else:
+                        data = flat[a["start"] : a["start"] + a["n"] - 1 + depth]
+                    rows.append((a["gram"], a["d1"], a["d2"], a["many"], a["lo"], a["hi"], a["words"], data))
+            yield pd.DataFrame(rows, columns=["gram", "d1", "d2", "many", "lo", "hi", "words", "bytes"])
 
     # a text is asked for about as many runs as it has: bounded by the text
-    return mapped(docs.join(asked, same_row(docs, asked)).select(docs["text"], "asked"), run, "gram long, d1 long, d2 long, many boolean, bytes binary", "text")
+    return mapped(docs.join(asked, same_row(docs, asked)).select(docs["text"], "asked"), run, "gram long, d1 long, d2 long, many boolean, lo long, hi long, words boolean, bytes binary", "text")
 
 
 def _quarters(data: bytes, depth: int) -> np.ndarray:
@@ -263,52 +301,164 @@ def _across(kinds: DataFrame, depth: int, gram: int) -> DataFrame:
     return spans.groupBy(*key).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def find(docs: DataFrame, depth: int = 400, gram: int = 128, crowd: int = 256) -> DataFrame:
-    """(doc_id, th, spans) of the rows with repeated windows: spans are byte ranges [a, b) covered by them, may touch."""
-    own = keyed(docs)
+WORD_KIND = "gram long, d1 long, spans array<struct<a:int,b:int>>"
+
+
+def _words_within(kinds: DataFrame) -> DataFrame:
+    """Windows of words that another text has, of the kinds of one gram, for grams with few kinds: [a, b) of window numbers."""
+
+    def solve(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        size = [len(r[4]) // 8 for r in rows]
+        gram, lo, hi = (np.repeat(np.array([r[k] for r in rows], dtype=np.int64), size) for k in (0, 2, 3))
+        window = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.int64)
+        order = np.lexsort([window, gram])
+        gram, window = gram[order], window[order]
+        fresh = np.concatenate([[True], (gram[1:] != gram[:-1]) | (window[1:] != window[:-1])])
+        first = np.flatnonzero(fresh)
+        shared = np.zeros(len(order), dtype=bool)
+        shared[order] = (np.minimum.reduceat(lo[order], first) != np.maximum.reduceat(hi[order], first))[np.cumsum(fresh) - 1]
+        out = [(r[0], r[1], _intervals(f)) for r, f in zip(rows, np.split(shared, np.cumsum(size)[:-1]), strict=True) if f.any()]
+        if out:
+            yield pd.DataFrame(out, columns=["gram", "d1", "spans"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for pdf in frames:
+            for r in zip(pdf["gram"], pdf["d1"], pdf["lo"], pdf["hi"], pdf["bytes"], strict=True):
+                if len(held) > 2000 and held[-1][0] != r[0]:
+                    yield from solve(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield from solve(held)
+
+    n = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kinds.repartition(n, "gram").sortWithinPartitions("gram").mapInPandas(run, WORD_KIND)
+
+
+def _words_across(kinds: DataFrame) -> DataFrame:
+    """The same for grams with many kinds: windows are rows, counted map-side first."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            size = pdf["bytes"].map(len).to_numpy() // 8
+            if len(pdf):
+                rows = pdf[["gram", "d1", "lo", "hi"]].loc[pdf.index.repeat(size)]
+                yield rows.assign(j=np.concatenate([np.arange(k) for k in size]), w=np.frombuffer(b"".join(pdf["bytes"]), dtype=np.int64))
+
+    rows = staged(kinds.select("gram", "d1", "lo", "hi", "bytes").mapInPandas(run, "gram long, d1 long, lo long, hi long, j int, w long"), "windows")
+    shared = rows.groupBy("gram", "w").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("gram", "w")
+    # a kind has at most passage - gram + 1 windows: the lists are bounded
+    return rows.join(shared, ["gram", "w"]).groupBy("gram", "d1").agg(F.collect_list(F.struct(F.col("j").alias("a"), (F.col("j") + 1).alias("b"))).alias("spans"))
+
+
+def _placed(listed: DataFrame, found: DataFrame, key: list[str], depth: int) -> DataFrame:
+    """(doc_id, th, spans) of the runs whose kind is found, spans counted from the text's start."""
+    hit = listed.join(found, key).select("doc_id", "th", F.transform("spans", lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"] - 1 + depth).alias("b"))).alias("spans"))
+    # spans of one document: at most a few for every run of it
+    return hit.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def _word_kinds(own: DataFrame, passage: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Runs of words whose gram another text has, and their kinds with the least and the greatest th and the number in the gram."""
+    of = Window.partitionBy("gram")
+    listed = _list_runs(own, passage, gram, word_runs).drop("d2").withColumn("lo", F.min("th").over(of)).withColumn("hi", F.max("th").over(of))
+    listed = staged(listed.filter("lo != hi").drop("lo", "hi"), "word-runs")
+    kinds = listed.groupBy("gram", "d1").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.min(F.struct("doc_id", "th", "start", "n")).alias("one"))
+    kinds = kinds.withColumn("kinds", F.count("*").over(of))
+    return listed, staged(kinds.select("gram", "d1", F.lit(0).cast("long").alias("d2"), "lo", "hi", "one.*", "kinds", (F.col("kinds") > crowd).alias("many")), "word-kinds")
+
+
+def _found(own: DataFrame, depth: int, gram: int, crowd: int, passage: int | None = None, word_gram: int = 16, word_crowd: int = 4096) -> tuple[DataFrame, DataFrame | None]:
+    """find(), and (doc_id, th, passages, copied) where `passage` is given: texts are shuffled once for both."""
+    if passage:
+        word_listed, word_kinds = _word_kinds(own, passage, word_gram, word_crowd)
     listed = staged(_list_runs(own, depth, gram), "runs")
     kinds = listed.groupBy("gram", "d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "start")).alias("one"), F.max("n").alias("n"))
     kinds = staged(kinds, "kinds")
     grams = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("gram").alias("g"), (F.col("kinds") > crowd).alias("many"))
-    mixed = kinds.join(grams, F.col("gram") == F.col("g")).select("gram", "d1", "d2", "many", "one.*", "n")
-    cut = staged(_cut(own, mixed, depth), "cuts")
+    none = F.lit(0).cast("long")
+    mixed = kinds.join(grams, F.col("gram") == F.col("g")).select("gram", "d1", "d2", "many", "one.*", "n", none.alias("lo"), none.alias("hi"), F.lit(False).alias("words"))
+    if passage:
+        mixed = mixed.unionByName(word_kinds.filter("kinds > 1").drop("kinds").withColumn("words", F.lit(True)))
+    cut = staged(_cut(own, mixed, depth, passage), "cuts")
+    passages = None
+    if passage:
+        one = word_kinds.filter("lo != hi").select("gram", "d1", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("spans"))
+        parts = cut.filter("words")
+        shared = one.unionByName(_words_within(parts.filter("NOT many"))).unionByName(_words_across(parts.filter("many")))
+        placed = _placed(word_listed, shared, ["gram", "d1"], passage).select("doc_id", "th", "spans", F.lit(False).alias("copied"))
+        # texts that stand in more than one row are passages of each other whole
+        copies = own.select("doc_id", "th").withColumn("c", F.count("*").over(Window.partitionBy("th"))).filter("c > 1")
+        copies = copies.select("doc_id", "th", F.lit(None).cast(placed.schema["spans"].dataType).alias("spans"), F.lit(True).alias("copied"))
+        passages = staged(placed.unionByName(copies).groupBy("doc_id", "th").agg(F.first("spans", True).alias("passages"), F.max("copied").alias("copied")), "passages")
+    cut = cut.filter("NOT words").select("gram", "d1", "d2", "bytes", "many")
     part = _within(cut.filter("NOT many").drop("many"), depth).unionByName(_across(cut.filter("many").drop("many"), depth, gram))
     whole = kinds.filter("c > 1").select("gram", "d1", "d2", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("spans"))
     # a kind that is repeated as a whole may have come through the other digits too
-    found = whole.unionByName(part)
-    hit = listed.join(found, ["gram", "d1", "d2"]).select("doc_id", "th", F.transform("spans", lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"] - 1 + depth).alias("b"))).alias("spans"))
-    # spans of one document: at most a few for every run of it
-    return hit.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return _placed(listed, whole.unionByName(part), ["gram", "d1", "d2"], depth), passages
 
 
-def cut_bytes(data: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of `data` without the spans, and the maximal removed ranges."""
-    removed: list[list[int]] = []
+def find(docs: DataFrame, depth: int = 400, gram: int = 128, crowd: int = 256) -> DataFrame:
+    """(doc_id, th, spans) of the rows with repeated windows: spans are byte ranges [a, b) covered by them, may touch."""
+    return _found(keyed(docs), depth, gram, crowd)[0]
+
+
+def merged(spans) -> list[tuple[int, int]]:
+    """The maximal ranges that the spans cover."""
+    out: list[list[int]] = []
     for a, b in sorted((s["a"], s["b"]) for s in spans):
-        if removed and a <= removed[-1][1]:
-            removed[-1][1] = max(removed[-1][1], b)
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            removed.append([a, b])
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def cut_bytes(data: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left of `data` without the spans, and the maximal removed ranges."""
+    removed = merged(spans)
     kept, at = [], 0
     for a, b in removed:
         kept.append(data[at:a])
         at = b
     kept.append(data[at:])
-    return b"".join(kept), [tuple(r) for r in removed]
+    return b"".join(kept), removed
+
 
+def remove(docs: DataFrame, depth: int = 400, gram: int = 128, crowd: int = 256, passage: int | None = None, word_gram: int = 16, word_crowd: int = 4096) -> DataFrame:
+    """The columns of op8's contract, and the removed byte ranges.
 
-def remove(docs: DataFrame, depth: int = 400, gram: int = 128, crowd: int = 256) -> DataFrame:
-    """The columns of op8's contract, and the removed byte ranges."""
-    own, found = keyed(docs), find(docs, depth, gram, crowd)
+    With `passage`: n_shared_words, the words in strings of so many words that another document has too (white space
+    aside, nothing is removed for them), and n_passages, their maximal runs."""
+    own = keyed(docs)
+    found, passages = _found(own, depth, gram, crowd, passage, word_gram, word_crowd)
+    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:int,b:int>>"
+    if passages is None:
+        rows = own.join(found, same_row(own, found), "left").select(own["doc_id"], own["text"], "spans")
+    else:
+        kind += ", n_shared_words long, n_passages long"
+        empty = F.lit(None).cast(found.schema["spans"].dataType)
+        both = found.select("doc_id", "th", "spans", empty.alias("passages"), F.lit(False).alias("copied"))
+        both = both.unionByName(passages.select("doc_id", "th", empty.alias("spans"), "passages", "copied"))
+        both = both.groupBy("doc_id", "th").agg(F.first("spans", True).alias("spans"), F.first("passages", True).alias("passages"), F.max("copied").alias("copied"))
+        rows = own.join(both, same_row(own, both), "left").select(own["doc_id"], own["text"], "spans", "passages", "copied")
+
+    def shared(data: bytes, spans, copied) -> tuple[int, int]:
+        if not pd.isna(copied) and copied:
+            n = len(data.split())
+            return (n, 1) if n >= passage else (0, 0)
+        ranges = merged(spans) if spans is not None else []
+        return sum(b - a for a, b in ranges), len(ranges)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for i, t, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
+            for i, t, spans, *more in zip(*(pdf[c] for c in pdf.columns), strict=True):
                 data = t.encode() if t else b""
                 kept, removed = cut_bytes(data, spans if spans is not None else [])
-                rows.append((i, len(data), len(data) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": b} for a, b in removed]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+                row = (i, len(data), len(data) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": b} for a, b in removed])
+                rows.append(row + shared(data, *more) if passage else row)
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
 
-    rows = own.join(found, same_row(own, found), "left").select(own["doc_id"], own["text"], "spans")
-    return mapped(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:int,b:int>>", "text")
+    return mapped(rows, run, kind, "text")
