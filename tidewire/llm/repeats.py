@@ -20,13 +20,13 @@ windows, a few rows for each kind.
 
 Passages: the same two digits over words instead of bytes (white space aside) find strings of `passage` words that another
 document has too, whatever bytes they have. They are counted, not removed. Only runs whose gram another text has go on from
-the first shuffle, by gram; words are compared by 64 bits of hash.
+the first shuffle, by gram, where one run stands for all of a slice of texts; words are compared by 64 bits of hash.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -131,12 +131,12 @@ def _runs(prefix: Prefix, n: int, depth: int, gram: int) -> tuple[np.ndarray, ..
 RUNS = "doc_id long, th long, start int, n int, gram long, d1 long, d2 long"
 
 
-def _list_runs(docs: DataFrame, depth: int, gram: int, of: Callable[[bytes, int, int], tuple[np.ndarray, ...] | None] = runs) -> DataFrame:
+def _list_runs(docs: DataFrame, depth: int, gram: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             parts = []
             for i, t, th in zip(pdf["doc_id"], pdf["text"], pdf["th"], strict=True):
-                got = of(t.encode(), depth, gram) if t else None
+                got = runs(t.encode(), depth, gram) if t else None
                 if got is not None:
                     parts.append((len(got[0]), i, th, got))
             if parts:
@@ -148,6 +148,35 @@ def _list_runs(docs: DataFrame, depth: int, gram: int, of: Callable[[bytes, int,
     return mapped(docs, run, RUNS, "text")
 
 
+def _list_word_runs(docs: DataFrame, passage: int, gram: int) -> DataFrame:
+    """Runs of words. Where texts of one slice share a gram, one run stands for it with the least th and the greatest (`other`); the rest are `known`."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            parts = []
+            for i, t, th in zip(pdf["doc_id"], pdf["text"], pdf["th"], strict=True):
+                got = word_runs(t.encode(), passage, gram) if t else None
+                if got is not None:
+                    parts.append((len(got[0]), i, th, got))
+            if parts:
+                size = [p[0] for p in parts]
+                start, n, grams, d1 = (np.concatenate([p[3][k] for p in parts]) for k in (0, 1, 3, 4))
+                th = np.repeat(np.array([p[2] for p in parts], dtype=np.int64), size)
+                order = np.lexsort([th, grams])
+                first = np.flatnonzero(np.concatenate([[True], np.diff(grams[order]) != 0]))
+                last = np.append(first[1:], len(order)) - 1
+                shared = th[order[first]] != th[order[last]]
+                known = np.zeros(len(order), dtype=bool)
+                known[order] = np.repeat(shared, last - first + 1)
+                other = th.copy()
+                known[order[first]] = False
+                other[order[first]] = th[order[last]]
+                ids = pd.array([p[1] for p in parts], dtype="Int64").repeat(size)
+                yield pd.DataFrame({"doc_id": ids, "th": th, "start": start, "n": n, "gram": grams, "d1": d1, "other": other, "known": known})
+
+    return mapped(docs, run, "doc_id long, th long, start int, n int, gram long, d1 long, other long, known boolean", "text")
+
+
 ASKED = ("gram", "d1", "d2", "many", "start", "n", "lo", "hi")
 
 
@@ -359,28 +388,33 @@ def _placed(listed: DataFrame, found: DataFrame, key: list[str], depth: int) ->
     return hit.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _word_kinds(own: DataFrame, passage: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """Runs of words whose gram another text has, and their kinds with the least and the greatest th and the number in the gram."""
-    of = Window.partitionBy("gram")
-    listed = _list_runs(own, passage, gram, word_runs).drop("d2").withColumn("lo", F.min("th").over(of)).withColumn("hi", F.max("th").over(of))
-    listed = staged(listed.filter("lo != hi").drop("lo", "hi"), "word-runs")
+def _word_kinds(own: DataFrame, passage: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Runs of words whose gram another text has, and their kinds with the least and the greatest th."""
+    # known runs are dealt by text: a very common gram has but a few others in each slice
+    of = Window.partitionBy("gram", F.when(F.col("known"), F.col("th")))
+    listed = _list_word_runs(own, passage, gram).withColumn("lo", F.min("th").over(of)).withColumn("hi", F.max("other").over(of))
+    listed = staged(listed.filter("known OR lo != hi").select("doc_id", "th", "start", "n", "gram", "d1"), "word-runs")
     kinds = listed.groupBy("gram", "d1").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.min(F.struct("doc_id", "th", "start", "n")).alias("one"))
-    kinds = kinds.withColumn("kinds", F.count("*").over(of))
-    return listed, staged(kinds.select("gram", "d1", F.lit(0).cast("long").alias("d2"), "lo", "hi", "one.*", "kinds", (F.col("kinds") > crowd).alias("many")), "word-kinds")
+    return listed, staged(kinds.select("gram", "d1", "lo", "hi", "one.*"), "word-kinds")
+
+
+def _mixed(kinds: DataFrame, crowd: int) -> DataFrame:
+    """The kinds of grams that have several, and whether those are more than `crowd` (`many`)."""
+    grams = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("gram").alias("g"), (F.col("kinds") > crowd).alias("many"))
+    return kinds.join(grams, F.col("gram") == F.col("g")).drop("g")
 
 
 def _found(own: DataFrame, depth: int, gram: int, crowd: int, passage: int | None = None, word_gram: int = 16, word_crowd: int = 4096) -> tuple[DataFrame, DataFrame | None]:
     """find(), and (doc_id, th, passages, copied) where `passage` is given: texts are shuffled once for both."""
     if passage:
-        word_listed, word_kinds = _word_kinds(own, passage, word_gram, word_crowd)
+        word_listed, word_kinds = _word_kinds(own, passage, word_gram)
     listed = staged(_list_runs(own, depth, gram), "runs")
     kinds = listed.groupBy("gram", "d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "start")).alias("one"), F.max("n").alias("n"))
     kinds = staged(kinds, "kinds")
-    grams = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("gram").alias("g"), (F.col("kinds") > crowd).alias("many"))
     none = F.lit(0).cast("long")
-    mixed = kinds.join(grams, F.col("gram") == F.col("g")).select("gram", "d1", "d2", "many", "one.*", "n", none.alias("lo"), none.alias("hi"), F.lit(False).alias("words"))
+    mixed = _mixed(kinds, crowd).select("gram", "d1", "d2", "many", "one.*", "n", none.alias("lo"), none.alias("hi"), F.lit(False).alias("words"))
     if passage:
-        mixed = mixed.unionByName(word_kinds.filter("kinds > 1").drop("kinds").withColumn("words", F.lit(True)))
+        mixed = mixed.unionByName(_mixed(word_kinds, word_crowd).select("gram", "d1", none.alias("d2"), "many", "doc_id", "th", "start", "n", "lo", "hi", F.lit(True).alias("words")))
     cut = staged(_cut(own, mixed, depth, passage), "cuts")
     passages = None
     if passage:
